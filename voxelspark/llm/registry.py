@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, tokenbin
+from . import bpe, quality, simhash, tokenbin
 
-QUERIES = {f.__name__: f for f in (tokenbin.op1_token_files, bpe.op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (tokenbin.op1_token_files, quality.op2_quality, simhash.op6_simhash, bpe.op7_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}
