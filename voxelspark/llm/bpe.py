@@ -146,8 +146,8 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):  # a call of the library costs as much as thousands of words
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 1000):  # a call of the library costs as much as thousands of words
+                part = b.slice(at, 1000)
                 ids = own.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 

@@ -117,7 +117,7 @@ class Bounded(dict):
     """A worker's cache of word results, emptied when it holds ``most`` entries: its
     size is bounded, and results don't depend on it."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 300_000):
         super().__init__()
         self.most = most
 
