@@ -120,9 +120,8 @@ class Codec:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.parts(t) for t in texts]
         used = {p for parts in cut for p in parts}
-        if new := list(used.difference(self.cache)):
-            self.cache.room(len(new))
-            self._learn(new if self.cache else list(used))
+        if new := self.cache.missing(used):
+            self._learn(new)
         return [b"".join(map(self.cache.__getitem__, parts)) for parts in cut]
 
     def decode(self, ids: bytes) -> bytes:

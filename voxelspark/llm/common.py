@@ -121,6 +121,10 @@ class Bounded(dict):
         super().__init__()
         self.most = most
 
-    def room(self, n: int) -> None:
-        if len(self) + n > self.most:
+    def missing(self, used: set) -> list:
+        """The words of ``used`` to work out now."""
+        new = [w for w in used if w not in self]
+        if len(self) + len(new) > self.most:
             self.clear()
+            return list(used)
+        return new

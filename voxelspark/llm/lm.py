@@ -131,9 +131,7 @@ class Words:
         """Ids of each text's tokens, the end included."""
         cut = [[*t.lower().split(), END] for t in texts]
         used = {w for words in cut for w in words}
-        if new := list(used.difference(self.cache)):
-            self.cache.room(len(new))
-            new = new if self.cache else list(used)
+        if new := self.cache.missing(used):
             self.cache.update(zip(new, self.find(new).tolist(), strict=True))
         get = self.cache.__getitem__
         return [np.fromiter(map(get, words), np.int64, len(words)) for words in cut]

@@ -141,9 +141,7 @@ class Model:
         numbers and their count, as the two parts of a complex number."""
         cut = [t.split() for t in texts]
         used = {w for words in cut for w in words}
-        if new := list(used.difference(cache)):
-            cache.room(len(new))
-            new = new if cache else list(used)
+        if new := cache.missing(used):
             for at in range(0, len(new), 50_000):
                 part = new[at : at + 50_000]
                 bucket, owner = features(part, self.settings)

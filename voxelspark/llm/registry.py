@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, lm, quality, simhash, tokenbin
+from . import bpe, lm, quality, rules, simhash, tokenbin
 
-QUERIES = {f.__name__: f for f in (tokenbin.op1_token_files, quality.op2_quality, lm.op5_kneser_ney, simhash.op6_simhash, bpe.op7_byte_bpe)}
+QUERIES = {f.__name__: f for f in (tokenbin.op1_token_files, quality.op2_quality, lm.op5_kneser_ney, simhash.op6_simhash, bpe.op7_byte_bpe, rules.op8_quality_rules)}
 
 ORACLE_SQL: dict[str, str] = {}

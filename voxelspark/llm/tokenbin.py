@@ -57,17 +57,14 @@ class Encoder:
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, the end id included, as little-endian bytes."""
-        cache = self.cache
-        for data in texts:
-            words = data.lower().split()
-            if new := list({*words}.difference(cache)):
-                cache.room(len(new))
-                new = new if cache else list({*words})
-                for at in range(0, len(new), 20_000):
-                    part = new[at : at + 20_000]
-                    found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-                    cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
-            yield b"".join(map(cache.__getitem__, words)) + self.end
+        cut = [data.lower().split() for data in texts]
+        new = self.cache.missing({w for words in cut for w in words})
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        for words in cut:
+            yield b"".join(map(self.cache.__getitem__, words)) + self.end
 
 
 _ENCODERS: dict = {}
