@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bpe, html, lm, mixing, pii, quality, rules, simhash, tokenbin
+from . import ann, bpe, html, lm, mixing, pii, quality, rules, simhash, tokenbin
 
-QUERIES = {f.__name__: f for f in (tokenbin.op1_token_files, quality.op2_quality, html.op3_main_text, mixing.op4_mixing, lm.op5_kneser_ney, simhash.op6_simhash, bpe.op7_byte_bpe, rules.op8_quality_rules, pii.op10_personal_data)}
+QUERIES = {f.__name__: f for f in (tokenbin.op1_token_files, quality.op2_quality, html.op3_main_text, mixing.op4_mixing, lm.op5_kneser_ney, simhash.op6_simhash, bpe.op7_byte_bpe, rules.op8_quality_rules, ann.op9_permutation_index, pii.op10_personal_data)}
 
 ORACLE_SQL: dict[str, str] = {}
