@@ -41,9 +41,13 @@ class Encoder:
 
     White space always ends a token of this vocabulary, so a text's ids are those of
     its words in turn, and each distinct word is encoded once for all its uses. ASCII
-    letters are lowered first, as the vocabulary's own normaliser does.
+    letters are lowered first, as the vocabulary's own normaliser does, and a full stop
+    or comma after an ASCII letter is a token apart. New words go to the library many
+    in one text, with a control character between them.
     """
 
+    BETWEEN = "\x01"
+
     def __init__(self, path: str, end: int | None):
         import os
 
@@ -53,16 +57,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = b"" if end is None else struct.pack("<I", end)
-        self.cache = common.Bounded()
+        self.cache = common.Bounded(600_000)
+        mark = self._library([self.BETWEEN])[0]
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.stops = {c: np.array(self._library([c.decode()])[0], "<u4").tobytes() for c in (b".", b",")}
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words."""
+        if self.mark is None:
+            return [np.array(ids, "<u4").tobytes() for ids in self._library([w.decode("utf-8", "replace") for w in words])]
+        out = []
+        blocks = [words[at : at + 500] for at in range(0, len(words), 500)]
+        for ids in self._library([f" {self.BETWEEN} ".join([w.decode("utf-8", "replace") for w in block]) for block in blocks]):
+            a = np.array(ids, "<u4")
+            data, cuts = a.tobytes(), (np.flatnonzero(a == self.mark) * 4).tolist()
+            out += [data[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
+        return out
+
+    def _learn(self, new: list[bytes]) -> None:
+        mark = self.BETWEEN.encode()
+        odd = [w for w in new if mark in w]
+        stem = {w: w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in new if mark not in w}
+        stems = list({*stem.values()})
+        found = dict(zip(stems, self._words(stems), strict=True))
+        self.cache.update((w, found[s] if s is w else found[s] + self.stops[w[-1:]]) for w, s in stem.items())
+        self.cache.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(odd, self._library([w.decode("utf-8", "replace") for w in odd]), strict=True))
 
     def texts(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text, the end id included, as little-endian bytes."""
         cut = [data.lower().split() for data in texts]
-        new = self.cache.missing({w for words in cut for w in words})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found, strict=True))
+        if new := self.cache.missing({w for words in cut for w in words}):
+            self._learn(new)
         for words in cut:
             yield b"".join(map(self.cache.__getitem__, words)) + self.end
 
