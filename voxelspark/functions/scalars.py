@@ -31,7 +31,7 @@ def normalize_label(name: Column) -> Column:
 
 def label_filter(text: Column) -> Column:
     """The labels a comma list names, or null for no filter (empty, ``all``, only commas)."""
-    names = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.lower(F.trim(text)).isin("", "all") | (F.size(names) == 0), None).otherwise(names)
 
 

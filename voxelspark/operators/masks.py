@@ -169,7 +169,7 @@ def hit_test(points: DataFrame, overlays: DataFrame, layer: str = ALL_LAYERS) ->
     """For each point (v, z, point_id, x, y) the topmost overlay under it: its place in the
     slice's list, or -1, and its metadata. An equi-join on the slice, boxes first."""
     place = Window.partitionBy("v", "z").orderBy("seq")
-    xs, ys = (F.transform("points", lambda q, c=c: q[c]) for c in "xy")
+    xs, ys = (F.transform("points", lambda q: q["x"]), F.transform("points", lambda q: q["y"]))
     listed = overlays.select("v", "z", "seq", "points", "label", "color", "layer", (F.row_number().over(place) - 1).cast("long").alias("idx"), F.array_min(xs).alias("bx1"), F.array_max(xs).alias("bx2"), F.array_min(ys).alias("by1"), F.array_max(ys).alias("by2"))
     if layer != ALL_LAYERS:
         listed = listed.where(normalize_layer(F.col("layer")) == layer)
@@ -181,7 +181,7 @@ def hit_test(points: DataFrame, overlays: DataFrame, layer: str = ALL_LAYERS) ->
 def densify_grid(runs: DataFrame, volumes: DataFrame) -> DataFrame:
     """Pixel counts of every slice of every volume; slices without a mask have 0, runs
     outside their volume are ignored."""
-    grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0), F.col("z_count") - 1)).cast("long").alias("z"))
+    grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("z_count").cast("long") - 1)).alias("z"))
     fits = union(runs).withColumn("z", F.col("z").cast("long"))
     joined = grid.join(fits, ["v", "z"], "left")
     ok = (F.col("y") >= 0) & (F.col("y") < F.col("h")) & (F.col("x0") >= 0) & (F.col("x1") < F.col("w"))

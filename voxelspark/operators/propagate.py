@@ -50,7 +50,7 @@ def densify(seed_runs: DataFrame, volumes: DataFrame) -> DataFrame:
     The fold reads what it has just written, so a volume is one task's work; its slices
     are held as bits.
     """
-    grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0), F.col("z_count") - 1)).cast("long").alias("z"))
+    grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("z_count").cast("long") - 1)).alias("z"))
     boxes = interpolate_seeds(masks.bbox(seed_runs), grid.select("v", "z"))
     exact = seed_runs.groupBy("v", "z").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("rows"))
     full = grid.join(boxes, ["v", "z"]).join(exact, ["v", "z"], "left")
