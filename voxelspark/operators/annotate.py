@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.scalars import normalize_label, normalize_layer
 from ..schema import ALL_LAYERS, DEFAULT_COLOR, DEFAULT_LABEL, DEFAULT_LAYER
 
-_place = Window.partitionBy("v", "z").orderBy("seq")
+
+def _place():
+    return Window.partitionBy("v", "z").orderBy("seq")
 
 
 def label_colors(overlays: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def reject(overlays: DataFrame, scope: Column | None = None) -> DataFrame:
 def ranked(overlays: DataFrame) -> DataFrame:
     """Adds idx, the place in the slice's list, and n, the list's length."""
     group = Window.partitionBy("v", "z")
-    return overlays.withColumn("idx", (F.row_number().over(_place) - 1).cast("long")).withColumn("n", F.count("*").over(group).cast("long"))
+    return overlays.withColumn("idx", (F.row_number().over(_place()) - 1).cast("long")).withColumn("n", F.count("*").over(group).cast("long"))
 
 
 def delete_selected(overlays: DataFrame, selection: DataFrame) -> DataFrame:
@@ -68,7 +70,7 @@ def delete_selected(overlays: DataFrame, selection: DataFrame) -> DataFrame:
     target = F.when(F.col("_asked"), F.when(sel.isNull() | (sel < 0) | (sel >= F.col("n")), F.col("n") - 1).otherwise(sel))
     kept = joined.withColumn("_target", target).where(F.col("_target").isNull() | (F.col("idx") != F.col("_target")))
     left = F.count("*").over(Window.partitionBy("v", "z"))
-    out = kept.withColumn("idx", (F.row_number().over(_place) - 1).cast("long")).withColumn("selection", F.when(F.col("_asked"), F.least(F.col("_target"), left - 1)).cast("long"))
+    out = kept.withColumn("idx", (F.row_number().over(_place()) - 1).cast("long")).withColumn("selection", F.when(F.col("_asked"), F.least(F.col("_target"), left - 1)).cast("long"))
     return out.drop("n", "_asked", "_target", "selected_idx")
 
 
