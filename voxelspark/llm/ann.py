@@ -97,7 +97,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings
     common.workers_import(spark)
     own, dims = usable(vectors)
     chosen = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.pivots).collect()  # pivots rows at most
-    pivots = np.array([r.v for r in chosen], np.float32).reshape(-1, dims)
+    pivots = np.array([r.v for r in chosen], np.float32).reshape(len(chosen), dims)
     length = min(s.length, len(pivots))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

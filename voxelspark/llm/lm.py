@@ -298,6 +298,9 @@ class Scorer:
     def pairs(self, p: int) -> tuple[np.ndarray, ...]:
         if ("pairs", p) not in self.files:
             n, (lo, hi) = self.m.pairs[p], self.m.contexts(p)
+            if not n:  # the range has no context, so no file
+                none = np.zeros(0, np.uint64)
+                return none, none, np.zeros((4, hi - lo), np.uint64)
             data = np.memmap(common.local_copy(f"{self.m.path}/pairs-{p:06d}"), np.uint64, "r")
             self.files["pairs", p] = data[:n], data[n : 2 * n], data[2 * n :].reshape(4, hi - lo)
         return self.files["pairs", p]

@@ -1,9 +1,11 @@
 """Mixing documents to target weights of soft domains, in DataFrame functions only.
 
-1. A naive Bayes classifier of hashed words is counted on a bounded sample of a labelled
-   table (``per_domain`` ids of each domain, the first in the order of their hash); the
-   domains' shares in the whole labelled table are the priors. It gives every document a
-   posterior over the domains: its soft membership.
+1. A naive Bayes classifier of the presence of hashed words is counted on a bounded
+   sample of a labelled table (``per_domain`` ids of each domain, the first in the order
+   of their hash); the domains' shares in the whole labelled table are the priors. Only
+   buckets that clearly mark a domain count, so that what many words share, such as a
+   language, does not. It gives every document a posterior over the domains: its soft
+   membership.
 2. Rates r >= 0 are fitted so that the expected tokens of each domain,
    ``sum(r * tokens * posterior)``, match the targets: projected gradient on the least
    squares of the totals, in the metric of the domains' Gram matrix, where the step 1 is
@@ -30,25 +32,26 @@ BUCKETS = 1 << 16
 
 
 def bags(docs: DataFrame, *keep: str) -> DataFrame:
-    """A row a word: the columns ``keep`` and the word's bucket; a text without words has one, null."""
+    """A row for each bucket of a text's words, with the columns ``keep``, its place and
+    the text's number of words; a text without words has one row, of no bucket."""
     text = F.translate(F.lower(F.coalesce("text", F.lit(""))), "\t\n\x0b\x0c\r", "     ")
-    words = docs.select(*keep, F.explode_outer(F.array_remove(F.split(text, " "), "")).alias("word"))
-    return words.select(*keep, F.when(F.col("word").isNotNull(), F.pmod(F.xxhash64("word"), F.lit(BUCKETS))).alias("bucket"))
+    words = docs.select(*keep, F.array_remove(F.split(text, " "), "").alias("words"))
+    buckets = F.array_distinct(F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS))))
+    return words.select(*keep, F.size("words").alias("n"), F.posexplode_outer(buckets).alias("place", "bucket"))
 
 
-def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = 8000, pseudo: float = 5.0) -> tuple[DataFrame, list[float]]:
-    """(bucket, evidence: a number for each domain) and the domains' log priors.
+def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain: int = 8000, clear: float = 4.0) -> tuple[DataFrame, list[float]]:
+    """(bucket, e0, e1, ...: evidence of its presence for each domain), and each domain's
+    log prior with the evidence of all these buckets' absence.
 
-    The evidence is the log of a domain's count of the bucket against the count expected
-    if the domain were like the whole, both raised by ``pseudo``: rare buckets say little.
-    The table has at most BUCKETS rows.
+    A bucket counts if some domain's documents have it at least twice as often as
+    expected, and by ``clear`` standard deviations. The table has at most BUCKETS rows.
     """
     spark = docs.sparkSession
     known = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"), F.max("domain").alias("other")).where("domain = other").drop("other")
     known = common.stored(spark, known.join(docs.select("doc_id"), "doc_id", "left_semi"), "known")
     sizes = {r.domain: r["count"] for r in known.groupBy("domain").count().collect()}  # a row a domain
     total = sum(sizes.values())
-    priors = [float(np.log((sizes.get(d, 0) + 1) / (total + len(domains)))) for d in domains]
     picked = None
     for d in domains:
         one = known.where(F.col("domain") == d).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_domain)
@@ -56,19 +59,28 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
     sample = common.stored(spark, picked, "sample")  # per_domain rows a domain at most
     seen = bags(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "domain").where("bucket is not null")
     by = seen.groupBy("bucket").agg(*[F.count_if(F.col("domain") == d).alias(f"c{k}") for k, d in enumerate(domains)])
-    by = common.stored(spark, by, "buckets")  # BUCKETS rows at most
-    sums = by.agg(*[F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(len(domains))]).first()
+    n = [min(sizes.get(d, 0), per_domain) for d in domains]
     every = sum(F.col(f"c{k}") for k in range(len(domains)))
-    evidence = [F.log((F.col(f"c{k}") + pseudo) / (every * (n / max(sum(sums), 1)) + pseudo)).alias(f"e{k}") for k, n in enumerate(sums)]
-    return by.select("bucket", *evidence), priors
-
-
-def posteriors(docs: DataFrame, model: DataFrame, priors: list[float]) -> DataFrame:
+    clearly = F.lit(False)
+    for k, own in enumerate(n):
+        expected = every * (own / max(sum(n), 1))
+        clearly = clearly | ((F.col(f"c{k}") >= 2 * expected) & (F.col(f"c{k}") - expected >= clear * F.sqrt(expected + 0.5)))
+    share = lambda k, own: F.least(F.col(f"c{k}") + 0.5, F.lit(own + 0.5)) / (own + 1)
+    odds = [F.log(share(k, own) / (1 - share(k, own))).alias(f"e{k}") for k, own in enumerate(n)]
+    absent = [F.log(1 - share(k, own)).alias(f"a{k}") for k, own in enumerate(n)]
+    model = common.stored(spark, by.where(clearly).select("bucket", *odds, *absent), "buckets")
+    sums = model.agg(*[F.coalesce(F.sum(f"a{k}"), F.lit(0.0)) for k in range(len(domains))]).first()
+    start = [float(np.log((sizes.get(d, 0) + 1) / (total + len(domains)))) + a for d, a in zip(domains, sums, strict=True)]
+    return model.select("bucket", *[f"e{k}" for k in range(len(domains))]), start
+
+
+def posteriors(docs: DataFrame, model: DataFrame, start: list[float]) -> DataFrame:
     """doc_id, n_tokens, p (array, a posterior for each domain)."""
-    n = len(priors)
+    n = len(start)
     words = bags(docs, "doc_id").join(F.broadcast(model), "bucket", "left")  # BUCKETS rows at most
-    sums = words.groupBy("doc_id").agg(F.count("bucket").alias("n_tokens"), *[F.sum(F.coalesce(f"e{k}", F.lit(0.0))).alias(f"z{k}") for k in range(n)])
-    z = [F.col(f"z{k}") + priors[k] for k in range(n)]
+    once = F.sum(F.when(F.coalesce("place", F.lit(0)) == 0, F.col("n")).otherwise(0))
+    sums = words.groupBy("doc_id").agg(once.alias("n_tokens"), *[F.sum(F.coalesce(f"e{k}", F.lit(0.0))).alias(f"z{k}") for k in range(n)])
+    z = [F.col(f"z{k}") + start[k] for k in range(n)]
     top = F.greatest(*z) if n > 1 else z[0]
     odds = sums.withColumn("w", F.array(*[F.exp(x - top) for x in z]))
     total = F.aggregate("w", F.lit(0.0), lambda s, x: s + x)
@@ -134,8 +146,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most: f
     """doc_id, n_tokens, p (array in the order of ``weights``), rate, copies of each id."""
     spark, domains = docs.sparkSession, list(weights)
     texts = docs.select("doc_id", "text")
-    model, priors = train(texts, labelled, domains)
-    soft = common.stored(spark, posteriors(texts, model, priors), "posteriors")
+    model, start = train(texts, labelled, domains)
+    soft = common.stored(spark, posteriors(texts, model, start), "posteriors")
     steps, *_ = fit(soft, [*weights.values()], most=most)
     rated = soft.withColumn("rate", _rate(steps, len(domains), most))
     return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))

@@ -220,6 +220,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document, their counts and a digest of the base kinds."""
     common.workers_import(spark)
     found = common.table(spark, sf_dir, "documents").select("doc_id", find(F.coalesce("text", F.lit(""))).alias("found"))
-    count = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
+    count = [of(k).alias(f"n_{k}") for k in BASE]
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *count, F.sha2(_joined(base).cast("binary"), 256).alias("base_sha256"), _joined(F.col("found")).alias("spans"))
