@@ -119,6 +119,8 @@ def cutoffs(counted: DataFrame, labels: DataFrame, limit: float = 0.05, doubt: f
     level = F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: g < F.col("r.rate")))
     held = common.remainder(F.col("doc_id"), 2) == 0
     by = seen.select("stratum", "y", held.alias("held"), each).select("stratum", "y", "held", "r.rule", level.alias("level")).groupBy("stratum", "rule", "level").agg(*[F.count_if(c).alias(k) for k, c in (("good", F.col("held") & (F.col("y") == 1)), ("good2", ~F.col("held") & (F.col("y") == 1)), ("bad2", ~F.col("held") & (F.col("y") == 0)))])
+    by = common.stored(counted.sparkSession, by, "levels")  # a row a level, rule and stratum
+    strata = by.select("stratum").distinct().count()
     # A row for each cutoff, if rates exceed it or not.
     n = len(GRID)
     rows = by.select("stratum", "rule").distinct().select("stratum", "rule", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("level"))
@@ -126,10 +128,9 @@ def cutoffs(counted: DataFrame, labels: DataFrame, limit: float = 0.05, doubt: f
     group = Window.partitionBy("stratum", "rule")  # a row a cutoff
     above = group.orderBy(F.col("level").desc()).rowsBetween(Window.unboundedPreceding, 0)
     full = full.select("*", *[F.sum(c).over(above).alias(f"{c}_out") for c in ("good", "good2", "bad2")], *[F.sum(c).over(group).alias(f"{c}_all") for c in ("good", "good2", "bad2")])
-    strata = by.agg(F.countDistinct("stratum").alias("strata"))  # one row
     tail = binomial_tail(F.col("good_out"), F.col("good_all"), limit / len(RULES))
-    ok = (F.col("good_all") > 0) & (tail <= doubt / len(RULES) / F.col("strata"))
-    tested = full.where("level > 0").join(F.broadcast(strata)).withColumn("ok", ok)
+    ok = (F.col("good_all") > 0) & (tail <= doubt / len(RULES) / max(strata, 1))
+    tested = full.where("level > 0").withColumn("ok", ok)
     # Level n is the loosest cutoff, GRID[0].
     tested = tested.withColumn("certified", F.min("ok").over(above))
     gain = F.col("bad2_out") / F.greatest("bad2_all", F.lit(1)) - 4 * F.col("good2_out") / F.greatest("good2_all", F.lit(1))
