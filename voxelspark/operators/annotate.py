@@ -27,9 +27,9 @@ def label_colors(overlays: DataFrame) -> DataFrame:
 def commit(existing: DataFrame, polygons: DataFrame, label: str, color: str, layer: str) -> DataFrame:
     """Polygons (v, z, part, points) appended as committed overlays with one template."""
     name = (label or "").strip() or DEFAULT_LABEL
-    colors = label_colors(existing).where(F.col("label") == name)
+    colors = label_colors(existing).withColumnsRenamed({"label": "_label", "color": "_color"})
     last = existing.groupBy("v", "z").agg(F.max("seq").alias("_last"))
-    new = polygons.join(last, ["v", "z"], "left").crossJoin(F.broadcast(colors.agg(F.max("color").alias("_color"))))  # one row
+    new = polygons.withColumn("_label", F.lit(name)).join(last, ["v", "z"], "left").join(colors, "_label", "left")
     own = F.coalesce(F.nullif(F.trim(F.lit(color)), F.lit("")), F.col("_color"), F.lit(DEFAULT_COLOR))
     rows = new.select("v", "z", (F.coalesce("_last", F.lit(-1)) + 1 + F.col("part")).cast("long").alias("seq"), "points", F.lit(name).alias("label"), own.alias("color"), normalize_layer(F.lit(layer)).alias("layer"), F.lit("committed").alias("status"))
     return existing.unionByName(rows, allowMissingColumns=True)
