@@ -57,7 +57,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.end = b"" if end is None else struct.pack("<I", end)
-        self.cache = common.Bounded(600_000)
+        self.cache = common.Bounded(1_500_000)  # about 300 MB
         mark = self._library([self.BETWEEN])[0]
         self.mark = mark[0] if len(mark) == 1 else None
         self.stops = {c: np.array(self._library([c.decode()])[0], "<u4").tobytes() for c in (b".", b",")}
