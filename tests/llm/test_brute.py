@@ -97,6 +97,10 @@ def test_template_and_furniture():
     trees = [html.parse(page(k)) for k in range(12)]
     own = html.Wrapper(trees)
     assert own.text(trees[3]).startswith("Title 3 Story number 3 with words xxx") and "Reader" not in own.text(trees[3]) and "menu" not in own.text(trees[3]) and "Imprint" not in own.text(trees[3])
+    deep = html.parse("<article class='post comments-open'>" + "<div>" * 5000 + "far down" + "</div>" * 5000 + "</article><div class=ads>no</div>")
+    assert html.Wrapper([deep]).text(deep) == "far down"
+    wide = html.parse("<main>" + "<p>a</p><h3>b</h3>" * 600 + "</main>")
+    assert len(html.Wrapper([wide, wide]).text(wide)) == 2399
     cut = html.parse("<article><h1>A</h1><p>b &amp; c &am <a hre")
     assert html.Wrapper([cut]).text(cut) == "A b & c &am"
     assert html.match(("a", (("b", ()), ("c", ()))), ("a", (("c", ()), ("b", ()), ("c", ())))) == (3, ((0, 0), (1, 2), (2, 3)))
