@@ -2,7 +2,6 @@
 
 import numpy as np
 import public_tokenizers as P
-import pytest
 from pyspark.sql import functions as F
 
 from voxelspark.llm import ann, bpe, common, html, lm, mixing, pii, quality, rules, simhash, tokenbin
@@ -108,6 +107,11 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
-@pytest.mark.parametrize("n", [0, 1, 2])
-def test_shared_folder_is_the_session_s(spark, n):
-    assert common.work_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+def test_shared_folder_is_the_session_s(spark):
+    class Unset:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    assert common.work_dir(spark, "x").startswith(root or "file:///")
+    assert common.shared_dir(Unset) == common.shared_dir(Unset) and common.shared_dir(Unset).startswith("file:///")

@@ -11,6 +11,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,12 @@ def workers_import(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where none is set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    return (root or _local_root()).rstrip("/")
+
+
+@cache
+def _local_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
