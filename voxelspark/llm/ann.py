@@ -101,22 +101,19 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings
     length = min(s.length, len(pivots))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (block, vec_id, v) sorted by block to one row a block."""
-        held: dict[int, list] = {}
-        for b in [*batches]:
-            x = np.stack(b.column("v").to_pylist()) if b.num_rows else None
-            block = b.column("block").to_numpy()
-            for n in np.unique(block).tolist():
-                held.setdefault(n, []).append((b.column("vec_id").to_numpy()[block == n], x[block == n]))
-        for n, parts in sorted(held.items()):
+        """The rows (vec_id, v) of a partition as one block, numbered as the partition."""
+        from pyspark import TaskContext
+
+        parts = [(b.column("vec_id").to_numpy(), b.column("v").flatten().to_numpy().reshape(-1, dims)) for b in batches if b.num_rows]
+        if parts:
             ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = permutations(x.astype(np.float32), pivots, length)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([n], pa.int32()), "ids": pa.array([ids.tobytes()]), "x": pa.array([x.tobytes()]), "p": pa.array([order.tobytes()])})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([TaskContext.get().partitionId()], pa.int32()), "ids": pa.array([ids.tobytes()]), "x": pa.array([x.tobytes()]), "p": pa.array([order.tobytes()])})
 
-    def blocks(rows: DataFrame, size: int, seed: int) -> tuple[DataFrame, int]:
+    def blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+        """Dealt in turn, so that no block grows with a repeated id."""
         count = max(1, -(-rows.count() // size))
-        numbered = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(count)).cast("int").alias("block"), "vec_id", "v")
-        return numbered.repartitionById(count, F.col("block")).mapInArrow(packed, "block int, ids binary, x binary, p binary"), count
+        return rows.select("vec_id", "v").repartition(count).mapInArrow(packed, "block int, ids binary, x binary, p binary"), count
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = lambda r, end: (np.frombuffer(r["ids" + end], np.int64), np.frombuffer(r["x" + end], np.float64).reshape(-1, dims), np.frombuffer(r["p" + end], np.uint8).reshape(-1, length))
@@ -128,9 +125,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings
                 sizes = [len(i) for _, i, _ in found]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array([q for q, *_ in found], np.int64), sizes), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([x for *_, x in found])})
 
-    data, count = blocks(own, s.block, 1)
+    data, count = blocks(own, s.block)
     asked = own.where(is_query).withColumn("_n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.xxhash64("v")))).where("_n = 1").drop("_n")
-    queries, _ = blocks(asked, s.queries, 2)
+    queries, _ = blocks(asked, s.queries)
     # A stated query set against all rows, in blocks: each block of queries goes to every block of vectors.
     sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), *[F.col(c).alias(f"{c}_q") for c in ("ids", "x", "p")])
     found = data.join(sent, "block").select("ids", "x", "p", "ids_q", "x_q", "p_q").repartition(common.partitions(spark)).mapInArrow(meet, "query_id long, vec_id long, score double")
