@@ -443,6 +443,19 @@ def open3(spark, d):
     return _as_pixels(masks.opened(_threshold_runs(spark, d), _grid(spark, d), masks.box_kernel(1)))
 
 
+@query(f"""with {GRAY}, {_ON}, di as (select distinct a.v, a.z, a.y, a.x from gray a join fg b on a.v = b.v and a.z = b.z and {_NEAR}),
+nd as (select v, z, y, x from gray except select v, z, y, x from di)
+select a.v::bigint v, a.z::bigint z, a.y::bigint y, a.x::bigint x from di a where not exists (select 1 from nd b where b.v = a.v and b.z = a.z and {_NEAR})""")
+def close3(spark, d):
+    return _as_pixels(masks.closed(_threshold_runs(spark, d), _grid(spark, d), masks.box_kernel(1)))
+
+
+@query()
+def contours(spark, d):
+    lit = gray(spark, d).withColumn("mask", F.transform("gray", lambda g: g > 100))
+    return _polygon_rows(segment.contours(lit, 1))
+
+
 @query(f"""with recursive {GRAY}, {_ON}, near as (select a.v, a.z, a.y * 8 + a.x p, b.y * 8 + b.x q from fg a join fg b on a.v = b.v and a.z = b.z and {_NEAR}),
 reach as (select v, z, p, q from near union select r.v, r.z, r.p, n.q from reach r join near n on r.v = n.v and r.z = n.z and r.q = n.p),
 root as (select v, z, p, min(q) c from reach group by v, z, p), part as (select v, z, c, count(*) n from root group by v, z, c)
@@ -477,6 +490,29 @@ def densify(spark, d):
     return longs(full.withColumn("pixels", F.aggregate("mask", F.lit(0), lambda s, m: s + m)), "v z pixels")
 
 
+@query()
+def seeded_volume(spark, d):
+    from . import workflows
+
+    slices = tables.slices(spark, d)
+    seeds, _ = _seed_boxes(slices)
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    drawn = seeds.select("v", "z", F.lit(0).cast("long").alias("seq"), F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2")).alias("points"), F.lit("organ").alias("label"), F.lit("committed").alias("status"))
+    volumes = slices.groupBy("v").agg((F.max("z") + 1).cast("int").alias("z_count"), F.first("h").alias("h"), F.first("w").alias("w"))
+    return _polygon_rows(workflows.seeded_volume_run(gray(spark, d), drawn, masks.rasterize(drawn), volumes, models.RoiPredictor(), "organ", min_area=1))
+
+
+@query()
+def watershed_preview(spark, d):
+    from ..schema import Watershed
+    from . import workflows
+
+    lit = gray(spark, d)
+    found = segment.watershed(lit, Watershed(min_area=1))
+    old = workflows.as_overlays(segment.level_set(lit))
+    return longs(annotate.accept(workflows.preview_run(old, lit, found, F.col("z") % 2 == 0), F.col("z") % 4 == 0), "v z seq idx", "status")
+
+
 _SELECT = "sel as (select distinct v, z, (v + z) % 5 - 1 s from ov)"
 
 
