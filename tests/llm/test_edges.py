@@ -115,3 +115,14 @@ def test_shared_folder_is_the_session_s(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     assert common.work_dir(spark, "x").startswith(root or "file:///")
     assert common.shared_dir(Unset) == common.shared_dir(Unset) and common.shared_dir(Unset).startswith("file:///")
+
+
+def test_pipeline_stages(spark, odd, empty, labels, tmp_path):
+    import corpus_pipeline
+
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (odd.withColumn("extra", F.lit(1)), empty):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before, docs = docs, common.stored(spark, stage(spark, docs, str(tmp_path)), "s")
+            assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == before.columns
+            assert docs.count() <= before.count()
