@@ -1,6 +1,7 @@
 """Approximate nearest neighbours with a permutation index.
 
-``pivots`` vectors, drawn by the hash of their ids, are the pivots (the only sample: at
+Equal vectors are one vector with several ids throughout, so copies take no place from
+others. ``pivots`` vectors, drawn by the hash of their ids, are the pivots (the only sample: at
 most 256 rows). A vector is represented by its ``length`` nearest pivots in order. Blocks
 of vectors post these permutations in inverted files: for each pivot, the vectors that
 have it and its place in them. A query reads the files of its own pivots only and ranks
@@ -60,11 +61,12 @@ def permutations(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 class Block:
     """The inverted files of a block of vectors."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, order: np.ndarray, pivots: int):
-        self.ids, self.x = ids, x
+    def __init__(self, ids: np.ndarray, counts: np.ndarray, x: np.ndarray, order: np.ndarray, pivots: int):
+        # Vector i has counts[i] of the ids, from starts[i] on.
+        self.ids, self.counts, self.starts, self.x = ids, counts, np.cumsum(counts) - counts, x
         # files[p, i]: how far before the end of vector i's permutation pivot p stands, 0 if it isn't there.
-        self.files = np.zeros((pivots, len(ids)), np.uint8)
-        rows = np.arange(len(ids))
+        self.files = np.zeros((pivots, len(x)), np.uint8)
+        rows = np.arange(len(x))
         for k in range(order.shape[1]):
             self.files[order[:, k], rows] = order.shape[1] - k
 
@@ -74,7 +76,7 @@ class Block:
         With places a and b before the end, the distance is a constant less twice the
         sum of min(a, b) over the pivots of the query.
         """
-        shared = np.zeros(len(self.ids), np.uint16)
+        shared = np.zeros(len(self.x), np.uint16)
         for k, pivot in enumerate(order):
             shared += np.minimum(self.files[pivot], len(order) - k)
         if count >= len(shared):
@@ -83,11 +85,23 @@ class Block:
         return np.flatnonzero(shared >= edge)  # ties at the edge stay
 
     def best(self, query: int, q: np.ndarray, order: np.ndarray, k: int, s: Settings) -> tuple[np.ndarray, np.ndarray]:
-        some = self.near(order, max(s.least, int(np.ceil(s.share * len(self.ids)))))
-        some = some[self.ids[some] != query]
-        score = self.x[some] @ q
-        first = np.lexsort((self.ids[some], -score))[:k]
-        return self.ids[some][first], score[first]
+        some = self.near(order, max(s.least, int(np.ceil(s.share * len(self.x)))))
+        n = self.counts[some]
+        ids = self.ids[np.repeat(self.starts[some] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        score = np.repeat(self.x[some] @ q, n)[ids != query]
+        ids = ids[ids != query]
+        first = np.lexsort((ids, -score))[:k]
+        return ids[first], score[first]
+
+
+def distinct(own: DataFrame, k: int) -> DataFrame:
+    """vec_id, ids, v of each distinct vector: of its rows' ids those that can be among k
+    neighbours of any query. A query's own rows are at most k of the first 2 k then."""
+    each = Window.partitionBy("v", "vec_id").orderBy("vec_id")
+    all_of = Window.partitionBy("v").orderBy("vec_id")
+    few = own.withColumn("_n", F.row_number().over(each)).where(F.col("_n") <= k)
+    few = few.withColumn("_n", F.row_number().over(all_of)).where(F.col("_n") <= 2 * k)
+    return few.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.collect_list("vec_id").alias("ids")).select("vec_id", "ids", "v")
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings = Settings()) -> DataFrame:
@@ -96,41 +110,42 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, settings: Settings
     s, spark = settings, vectors.sparkSession
     common.workers_import(spark)
     own, dims = usable(vectors)
-    chosen = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.pivots).collect()  # pivots rows at most
+    vectors = common.stored(spark, distinct(own, k), "vectors")
+    chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(s.pivots).collect()  # pivots rows at most
     pivots = np.array([r.v for r in chosen], np.float32).reshape(len(chosen), dims)
     length = min(s.length, len(pivots))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows (vec_id, v) of a partition as one block, numbered as the partition."""
+        """The rows (ids, v) of a partition as one block, numbered as the partition."""
         from pyspark import TaskContext
 
-        parts = [(b.column("vec_id").to_numpy(), b.column("v").flatten().to_numpy().reshape(-1, dims)) for b in batches if b.num_rows]
+        parts = [(b.column("ids").flatten().to_numpy(), b.column("ids").value_lengths().to_numpy().astype(np.int64), b.column("v").flatten().to_numpy().reshape(-1, dims)) for b in batches if b.num_rows]
         if parts:
-            ids, x = (np.concatenate(p) for p in zip(*parts, strict=True))
+            ids, counts, x = (np.concatenate(p) for p in zip(*parts, strict=True))
             order = permutations(x.astype(np.float32), pivots, length)
-            yield pa.RecordBatch.from_pydict({"block": pa.array([TaskContext.get().partitionId()], pa.int32()), "ids": pa.array([ids.tobytes()]), "x": pa.array([x.tobytes()]), "p": pa.array([order.tobytes()])})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([TaskContext.get().partitionId()], pa.int32()), "ids": pa.array([ids.tobytes()]), "n": pa.array([counts.tobytes()]), "x": pa.array([x.tobytes()]), "p": pa.array([order.tobytes()])})
 
     def blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-        """Dealt in turn, so that no block grows with a repeated id."""
+        """Dealt in turn, so blocks are of like size."""
         count = max(1, -(-rows.count() // size))
-        return rows.select("vec_id", "v").repartition(count).mapInArrow(packed, "block int, ids binary, x binary, p binary"), count
+        return rows.select("ids", "v").repartition(count).mapInArrow(packed, "block int, ids binary, n binary, x binary, p binary"), count
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = lambda r, end: (np.frombuffer(r["ids" + end], np.int64), np.frombuffer(r["x" + end], np.float64).reshape(-1, dims), np.frombuffer(r["p" + end], np.uint8).reshape(-1, length))
+        arrays = lambda r, end: (np.frombuffer(r["ids" + end], np.int64), np.frombuffer(r["n" + end], np.int64), np.frombuffer(r["x" + end], np.float64).reshape(-1, dims), np.frombuffer(r["p" + end], np.uint8).reshape(-1, length))
         for b in batches:
             for k_row in range(b.num_rows):
                 row = b.slice(k_row, 1).to_pylist()[0]
                 block = Block(*arrays(row, ""), len(pivots))
-                found = [(q, *block.best(q, x, p, k, s)) for q, x, p in zip(*arrays(row, "_q"), strict=True)]
+                found = [(q, *block.best(q, x, p, k, s)) for q, _, x, p in zip(*arrays(row, "_q"), strict=True)]
                 sizes = [len(i) for _, i, _ in found]
                 yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array([q for q, *_ in found], np.int64), sizes), "vec_id": np.concatenate([i for _, i, _ in found]), "score": np.concatenate([x for *_, x in found])})
 
-    data, count = blocks(own, s.block)
-    asked = own.where(is_query).withColumn("_n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.xxhash64("v")))).where("_n = 1").drop("_n")
+    data, count = blocks(vectors, s.block)
+    asked = own.where(is_query).withColumn("_n", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.xxhash64("v")))).where("_n = 1").select(F.array("vec_id").alias("ids"), "v")
     queries, _ = blocks(asked, s.queries)
     # A stated query set against all rows, in blocks: each block of queries goes to every block of vectors.
-    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), *[F.col(c).alias(f"{c}_q") for c in ("ids", "x", "p")])
-    found = data.join(sent, "block").select("ids", "x", "p", "ids_q", "x_q", "p_q").repartition(common.partitions(spark)).mapInArrow(meet, "query_id long, vec_id long, score double")
+    sent = queries.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("block"), *[F.col(c).alias(f"{c}_q") for c in ("ids", "n", "x", "p")])
+    found = data.join(sent, "block").select("ids", "n", "x", "p", "ids_q", "n_q", "x_q", "p_q").repartition(common.partitions(spark)).mapInArrow(meet, "query_id long, vec_id long, score double")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
