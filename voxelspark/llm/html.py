@@ -2,7 +2,7 @@
 
 Pages of one host are parsed to trees and aligned with a reference page by simple tree
 matching: equal roots, then the best ordered matching of their children, recursively;
-runs of like siblings count as one node. Nodes whose text is the same on (nearly) all
+runs of like siblings match as one node, and are judged one by one. Nodes whose text is the same on (nearly) all
 aligned pages are the template, nodes whose text varies are slots. The slot region that
 holds most of the varying text, under ``article``/``main`` or a like container where
 there is one, is the content; page furniture within it (menus, headers, footers,
@@ -251,20 +251,20 @@ class Wrapper:
         varied: dict[int, int] = {}
         seen = set()
         for shape, places in shaped:
-            texts = [own_text(nodes) for nodes in places]
+            texts = [tuple(own_text([n]) for n in nodes) for nodes in places]
             if (whole := hash(tuple(texts))) in seen:
                 continue
             seen.add(whole)
             for mine, place in match(shape, self.reference)[1]:
-                if texts[mine]:
+                # A page counts once for a text, however many members of a run have it.
+                for text in {*texts[mine]} - {""}:
                     of = values.setdefault(place, {})
-                    of[texts[mine]] = of.get(texts[mine], 0) + 1
-        self.constant: dict[int, str] = {}
+                    of[text] = of.get(text, 0) + 1
+        self.constant: dict[int, set[str]] = {}
         for place, of in values.items():
-            text, most = max(of.items(), key=lambda x: x[1])
-            if most >= self.least and most >= self.share * len(seen):
-                self.constant[place] = text
-            varied[place] = sum(len(t) * n for t, n in of.items() if t != self.constant.get(place))
+            if fixed := {t for t, n in of.items() if n >= self.least and n >= self.share * len(seen)}:
+                self.constant[place] = fixed
+            varied[place] = sum(len(t) * n for t, n in of.items() if t not in fixed)
         self.varied = varied
 
     def text(self, page: Node) -> str:
@@ -274,8 +274,8 @@ class Wrapper:
         weight: dict[int, int] = {}
         for mine, nodes in enumerate(places):
             place = to.get(mine)
-            if place in self.constant and own_text(nodes) == self.constant[place]:
-                skip |= {id(n) for n in nodes if not any(isinstance(k, Node) and k.tag not in INLINE for k in n.kids)}
+            if place in self.constant:
+                skip |= {id(n) for n in nodes if own_text([n]) in self.constant[place] and not any(isinstance(k, Node) and k.tag not in INLINE for k in n.kids)}
             for n in nodes:
                 weight[id(n)] = self.varied.get(place, 0) if place is not None else 0
         content = self.content(page, weight)
