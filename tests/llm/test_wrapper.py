@@ -1,5 +1,7 @@
 """Templates within runs of siblings."""
 
+from pyspark.sql import functions as F
+
 from voxelspark.llm import html
 
 
@@ -7,3 +9,13 @@ def test_constant_member_of_a_run_goes():
     page = lambda k: f"<body><div id=wrap><h2>Title {k}</h2><p>Story number {k}</p><p>Share this story with all your friends</p><p>End of {k}</p></div></body>"
     trees = [html.parse(page(k)) for k in range(12)]
     assert html.Wrapper(trees).text(trees[3]) == "Title 3 Story number 3 End of 3"
+
+
+def test_a_host_is_cut_by_its_own_size(spark):
+    bucket = lambda h: F.pmod(F.xxhash64(h), F.lit(1 << 16))
+    names = spark.range(400_000).select(F.concat(F.lit("h"), "id").alias("h"))
+    small = names.where(bucket(F.col("h")) == bucket(F.lit("hot.example"))).first().h
+    body = lambda k: f"<main><h2>Title {k}</h2><p>Story {k}</p><div>Same on all</div></main>"
+    rows = [(k, f"http://{small if k < 10 else 'hot.example'}/{k}", body(k)) for k in range(2000)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).where("page_id < 10").collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Title {k} Story {k}" for k in range(10)}

@@ -9,9 +9,8 @@ there is one, is the content; page furniture within it (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments: by element or class name) is not.
 
 Pages are dealt by host; a host with many pages is cut by the hash of the page into
-groups of about ``group`` pages, each of which induces its own wrapper. How many groups
-a host needs is counted over a fixed number of buckets of hosts, so that table has a
-bound. A host of one page has no template; container and furniture rules still hold.
+groups of about ``group`` pages, each of which induces its own wrapper. Only the
+hosts above that size are sent to all tasks, at most one for each ``group`` pages. A host of one page has no template; container and furniture rules still hold.
 
 Null and empty pages have no text. Repeated pages count once for the template, and each
 row is returned. A null url is a host of its own. Texts are whole: nothing is capped.
@@ -30,8 +29,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BUCKETS = 1 << 16
-
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -323,10 +320,9 @@ def extract(pages: DataFrame, group: int = 200) -> DataFrame:
     spark = pages.sparkSession
     common.workers_import(spark)
     mine = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    bucket = F.pmod(F.xxhash64("host"), F.lit(BUCKETS)).cast("int")
-    sizes = pages.select(host(F.col("url")).alias("host")).groupBy(bucket.alias("bucket")).count()  # BUCKETS rows at most
-    part = F.pmod(F.xxhash64("page_id"), F.ceil(F.col("count") / group))
-    dealt = mine.withColumn("bucket", bucket).join(F.broadcast(sizes), "bucket").withColumn("part", part)
+    sizes = pages.select(host(F.col("url")).alias("host")).groupBy("host").count().where(F.col("count") > group)
+    part = F.pmod(F.xxhash64("page_id"), F.ceil(F.coalesce("count", F.lit(1)) / group))
+    dealt = mine.join(F.broadcast(sizes), "host", "left").withColumn("part", part)
     parts = max(common.partitions(spark), -(-pages.count() // (10 * group)))  # a task's share has a bound
     dealt = dealt.select("page_id", "url", "host", "part", "html").repartition(parts, "host", "part").sortWithinPartitions("host", "part", "page_id")
 
