@@ -9,7 +9,10 @@ Texts are cut into pre-tokens by a pattern, each is encoded by itself, and decod
 maps pieces back to bytes. A token that its own merges never reach is taken whole where
 it is a whole pre-token, as rank encoders do; the model finds these tokens itself.
 
-Null texts are empty and have no ids. Ids of any text decode to its bytes.
+Null texts are empty and have no ids; bytes that are no UTF-8 are read as U+FFFD. Ids of
+any other text decode to its bytes. Texts are whole however long, a row comes out for each
+row (repeated ones and null ids too), and further columns, whatever their names, are not
+looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -71,9 +74,20 @@ def model(tokens: list[bytes]) -> bytes:
 
 
 class Codec:
-    """Encodes and decodes with the model of one rank file."""
+    """Encodes and decodes with the model of one rank file.
 
-    def __init__(self, path: str, pattern: str):
+    In a text whose white space is single characters between others, every space starts a
+    pre-token of the pattern, every other white space is one, and one ends between a letter
+    and ASCII punctuation other than the apostrophe. So such a text may be cut there and
+    each distinct part encoded once. Other texts are cut by the pattern itself.
+    """
+
+    #: Before a part that stands as it is; a part without it follows a space.
+    AS_IS = "\x02"
+    SPACES = r" \t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    LETTER, MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]", r"[!-&(-/:-@\[-`{-~]"
+
+    def __init__(self, path: str, pattern: str, most: int = 300_000):
         import regex
         import sentencepiece
 
@@ -81,12 +95,13 @@ class Codec:
         self.sp = sentencepiece.SentencePieceProcessor()
         self.sp.LoadFromSerializedProto(model(tokens))
         self.split = regex.compile(pattern).findall
-        self.table = [bytes(ord(c) - BASE for c in self.sp.IdToPiece(k)) for k in range(len(tokens))]
-        self.byte = {b: mapped(bytes([b])) for b in range(256)}
-        self.letters = str.maketrans({b: c for b, c in self.byte.items()})
+        table = [bytes(ord(c) - BASE for c in self.sp.IdToPiece(k)) for k in range(len(tokens))]
+        self.lengths = np.fromiter(map(len, table), np.int64, len(table))
+        self.starts, self.bytes = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(table), np.uint8)
+        self.letters = str.maketrans({b: mapped(bytes([b])) for b in range(256)})
         found = self.sp.encode([mapped(t) for t in tokens], num_threads=1)
         self.whole = {t: k for k, (t, ids) in enumerate(zip(tokens, found, strict=True)) if ids != [k]}
-        self.cache = common.Bounded()
+        self.parts = common.Pieces(self._learn, most)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         """The ids of pre-tokens."""
@@ -94,38 +109,40 @@ class Codec:
         found = self.sp.encode([r.decode("latin-1").translate(self.letters) for r in raw], num_threads=1)
         return [[self.whole[r]] if r in self.whole else ids for r, ids in zip(raw, found, strict=True)]
 
-    def _learn(self, parts: list[str]) -> None:
-        """Keep the ids of parts of texts, each cut by the pattern in turn."""
-        cut = [self.split(p) for p in parts]
-        flat = self._ids([x for pieces in cut for x in pieces])
-        at = 0
-        for part, pieces in zip(parts, cut, strict=True):
-            ids = [i for found in flat[at : at + len(pieces)] for i in found]
+    def _learn(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts of texts, each cut by the pattern in turn."""
+        cut = [self.split(p[1:] if p[:1] == self.AS_IS else " " + p) for p in parts]
+        flat, at, out = self._ids([x for pieces in cut for x in pieces]), 0, []
+        for pieces in cut:
+            out.append(np.array([i for found in flat[at : at + len(pieces)] for i in found], "<u4").tobytes())
             at += len(pieces)
-            self.cache[part] = np.array(ids, "<u4").tobytes()
-
-    def parts(self, text: str) -> list[str]:
-        """A text in parts that may be encoded apart.
-
-        A single space between two other characters that are not white space always
-        starts a pre-token of the pattern; so the text may be cut there and each
-        distinct part encoded once. Other texts are cut by the pattern alone.
-        """
-        first, *rest = text.split(" ")
-        if rest and all(rest) and first and not first[-1].isspace() and not any(p[0].isspace() or p[-1].isspace() for p in rest):
-            return [first, *[" " + p for p in rest]]
-        return self.split(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        return out
+
+    def cut(self, texts: pa.Array) -> pa.ListArray:
+        """Each text's parts."""
+        import pyarrow.compute as pc
+
+        own = pc.or_(pc.match_substring_regex(texts, f"(?s)^[{self.SPACES}]|[{self.SPACES}]{{2}}|[{self.SPACES}]$"), pc.match_substring(texts, self.AS_IS))
+        apart = np.flatnonzero(own.to_numpy(zero_copy_only=False))
+        plain = pc.replace_substring_regex(texts, rf"([{self.SPACES[1:]}])", f" {self.AS_IS}\\1 {self.AS_IS}")
+        plain = pc.replace_substring_regex(plain, f"({self.LETTER})({self.MARK})", f"\\1 {self.AS_IS}\\2")
+        found = pc.split_pattern(pc.binary_join_element_wise(self.AS_IS, plain, ""), " ")
+        if not len(apart):
+            return found
+        pieces = pa.array([[self.AS_IS + p for p in self.split(texts[k].as_py())] for k in apart.tolist()], found.type)
+        place = np.arange(len(texts))
+        place[apart] = len(texts) + np.arange(len(apart))
+        return pa.concat_arrays([found, pieces]).take(pa.array(place))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.parts(t) for t in texts]
-        used = {p for parts in cut for p in parts}
-        if new := self.cache.missing(used):
-            self._learn(new)
-        return [b"".join(map(self.cache.__getitem__, parts)) for parts in cut]
+        ids, counts = self.parts.ids(self.cut(texts))
+        data, ends = memoryview(ids.astype("<u4").tobytes()), (np.cumsum(counts) * 4).tolist()
+        return [bytes(data[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        k = np.frombuffer(ids, "<u4").astype(np.int64)
+        return common.gather(self.bytes, self.starts[k], self.lengths[k]).tobytes()
 
 
 _CODECS: dict = {}
@@ -145,12 +162,13 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            for at in range(0, b.num_rows, 1000):  # a call of the library costs as much as thousands of words
-                part = b.slice(at, 1000)
-                ids = own.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            at = 0
+            for part in common.slices(b.column(1)):
+                ids = own.encode(part)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                at += len(part)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.as_text(F.col(text)).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -11,8 +11,11 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,6 +114,11 @@ def as_bytes(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def as_text(text: Column) -> Column:
+    """A text that is valid UTF-8; null is empty."""
+    return F.make_valid_utf8(F.coalesce(text, F.lit("")))
+
+
 def remainder(key: Column, n: int) -> Column:
     """crc32(key as text) mod n; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % n
@@ -131,3 +139,69 @@ class Bounded(dict):
             self.clear()
             return list(used)
         return new
+
+
+def slices(texts: pa.Array, most: int = 6 << 20) -> Iterator[pa.Array]:
+    """A column of texts in runs of about ``most`` bytes; a longer text is a run by itself."""
+    import pyarrow.compute as pc
+
+    if not len(texts):
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The pieces data[start : start + length], one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return data[np.repeat(starts - ends + lengths, lengths) + np.arange(total)]
+
+
+class Pieces:
+    """A worker's token ids of pieces of text: each is worked out once for many uses.
+
+    It is emptied when it holds ``most`` pieces, so its size is bounded; results don't
+    depend on it. Only distinct pieces of a run of texts are looked at in Python.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], list[bytes]], most: int):
+        self.learn, self.most = learn, most
+        self._empty()
+
+    def _empty(self) -> None:
+        self.at: dict[str, int] = {}
+        self.data, self.starts, self.lengths = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _places(self, pieces: list[str]) -> np.ndarray:
+        out = [*map(self.at.get, pieces)]
+        new = [x for x, at in zip(pieces, out, strict=True) if at is None]
+        if len(self.at) + len(new) > self.most:
+            self._empty()
+            new = pieces
+        if new:
+            found = self.learn(new)
+            lengths = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            self.starts = np.concatenate([self.starts, len(self.data) + np.cumsum(lengths) - lengths])
+            self.lengths = np.concatenate([self.lengths, lengths])
+            self.data = np.concatenate([self.data, np.frombuffer(b"".join(found), "<u4")])
+            places = range(len(self.at), len(self.at) + len(new))
+            self.at.update(zip(new, places, strict=True))
+            if new is pieces:
+                return np.array(places)
+            out = np.array([-1 if at is None else at for at in out], np.int64)
+            out[out < 0] = places
+            return out
+        return np.array(out, np.int64)
+
+    def ids(self, cut: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts given as lists of pieces, and how many each text has."""
+        coded = cut.flatten().dictionary_encode()
+        w = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
+        sums = np.concatenate([[0], np.cumsum(self.lengths[w])])
+        ends = np.cumsum(cut.value_lengths().to_numpy())
+        return gather(self.data, self.starts[w], self.lengths[w]), np.diff(sums[ends], prepend=0)

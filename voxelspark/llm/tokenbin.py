@@ -19,6 +19,8 @@ by the text's hash), and an empty table makes no documents.
 from __future__ import annotations
 
 import io
+import itertools
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -39,60 +41,72 @@ MANIFEST = "shard int, path string, docs long, tokens long, bytes long"
 class Encoder:
     """Whole texts to token ids with a tokenizers file.
 
-    White space always ends a token of this vocabulary, so a text's ids are those of
-    its words in turn, and each distinct word is encoded once for all its uses. ASCII
-    letters are lowered first, as the vocabulary's own normaliser does, and a full stop
-    or comma after an ASCII letter is a token apart. New words go to the library many
-    in one text, with a control character between them.
+    ASCII white space always ends a token of this vocabulary, and so does the place between
+    a letter and ASCII punctuation other than the apostrophe. A text's ids are those of the
+    pieces between such places in turn, and each distinct piece is encoded once for all its
+    uses. ASCII letters are lowered first, as the vocabulary's own normaliser does. Pieces
+    of plain letters or punctuation alone need neither normaliser nor pattern and go to the
+    library without; all others go to it as they are. A text that contains an added token
+    goes to the library whole. New pieces go there many in one text, with a control
+    character between them.
     """
 
     BETWEEN = "\x01"
+    #: Lower-case letters that no normaliser changes, and ASCII punctuation.
+    LETTERS, MARKS = "[a-z\u00df-\u00f6\u00f8-\u00ff]", r"[!-&(-/:-@\[-`{-~]"
+    PLAIN = re.compile(f"{LETTERS}+|{MARKS}+").fullmatch
 
-    def __init__(self, path: str, end: int | None):
+    def __init__(self, path: str, end: int | None, most: int = 1_000_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.end = b"" if end is None else struct.pack("<I", end)
-        self.cache = common.Bounded(1_500_000)  # about 300 MB
-        mark = self._library([self.BETWEEN])[0]
-        self.mark = mark[0] if len(mark) == 1 else None
-        self.stops = {c: np.array(self._library([c.decode()])[0], "<u4").tobytes() for c in (b".", b",")}
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _words(self, words: list[bytes]) -> list[bytes]:
-        """The ids of words."""
-        if self.mark is None:
-            return [np.array(ids, "<u4").tobytes() for ids in self._library([w.decode("utf-8", "replace") for w in words])]
+        self.words = common.Pieces(self._learn, most)
+        self.mark = self.tokenizer.encode(self.BETWEEN, add_special_tokens=False).ids
+
+    def _library(self, tokenizer, words: list[str]) -> list[bytes]:
+        """The ids of words without the control character."""
         out = []
         blocks = [words[at : at + 500] for at in range(0, len(words), 500)]
-        for ids in self._library([f" {self.BETWEEN} ".join([w.decode("utf-8", "replace") for w in block]) for block in blocks]):
-            a = np.array(ids, "<u4")
-            data, cuts = a.tobytes(), (np.flatnonzero(a == self.mark) * 4).tolist()
+        for e in tokenizer.encode_batch_fast([f" {self.BETWEEN} ".join(block) for block in blocks], add_special_tokens=False):
+            a = np.array(e.ids, "<u4")
+            data, cuts = a.tobytes(), (np.flatnonzero(a == self.mark[0]) * 4).tolist()
             out += [data[i:j] for i, j in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)], strict=True)]
         return out
 
-    def _learn(self, new: list[bytes]) -> None:
-        mark = self.BETWEEN.encode()
-        odd = [w for w in new if mark in w]
-        stem = {w: w[:-1] if w[-1:] in self.stops and w[-2:-1].isalpha() else w for w in new if mark not in w}
-        stems = list({*stem.values()})
-        found = dict(zip(stems, self._words(stems), strict=True))
-        self.cache.update((w, found[s] if s is w else found[s] + self.stops[w[-1:]]) for w, s in stem.items())
-        self.cache.update((w, np.array(ids, "<u4").tobytes()) for w, ids in zip(odd, self._library([w.decode("utf-8", "replace") for w in odd]), strict=True))
-
-    def texts(self, texts: list[bytes]) -> Iterator[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str]) -> list[bytes]:
+        if len(self.mark) != 1:
+            return self.whole(new)
+        plain = [w for w in new if self.PLAIN(w)]
+        found = dict(zip(plain, self._library(self.bare, plain), strict=True))
+        odd = [w for w in new if self.BETWEEN in w]
+        found |= zip(odd, self.whole(odd), strict=True)
+        others = [w for w in new if w not in found]
+        found |= zip(others, self._library(self.tokenizer, others), strict=True)
+        return [found[w] for w in new]
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """The ids of each text, the end id included, as little-endian bytes."""
-        cut = [data.lower().split() for data in texts]
-        if new := self.cache.missing({w for words in cut for w in words}):
-            self._learn(new)
-        for words in cut:
-            yield b"".join(map(self.cache.__getitem__, words)) + self.end
+        import pyarrow.compute as pc
+
+        low = pc.ascii_lower(texts)
+        apart = [k for t in self.added for k in np.flatnonzero(pc.match_substring(low, t.lower()).to_numpy(zero_copy_only=False))]
+        found = dict(zip(apart, self.whole([texts[k].as_py() for k in apart]), strict=True))
+        pieces = pc.ascii_split_whitespace(pc.replace_substring_regex(low, f"({self.LETTERS})({self.MARKS})", r"\1 \2"))
+        ids, counts = self.words.ids(pieces)
+        data, ends = memoryview(ids.tobytes()), (np.cumsum(counts) * 4).tolist()
+        for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
+            yield (found[k] if k in found else bytes(data[a:b])) + self.end
 
 
 _ENCODERS: dict = {}
@@ -187,23 +201,22 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int | None = None, do
 
         def rows() -> Iterator[tuple[int | None, bytes]]:
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    part = b.slice(at, 256)
-                    yield from zip(part.column(0).to_pylist(), encode.texts(part.column(1).to_pylist()), strict=True)
+                ids = iter(b.column(0).to_pylist())
+                for part in common.slices(b.column(1)):
+                    yield from zip(itertools.islice(ids, len(part)), encode.texts(part), strict=True)
 
         source = rows()
         first = next(source, None)
         if first is None:
             return
-        from itertools import chain
-
         name = f"{path}/shard-{number:06d}.zst"
-        size = common.write_file(name, frames(chain([first], source), level, seen))
+        size = common.write_file(name, frames(itertools.chain([first], source), level, seen))
         yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "path": [name], "docs": [seen[0]], "tokens": [seen[1] // 4], "bytes": [size]})
 
-    data = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.as_bytes(F.col(text)).alias("text"))
-    tie = F.xxhash64("text")
-    ordered = data.repartitionByRange(common.partitions(spark), F.col("doc_id").asc_nulls_first(), tie).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), tie)
+    data = docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.as_text(F.col(text)).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # Equal rows may go to several ranges: which of them comes first makes no difference.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("row")]
+    ordered = data.repartitionByRange(common.partitions(spark), *order).sortWithinPartitions(*order).drop("row")
     return common.stored(spark, ordered.mapInArrow(shard, MANIFEST), "manifest")
 
 
