@@ -32,13 +32,13 @@ def test_quality(spark, odd, empty, labels):
 
 
 def test_mixing(spark, odd, empty, labels):
-    got = mixing.mix(odd, mixing.labelled(labels), mixing.WEIGHTS).collect()
+    got = mixing.mix(odd, mixing.labelled(labels), mixing.WEIGHTS).rows.collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 2, 3, 4, 5, 6, 7, 8]
     assert all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in got)
-    taken = mixing.take(odd, mixing.mix(odd, mixing.labelled(labels), mixing.WEIGHTS, most=1.0))
+    taken = mixing.take(odd, mixing.mix(odd, mixing.labelled(labels), mixing.WEIGHTS, most=1.0).rows)
     assert taken.columns == odd.columns and taken.count() <= 10
-    assert mixing.mix(empty, mixing.labelled(labels), mixing.WEIGHTS).count() == 0
-    alone = mixing.mix(odd, mixing.labelled(labels.limit(0)), mixing.WEIGHTS).collect()
+    assert mixing.mix(empty, mixing.labelled(labels), mixing.WEIGHTS).rows.count() == 0
+    alone = mixing.mix(odd, mixing.labelled(labels.limit(0)), mixing.WEIGHTS).rows.collect()
     assert len(alone) == 9
 
 
@@ -57,9 +57,9 @@ def test_simhash(spark, odd, empty):
     by = {d: (fp, c) for (d, fp), c in got.items()}
     assert simhash.groups(odd).count() == 10
     assert by[3] == by[4] == (0, 3) and by[1][1] == by[2][1] == 1
-    kept = simhash.keep_first(odd)
+    kept = simhash.keep_first(odd, simhash.groups(odd))
     assert kept.columns == odd.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 5, 6, 7, 8]
-    assert simhash.groups(empty).count() == 0 and simhash.keep_first(empty).count() == 0
+    assert simhash.groups(empty).count() == 0 and simhash.keep_first(empty, simhash.groups(empty)).count() == 0
 
 
 def test_byte_bpe(spark, odd, empty):
@@ -121,7 +121,8 @@ def test_pipeline_stages(spark, odd, empty, labels, tmp_path):
     import corpus_pipeline
 
     labels.write.parquet(str(tmp_path / "labels.parquet"))
-    for docs in (odd.withColumn("extra", F.lit(1)), empty):
+    clashing = {c: F.lit(k) for k, c in enumerate(("extra", "copies", "_id", "_copy", "bucket", "n", "root", "component_id", "p", "rate"))}
+    for docs in (odd.withColumns(clashing), empty):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             before, docs = docs, common.stored(spark, stage(spark, docs, str(tmp_path)), "s")
             assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == before.columns

@@ -87,7 +87,7 @@ class Codec:
     SPACES = r" \t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
     LETTER, MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]", r"[!-&(-/:-@\[-`{-~]"
 
-    def __init__(self, path: str, pattern: str, most: int = 300_000):
+    def __init__(self, path: str, pattern: str, most: int = 200_000):
         import regex
         import sentencepiece
 
@@ -155,8 +155,9 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit). No shuffle."""
+def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit); with ``decoded``
+    also the bytes that the ids decode to. No shuffle."""
     common.workers_import(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +166,18 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
             at = 0
             for part in common.slices(b.column(1)):
                 ids = own.encode(part)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(part)), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                columns = {"doc_id": b.column(0).slice(at, len(part)), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    columns["decoded"] = pa.array(map(own.decode, ids), pa.binary())
+                yield pa.RecordBatch.from_pydict(columns)
                 at += len(part)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.as_text(F.col(text)).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    schema = "doc_id long, n_tokens long, ids binary" + ", decoded binary" * decoded
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), common.as_text(F.col(text)).alias("text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Adds the decoded bytes to what ``encode`` returns."""
+    """Adds the decoded bytes to the columns doc_id, n_tokens and ids."""
     common.workers_import(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +196,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     args = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
-    both = decode(encode(common.table(spark, sf_dir, "documents"), *args), *args)
+    both = encode(common.table(spark, sf_dir, "documents"), *args, decoded=True)
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -84,18 +84,12 @@ def write_file(uri: str, parts) -> int:
     return size
 
 
-def local_copy(uri: str) -> str:
-    """A path that can be memory-mapped: the file itself if its store is a mounted
-    folder, else a copy that goes when the worker ends."""
+def mounted(uri: str) -> str:
+    """The path of a file to memory-map; its folder must be mounted where workers run."""
     fs, path = open_fs(uri)
-    if fs.type_name == "local":
-        return path
-    from pyarrow.fs import LocalFileSystem, copy_files
-
-    own = os.path.join(tempfile.mkdtemp(prefix="spark-"), os.path.basename(path))
-    copy_files(path, own, source_filesystem=fs, destination_filesystem=LocalFileSystem())
-    atexit.register(lambda: os.path.exists(own) and os.remove(own))
-    return own
+    if fs.type_name != "local":
+        raise ValueError(f"{uri}: spark.checkpoint.dir must name a mounted folder (file://) for files that are memory-mapped")
+    return path
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:

@@ -112,7 +112,7 @@ class Words:
 
     def part(self, p: int) -> np.memmap:
         if p not in self.files:
-            self.files[p] = np.memmap(common.local_copy(f"{self.model.path}/vocab-{p:06d}"), np.uint64, "r", shape=(2, self.model.vocab[p]))
+            self.files[p] = np.memmap(common.mounted(f"{self.model.path}/vocab-{p:06d}"), np.uint64, "r", shape=(2, self.model.vocab[p]))
         return self.files[p]
 
     def find(self, words: list[bytes]) -> np.ndarray:
@@ -301,13 +301,13 @@ class Scorer:
             if not n:  # the range has no context, so no file
                 none = np.zeros(0, np.uint64)
                 return none, none, np.zeros((4, hi - lo), np.uint64)
-            data = np.memmap(common.local_copy(f"{self.m.path}/pairs-{p:06d}"), np.uint64, "r")
+            data = np.memmap(common.mounted(f"{self.m.path}/pairs-{p:06d}"), np.uint64, "r")
             self.files["pairs", p] = data[:n], data[n : 2 * n], data[2 * n :].reshape(4, hi - lo)
         return self.files["pairs", p]
 
     def conts(self, p: int) -> np.ndarray:
         if ("conts", p) not in self.files:
-            self.files["conts", p] = np.memmap(common.local_copy(f"{self.m.path}/conts-{p:06d}"), np.uint64, "r")
+            self.files["conts", p] = np.memmap(common.mounted(f"{self.m.path}/conts-{p:06d}"), np.uint64, "r")
         return self.files["conts", p]
 
     def lower(self, ids: np.ndarray) -> np.ndarray:

@@ -10,18 +10,24 @@
    ``sum(r * tokens * posterior)``, match the targets: projected gradient on the least
    squares of the totals, in the metric of the domains' Gram matrix, where the step 1 is
    1 / Lipschitz. A step is one aggregation to as many numbers as there are domains; a
-   document's rate is a fold over the few steps so far, so no state is shuffled.
+   document's rate is a fold over the few steps so far, so no state is shuffled. The steps
+   end when the totals are the targets, or stand still: a step moves none by more than
+   ``still`` of all tokens, as where the targets can't be met. If neither is so after
+   ``steps`` of them, that is an error, not a result.
 3. A rate becomes a number of copies: its whole part, and one more with the odds of the
    rest, by a hash of the id.
 
 Rows that share an id are one document here: their words and tokens add up, and they get
 one rate. A null id is an id. Null and empty texts have no tokens and the priors as
 posterior. Domains without labels or with no target are left out; without labels every
-rate is 1.
+rate is 1. Texts are whole. Further columns of ``docs`` are carried by ``take``, whatever
+their names, and not looked at. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,7 +112,7 @@ def _rate(steps: list[list[float]], n: int, most: float | None) -> Column:
     return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), F.lit(1.0), step)
 
 
-def fit(soft: DataFrame, weights: list[float], budget: float | None = None, most: float | None = None, steps: int = 20, close: float = 1e-6) -> tuple[list[list[float]], list[float], list[float]]:
+def fit(soft: DataFrame, weights: list[float], budget: float | None = None, most: float | None = None, steps: int = 200, close: float = 1e-6, still: float = 2e-4) -> tuple[list[list[float]], list[float], list[float]]:
     """The steps that make the rates, the targets (tokens of each domain) and the totals reached.
 
     ``budget`` is the mix's tokens, by default those there are. With ``most`` no rate
@@ -129,10 +135,12 @@ def fit(soft: DataFrame, weights: list[float], budget: float | None = None, most
     goal = share * (1 if budget is None else budget / gram[0]) if most is None else np.minimum(start, share * start[0] / share[0])
     metric = metric + np.eye(n) * 1e-9
     done: list[list[float]] = []
-    now = start
-    while len(done) < steps and np.abs(now - goal).max() > close:
+    now, before = start, None
+    while np.abs(now - goal).max() > close and (before is None or np.abs(now - before).max() > still):
+        if len(done) == steps:
+            raise RuntimeError(f"the mix has not settled after {steps} steps: {(now * gram[0]).tolist()} of {(goal * gram[0]).tolist()}")
         done.append([float(x) for x in np.linalg.solve(metric, now - goal)])
-        now = totals(done)
+        before, now = now, totals(done)
     return done, (goal * gram[0]).tolist(), (now * gram[0]).tolist()
 
 
@@ -142,22 +150,32 @@ def copies(rate: Column, key: Column, seed: int = 11) -> Column:
     return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("long")
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most: float | None = None) -> DataFrame:
-    """doc_id, n_tokens, p (array in the order of ``weights``), rate, copies of each id."""
+@dataclass(frozen=True)
+class Mix:
+    """doc_id, n_tokens, p (array in the order of the weights), rate and copies of each id,
+    and the expected tokens of each domain: wanted and reached."""
+
+    rows: DataFrame
+    wanted: dict[str, float]
+    reached: dict[str, float]
+
+
+def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most: float | None = None) -> Mix:
     spark, domains = docs.sparkSession, list(weights)
     texts = docs.select("doc_id", "text")
     model, start = train(texts, labelled, domains)
     soft = common.stored(spark, posteriors(texts, model, start), "posteriors")
-    steps, *_ = fit(soft, [*weights.values()], most=most)
+    steps, wanted, reached = fit(soft, [*weights.values()], most=most)
     rated = soft.withColumn("rate", _rate(steps, len(domains), most))
-    return rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    return Mix(rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), dict(zip(domains, wanted, strict=True)), dict(zip(domains, reached, strict=True)))
 
 
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of ``docs``, each as often as ``mixed`` says; all columns stay."""
-    plan = mixed.select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(plan["_id"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    plan = mixed.where("copies > 0").select("doc_id", F.sequence(F.lit(1).cast("long"), "copies").alias("times"))
+    row = docs.select("doc_id", F.struct("*").alias("row"))
+    joined = row.join(plan, row["doc_id"].eqNullSafe(plan["doc_id"]))
+    return joined.select("row", F.explode("times")).select("row.*")
 
 
 #: The production mix of the labelled classes.
@@ -172,5 +190,5 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior, rate and copies of every document for the production mix."""
-    mixed = mix(common.table(spark, sf_dir, "documents"), labelled(common.table(spark, sf_dir, "labels")), WEIGHTS)
+    mixed = mix(common.table(spark, sf_dir, "documents"), labelled(common.table(spark, sf_dir, "labels")), WEIGHTS).rows
     return mixed.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(WEIGHTS)], "rate", "copies")

@@ -11,7 +11,10 @@ Kinds, in the order of the output: email, ip, card and phone as plain patterns d
 them; then mail (addresses with letters outside ASCII), login (user and password in a
 URL), iban, account (a number after a cue) and secret (a value after a cue).
 
-Null and empty texts have no spans. Positions are code points, ends exclusive.
+Null and empty texts have no spans. Positions are code points, ends exclusive. Texts are
+read whole, a span has no longest length but where its kind has one, and the time taken
+grows with the text. Each row, also a repeated one or one of a null id, is read by itself;
+further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ _phone = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").match
 _wide_domain = re.compile(r"\w[\w-]*(?:\.\w[\w-]*)*\.\w{2,}").match
 _host = re.compile(r"[A-Za-z0-9.-]+").match
 _iban = re.compile(r"[\s:#=]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})").match
-_account = re.compile(r"(?:\s*(?:number|no\.?|id))?\s*[:#=]?\s*([0-9A-Z](?:-?[0-9A-Z]){4,19})(?![\w-])").match
+_account = re.compile(r"(?:\s*(?i:numbers?|no\.?|nr\.?|id))?\s*[:#=]?\s*([0-9A-Z](?:-?[0-9A-Z]){4,19})(?![\w-])").match
 _secret = re.compile(r"\s*[:=]\s*[\"']?([A-Za-z0-9_+/.=-]{12,})").match
 
 
@@ -65,7 +68,7 @@ def automaton():
     anchors = {"@": "at", "://": "scheme", **{"+" + d: "phone" for d in digits}, **{f"{a}.{b}": "ip" for a in digits for b in digits}}
     anchors |= {a + gap + b: "card" for a in digits for gap in ("", " ", "-") for b in digits}
     for kind, cues in (("iban", ("iban",)), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
-        anchors |= {form: kind for cue in cues for form in (cue, cue.capitalize(), cue.upper())}
+        anchors |= {form: kind for cue in cues for form in (cue, cue.capitalize(), cue.title(), cue.upper())}
     for anchor, kind in anchors.items():
         found.add_word(anchor, (kind, len(anchor)))
     found.make_automaton()
@@ -149,7 +152,7 @@ class Finder:
     def _login(text: str, at: int, done: dict, add) -> None:
         """User and password between a scheme and the at-sign before a host."""
         end = at
-        while end < len(text) and end < at + 256 and not text[end].isspace() and text[end] not in "/@\"'<>":
+        while end < len(text) and not text[end].isspace() and text[end] not in "/@\"'<>":
             end += 1
         if at >= done["login"] and end < len(text) and text[end] == "@" and ":" in text[at:end] and _host(text, end + 1):
             done["login"] = end

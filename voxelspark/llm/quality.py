@@ -4,16 +4,19 @@ A text's words and their character n-grams are hashed to buckets; each bucket ha
 learned vector, a document is the mean of its vectors, and a softmax over the classes
 follows. Two marks are hashed like words: one for every word equal to the word before it
 (the word pairs that matter whatever the word is), and one that every text has ``prior``
-times, which draws the mean of a few words to that of all texts. Training is stochastic gradient descent in numpy, in one task, on a bounded
-sample of labelled rows (``per_class`` rows of each class, the first in the order of
-their ids' hash). The sample alone is bounded; all texts are scored whole.
+times, which draws the mean of a few words to that of all texts. Training is stochastic
+gradient descent in numpy, in one task, on a bounded sample of labelled rows
+(``per_class`` ids of each class, the first in the order of their hash; whole texts, at
+most 8 bytes for each bucket of each row). All texts are scored whole.
 
 The mean and the output layer are both linear, so a bucket's vector can be folded into
 one number before scoring and a word's buckets into one sum: a text costs one look-up a
 word, and no join.
 
-Null and empty texts score by the mark of all texts alone. Ids with contradicting labels teach
-nothing. Without labels of both classes every score is 0.5.
+Null and empty texts score by the mark of all texts alone. Ids with contradicting labels
+teach nothing; of rows that repeat an id one teaches, the least in the order of its
+features, and each is scored. A row of a null id is scored and teaches nothing. Without labels of both
+classes every score is 0.5. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -39,8 +42,6 @@ class Settings:
     epochs: int = 8
     rate: float = 1.0
     per_class: int = 1500
-    #: A training row's features, at most; the most frequent ones stay. Scoring has no bound.
-    features: int = 4000
     seed: int = 7
     #: How often a text has the mark of all texts, and how often a repeated word its mark.
     prior: int = 40
@@ -96,8 +97,6 @@ def counted(data: bytes, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     total[every] += s.prior
     total[again] += s.again * repeats(words)
     some = np.flatnonzero(total)
-    if len(some) > s.features:
-        some = np.sort(some[np.argsort(-total[some], kind="stable")[: s.features]])
     return some, (total[some] / total[some].sum()).astype(np.float32)
 
 
@@ -123,7 +122,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[np
         back = out @ g
         out -= rate * np.outer(mean, g)
         bias -= 0.1 * rate * g
-        # Shares are small: a step of their root moves rare and common buckets alike.
+        # The gradient is share * back. Shares are small, so each step is scaled by one over
+        # their root (a diagonal preconditioner): rare and common buckets move alike.
         vectors[bucket] = own - rate * np.outer(np.sqrt(share), back)
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
@@ -173,10 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str, settings: Settings = S
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "y", "bucket", "share")), strict=True))
-        weights, bias = fit([(np.frombuffer(k, "<i4").astype(np.int64), np.frombuffer(v, np.float32), y) for _, y, k, v in got], s)
+        weights, bias = fit([(np.frombuffer(k, "<i4"), np.frombuffer(v, np.float32), y) for _, y, k, v in got], s)
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.astype("<f4").tobytes()]), "bias": [bias]})
 
-    made = rows.mapInArrow(shares, "doc_id long, y int, bucket binary, share binary").repartition(1).mapInArrow(learn, "weights binary, bias double")
+    each = rows.mapInArrow(shares, "doc_id long, y int, bucket binary, share binary")
+    # Rows of one id are reduced to one before they are shuffled.
+    once = each.groupBy("doc_id").agg(F.min(F.struct("y", "bucket", "share")).alias("row")).select("doc_id", "row.*")
+    made = once.repartition(1).mapInArrow(learn, "weights binary, bias double")
     got = made.first()  # one row: 4 bytes a bucket
     return Model(np.frombuffer(bytes(got.weights), "<f4") if got else np.zeros(s.buckets, np.float32), got.bias if got else 0.0, s)
 
