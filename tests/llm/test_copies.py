@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from voxelspark.llm import ann
 
 
-@pytest.mark.parametrize("hot", [0, 8000])
-def test_recall_on_blocks_with_copies(spark, hot):
+@pytest.mark.parametrize(("hot", "spread"), [(0, 0.0), (8000, 0.0), (0, 1.0)])
+def test_recall_on_blocks_with_copies(spark, hot, spread):
     rng = np.random.default_rng(7)
     n = 24_000
     x = rng.standard_normal((n, 64))
-    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = (x * np.exp(rng.normal(0, spread, (n, 1)))).astype(np.float32)  # lengths may differ
     copies = rng.choice(n, hot, replace=False)
     x[copies] = x[0]
     rows = pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 64).cast(pa.list_(pa.float32()))})

@@ -1,5 +1,9 @@
 """Templates within runs of siblings."""
 
+import sys
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from voxelspark.llm import html
@@ -19,3 +23,38 @@ def test_a_host_is_cut_by_its_own_size(spark):
     rows = [(k, f"http://{small if k < 10 else 'hot.example'}/{k}", body(k)) for k in range(2000)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).where("page_id < 10").collect()
     assert {r.page_id: r.text for r in got} == {k: f"Title {k} Story {k}" for k in range(10)}
+
+
+def test_long_lists_match_as_short_ones_do():
+    rng = np.random.default_rng(3)
+    kinds = [("p", ()), ("div", (("p", ()),)), ("ul", (("li", ()), ("p", ()))), ("hr", ())]
+
+    def slow(x, y):
+        best = np.zeros((len(x) + 1, len(y) + 1), int)
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                best[i + 1, j + 1] = max(best[i, j + 1], best[i + 1, j], best[i, j] + html.match(p, q)[0])
+        return best[-1, -1]
+
+    for m, n in ((0, 3), (5, 4), (40, 17), (300, 220)):
+        x, y = (tuple(kinds[k] for k in rng.integers(0, 4, size)) for size in (m, n))
+        pairs = html._aligned(x, y)
+        assert sum(html.match(x[i], y[j])[0] for i, j in pairs) == slow(x, y)
+        assert all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False))
+        assert html.match(("html", x), ("html", y))[0] == 1 + slow(x, y)
+
+
+@pytest.mark.parametrize("blocks", [20, 500])
+def test_a_note_goes_beside_few_blocks_and_many(blocks):
+    page = lambda k: html.parse("<body><div>" + "".join(f"<p>own {k} {j}</p><div><p>more {k} {j}</p></div>" for j in range(blocks + k % 3)) + "<ul><li>Share this story</li></ul></div></body>")
+    pages = [page(k) for k in range(12)]
+    own = html.Wrapper(pages)
+    for k, p in enumerate(pages):
+        text = own.text(p)
+        assert "Share this" not in text and text.startswith(f"own {k} 0 more {k} 0 own {k} 1")
+
+
+def test_closed_images_and_deep_elements():
+    sys.setrecursionlimit(20 * html.DEPTH)  # as the operator does
+    page = html.parse('<article><p>one</p><svg class="i"/><p>two</p>' + "<div>" * 400 + "<nav>menu</nav>three</article>")
+    assert html.Wrapper([page]).text(page) == "one two three"

@@ -9,11 +9,15 @@ there is one, is the content; page furniture within it (menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments: by element or class name) is not.
 
 Pages are dealt by host; a host with many pages is cut by the hash of the page into
-groups of about ``group`` pages, each of which induces its own wrapper. Only the
-hosts above that size are sent to all tasks, at most one for each ``group`` pages. A host of one page has no template; container and furniture rules still hold.
-
-Null and empty pages have no text. Repeated pages count once for the template, and each
-row is returned. A null url is a host of its own. Texts are whole: nothing is capped.
+groups of about ``group`` pages and a bound of bytes, each of which induces its own
+wrapper. Only the hosts above that size are sent to all tasks, at most one for each
+``group`` pages or that many bytes. A host of one page has no template; container and
+furniture rules still hold.
+
+Null and empty pages have no text. Equal pages of a group are one page with several rows:
+they count once for the template, and each row is returned. Null and repeated page_ids
+are rows like any other. A null url is a host of its own. Pages are whole: nothing is
+capped. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,16 +41,14 @@ FURNITURE = frozenset("nav header footer aside form menu script style noscript t
 CONTAINERS = ("article", "main")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol dl table article section main div body html td th".split())
-RAW = "script|style|textarea|title|noscript|template|iframe|svg"
+RAW = "script|style|textarea|title|noscript|template|iframe"
 #: Words of a class or id that name furniture, and such that name content.
 FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement sponsor sponsored promo promotion banner sidebar side menu navbar nav navigation breadcrumb breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe signup login share sharing social related recommended comment comments reply replies respond disqus toolbar widget widgets pagination skip".split())
 CONTENT_WORDS = frozenset("article content main post entry story body text".split())
 #: A name with one of these says something about its element, not what it is.
 MODIFIERS = frozenset("with has have no without open closed enabled disabled is".split())
-#: Elements nested deeper are read as if they stood at this depth.
-DEPTH = 150
-#: Lists of children longer than this, in product, are matched at both ends only.
-WIDE = 200_000
+#: Elements nested deeper are read as if they stood at this depth, which is that of browsers.
+DEPTH = 512
 
 _attributes = r"(?:[^<>\"']|\"[^\"]*\"|'[^']*')*"
 _token = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_attributes}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/><]*)({_attributes})>|<[a-zA-Z!?/][^<>]*>", re.S | re.I)
@@ -152,36 +155,62 @@ def match(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
     """Simple tree matching of two shapes: matched nodes, and their places in preorder."""
     if a[0] != b[0]:
         return 0, ()
-    m, n = len(a[1]), len(b[1])
-    if m * n > WIDE:
-        return _ends(a, b)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m):
-        for j in range(n):
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + match(a[1][i], b[1][j])[0])
-    starts = [[1 + sum(map(_size, x[1][:k])) for k in range(len(x[1]))] for x in (a, b)]
-    pairs, i, j = [], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            pairs += [(x + starts[0][i], y + starts[1][j]) for x, y in match(a[1][i], b[1][j])[1]]
-    return best[m][n] + 1, ((0, 0), *sorted(pairs))
-
-
-def _ends(a: tuple, b: tuple) -> tuple[int, tuple[tuple[int, int], ...]]:
-    """Equal children at both ends of long lists, with all that is in them."""
     x, y = a[1], b[1]
+    # Equal children at both ends always match in some best matching.
     most = min(len(x), len(y))
     head = next((k for k in range(most) if x[k] != y[k]), most)
     tail = next((k for k in range(most - head) if x[-1 - k] != y[-1 - k]), most - head)
-    first = 1 + sum(map(_size, x[:head]))
-    last = sum(map(_size, x[len(x) - tail :]))
-    n, m = _size(a), _size(b)
-    return first + last, (*((k, k) for k in range(first)), *((n - last + k, m - last + k) for k in range(last)))
+    inner = _aligned(x[head : len(x) - tail], y[head : len(y) - tail])
+    ends = [(k, k) for k in range(head)] + [(len(x) - tail + k, len(y) - tail + k) for k in range(tail)]
+    starts = [np.concatenate([[1], 1 + np.cumsum([_size(c) for c in kids])]).astype(int).tolist() for kids in (x, y)]
+    total, pairs = 1, [(0, 0)]
+    for i, j in sorted([*ends, *((head + i, head + j) for i, j in inner)]):
+        size, own = match(x[i], y[j])
+        total += size
+        pairs += [(p + starts[0][i], q + starts[1][j]) for p, q in own]
+    return total, tuple(pairs)
+
+
+def _aligned(x: tuple, y: tuple) -> list[tuple[int, int]]:
+    """Places of the children that a best ordered matching of two lists matches.
+
+    The table is made a row at a time; rows are kept at distances and those between made
+    again on the way back, so long lists are matched as short ones are.
+    """
+    m, n = len(x), len(y)
+    if not m or not n:
+        return []
+    kinds = [list(dict.fromkeys(c)) for c in (x, y)]
+    worth = np.array([[match(p, q)[0] for q in kinds[1]] for p in kinds[0]], np.int64)
+    at = [{c: k for k, c in enumerate(kind)} for kind in kinds]
+    row_of, column = [at[0][c] for c in x], np.array([at[1][c] for c in y])
+
+    def rows(before: np.ndarray, first: int, last: int) -> list[np.ndarray]:
+        out = [before]
+        for i in range(first, last):
+            best = out[-1].copy()
+            best[1:] = np.maximum(best[1:], out[-1][:-1] + worth[row_of[i]][column])
+            out.append(np.maximum.accumulate(best))
+        return out
+
+    step = max(16, int(m**0.5))
+    kept = [np.zeros(n + 1, np.int64)]
+    for first in range(0, m - step, step):
+        kept.append(rows(kept[-1], first, first + step)[-1])
+    pairs, i, j = [], m, n
+    for k in range(len(kept) - 1, -1, -1):
+        table = rows(kept[k], k * step, i)
+        while i > k * step and j:
+            row, above = table[i - k * step], table[i - 1 - k * step]
+            if row[j] == above[j]:
+                i -= 1
+            elif row[j] == row[j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((i, j))
+        i = k * step
+    return pairs[::-1]
 
 
 def blocks(node: Node, skip: set[int], out: list[str] | None = None, top: bool = True) -> list[str]:
@@ -315,33 +344,44 @@ def host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def extract(pages: DataFrame, group: int = 200) -> DataFrame:
-    """page_id, url, text of every page."""
+def extract(pages: DataFrame, group: int = 200, most: int = 32 << 20) -> DataFrame:
+    """page_id, url, text of every page. A group has about ``group`` pages and ``most`` bytes."""
     spark = pages.sparkSession
     common.workers_import(spark)
-    mine = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html"))
-    sizes = pages.select(host(F.col("url")).alias("host")).groupBy("host").count().where(F.col("count") > group)
-    part = F.pmod(F.xxhash64("page_id"), F.ceil(F.coalesce("count", F.lit(1)) / group))
-    dealt = mine.join(F.broadcast(sizes), "host", "left").withColumn("part", part)
+    mine = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host(F.col("url")).alias("host"), common.as_text(F.col("html")).alias("html"))
+    grown = pages.select(host(F.col("url")).alias("host"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("bytes")).groupBy("host").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    parts_of = F.ceil(F.greatest(F.col("n") / group, F.col("bytes") / most))
+    sizes = common.stored(spark, grown.select("host", parts_of.alias("parts")).where("parts > 1"), "hosts")
+    # Rows that repeat an id are spread too; only rows that are equal go together.
+    spread = F.xxhash64("page_id", "html")
+    dealt = mine.join(F.broadcast(sizes), "host", "left").withColumn("part", F.pmod(spread, F.coalesce("parts", F.lit(1)))).withColumn("order", spread)
     parts = max(common.partitions(spark), -(-pages.count() // (10 * group)))  # a task's share has a bound
-    dealt = dealt.select("page_id", "url", "host", "part", "html").repartition(parts, "host", "part").sortWithinPartitions("host", "part", "page_id")
+    dealt = dealt.select("page_id", "url", "host", "part", "html", "order").repartition(parts, "host", "part").sortWithinPartitions("host", "part", "order", "page_id").drop("order")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        import sys
+
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20 * DEPTH))
+        key, held = None, {}  # a page's rows under its text, which is held once
 
-        def out() -> pa.RecordBatch:
-            trees = [parse(h) for *_, h in held]
-            own = Wrapper(trees)
-            return pa.RecordBatch.from_pydict({"page_id": pa.array([x[0] for x in held], pa.int64()), "url": pa.array([x[1] for x in held], pa.string()), "text": pa.array([own.text(t) for t in trees], pa.string())})
+        def out() -> Iterator[pa.RecordBatch]:
+            trees = {h: parse(h) for h in held}
+            own = Wrapper([*trees.values()])
+            for h, rows in held.items():
+                text = own.text(trees[h])
+                for at in range(0, len(rows), 1000):
+                    some = rows[at : at + 1000]
+                    yield pa.RecordBatch.from_pydict({"page_id": pa.array([i for i, _ in some], pa.int64()), "url": pa.array([u for _, u in some], pa.string()), "text": pa.array([text] * len(some), pa.string())})
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and (held[-1][2:4] != row[2:4] or len(held) >= 2 * group):
-                    yield out()
-                    held = []
-                held.append(row)
+            for page_id, url, *of, page in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and of != key:
+                    yield from out()
+                    held = {}
+                key = of
+                held.setdefault(page, []).append((page_id, url))
         if held:
-            yield out()
+            yield from out()
 
     return dealt.mapInArrow(run, "page_id long, url string, text string")
 
