@@ -144,19 +144,20 @@ def rasterize(overlays: DataFrame) -> DataFrame:
     """Runs of each polygon (keys and seq kept): pixels whose centre is inside by the
     even-odd rule or lies on an edge. Fewer than 3 points make none."""
     p = F.col("points")
-    whole = overlays.where(F.size("points") >= 3)
-    ys = F.transform(p, lambda q: q["y"])
-    rows = whole.select("v", "z", "seq", "points", F.explode(F.sequence(F.array_min(ys), F.array_max(ys))).alias("y"))
     n = F.size("points")
     edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(p, i).alias("a"), F.get(p, F.pmod(i + 1, n)).alias("b")))
+    each = overlays.where(n >= 3).select("v", "z", "seq", F.explode(edges).alias("e")).select("v", "z", "seq", *[F.col(f"e.{k}.{c}").alias(k + c) for k in "ab" for c in "xy"])
+    # An edge has the rows of its own span only, one crossing in each.
+    rows = each.withColumn("y", F.explode(F.sequence(F.least("ay", "by"), F.greatest("ay", "by"))))
     y = F.col("y")
-    at = lambda e: e["a"]["x"] + (y - e["a"]["y"]) * (e["b"]["x"] - e["a"]["x"]) / F.nullif(e["b"]["y"] - e["a"]["y"], F.lit(0))
-    crossing = F.array_sort(F.transform(F.filter("edges", lambda e: (e["a"]["y"] <= y) != (e["b"]["y"] <= y)), at))
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size("cross") - 1), lambda i: i % 2 == 0), lambda i: F.struct(F.ceil(F.get("cross", i)).alias("x0"), F.floor(F.get("cross", i + 1)).alias("x1")))
-    inside = F.when(F.size("cross") > 0, pairs).otherwise(F.array().cast("array<struct<x0:bigint,x1:bigint>>"))
-    on = F.filter("edges", lambda e: (F.least(e["a"]["y"], e["b"]["y"]) <= y) & (y <= F.greatest(e["a"]["y"], e["b"]["y"])))
-    exact = F.transform(on, lambda e: F.when(e["a"]["y"] == e["b"]["y"], F.struct(F.least(e["a"]["x"], e["b"]["x"]).cast("long").alias("x0"), F.greatest(e["a"]["x"], e["b"]["x"]).cast("long").alias("x1"))).otherwise(F.struct(F.ceil(at(e)).alias("x0"), F.floor(at(e)).alias("x1"))))
-    found = rows.withColumn("edges", edges).withColumn("cross", crossing).select("v", "z", "seq", "y", F.explode(F.filter(F.concat(inside, exact), lambda r: r["x0"] <= r["x1"])).alias("r"))
+    at = F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0))
+    run = lambda x0, x1: F.struct(x0.cast("long").alias("x0"), x1.cast("long").alias("x1"))
+    on = F.when(F.col("ay") == F.col("by"), run(F.least("ax", "bx"), F.greatest("ax", "bx"))).when(F.ceil("at") <= F.floor("at"), run(F.ceil("at"), F.floor("at")))
+    crosses = (F.col("ay") <= y) != (F.col("by") <= y)
+    grouped = rows.withColumn("at", at).groupBy("v", "z", "seq", "y").agg(F.sort_array(F.collect_list(F.when(crosses, F.col("at")))).alias("cross"), F.collect_list(on).alias("on"))  # an element an edge
+    pairs = F.transform(F.sequence(F.lit(1), F.size("cross") - 1, F.lit(2)), lambda i: run(F.ceil(F.get("cross", i - 1)), F.floor(F.get("cross", i))))
+    inside = F.when(F.size("cross") > 1, pairs).otherwise(F.array().cast("array<struct<x0:bigint,x1:bigint>>"))
+    found = grouped.select("v", "z", "seq", "y", F.explode(F.filter(F.concat(inside, "on"), lambda r: r["x0"] <= r["x1"])).alias("r"))
     return union(found.select("v", "z", "seq", "y", "r.x0", "r.x1"), "v", "z", "seq")
 
 
