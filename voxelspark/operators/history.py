@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 
 def step(history: list[int], depth: int, op: str, command: int) -> int:
@@ -46,3 +47,19 @@ def replay(log: DataFrame) -> DataFrame:
 
     rows = log.select("session", "n", "op", "event_id").where("session is not null").repartition("session").sortWithinPartitions("session", "n")
     return rows.mapInPandas(fold, "session long, position long, event_id long")
+
+
+def overlay_state(live: DataFrame, commands: DataFrame) -> DataFrame:
+    """(session, z, idx, event_id, label, selected): the overlays that the live commands leave.
+
+    ``live`` is what ``replay`` returns; ``commands`` has session, event_id, z, kind, label
+    and target, the add that a ``delete`` or ``meta`` command is about. Added overlays that
+    no live command deletes stay, in the order of their commands; the last live ``meta``
+    gives the label; the last overlay of a slice is selected. Joins on the command alone.
+    """
+    done = live.join(commands, ["session", "event_id"])
+    changes = done.where("kind <> 'add'").groupBy("session", F.col("target").alias("event_id")).agg(F.bool_or(F.col("kind") == "delete").alias("gone"), F.max_by("label", F.when(F.col("kind") == "meta", F.col("position"))).alias("_label"))
+    kept = done.where("kind = 'add'").join(changes, ["session", "event_id"], "left").where("not coalesce(gone, false)")
+    slice_ = Window.partitionBy("session", "z")
+    idx = (F.row_number().over(slice_.orderBy("position")) - 1).cast("long")
+    return kept.select("session", "z", idx.alias("idx"), "event_id", F.coalesce("_label", "label").alias("label"), (F.col("position") == F.max("position").over(slice_)).alias("selected"))

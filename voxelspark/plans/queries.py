@@ -604,17 +604,35 @@ def commit_polygons(spark, d):
     return longs(annotate.commit(o.where("status = 'committed'"), new, " view ", "", "Layer 2"), "v z seq", "label", "color", "status")
 
 
-@query(f"""with recursive {OVERLAYS}, log as (select user_id session, n, case event_type when 'error' then 'undo' when 'signup' then 'redo' else 'do' end op, event_id from ev),
+#: The live commands of the log, up to the table ``pos``.
+LIVE = f"""with recursive {OVERLAYS}, log as (select user_id session, n, case event_type when 'error' then 'undo' when 'signup' then 'redo' else 'do' end op, event_id from ev),
 fold as (select session, 0::bigint n, []::bigint[] hist, 0::bigint depth from (select distinct session from log)
   union all select f.session, l.n, case when op = 'do' then list_append(hist[1:depth], event_id) else hist end,
   case when op = 'do' then depth + 1 when op = 'undo' then greatest(0, depth - 1) else least(len(hist), depth + 1) end from fold f join log l on l.session = f.session and l.n = f.n + 1),
 fin as (select session, arg_max(struct_pack(h := hist, d := depth), n) s from fold group by session),
-pos as (select session, s, unnest(generate_series(1, s.d)) position from fin)
+pos as (select session, s, unnest(generate_series(1, s.d)) position from fin)"""
+
+
+@query(f"""{LIVE}
 select session::bigint session, position::bigint position, s.h[position]::bigint event_id from pos""")
 def undo_redo_state(spark, d):
     return history.replay(tables.command_log(spark, d))
 
 
+@query(f"""{LIVE},
+live as (select session, position, s.h[position] event_id from pos),
+cmd as (select user_id session, n, event_id, event_id % 4 z, case event_type when 'click' then 'add' when 'purchase' then 'delete' when 'view' then 'meta' end kind, 'L' || (event_id % 10) "label" from ev),
+aimed as (select *, last_value(case when kind = 'add' then event_id end ignore nulls) over (partition by session, z order by n rows between unbounded preceding and 1 preceding) target from cmd),
+done as (select live.session, position, live.event_id, z, kind, "label", target from live join aimed using (session, event_id)),
+changes as (select session, target, bool_or(kind = 'delete') gone, arg_max("label", position) filter (where kind = 'meta') renamed from done where kind <> 'add' group by session, target),
+kept as (select done.session, z, position, event_id, coalesce(renamed, "label") "label" from done left join changes on changes.session = done.session and changes.target = done.event_id where kind = 'add' and not coalesce(gone, false))
+select session::bigint session, z::bigint z, (row_number() over (partition by session, z order by position) - 1)::bigint idx, event_id::bigint event_id, "label",
+  position = max(position) over (partition by session, z) selected from kept""")
+def overlay_state(spark, d):
+    found = history.overlay_state(history.replay(tables.command_log(spark, d)), tables.commands(spark, d))
+    return longs(found, "session z idx event_id", "label", "selected")
+
+
 @query(f"""with {CLICKS}, e as (select *, coalesce(sum((finish or cancel)::int) over (partition by v order by n rows between unbounded preceding and 1 preceding), 0) draft from px),
 a as (select v session, draft, count(x) np, bool_or(finish and not cancel) fin, arg_max(z, n) z, string_agg(x || ',' || y, ' ' order by n) points from e group by v, draft)
 select session::bigint session, draft::bigint draft, z::bigint z, points path from a where fin and np >= 3""")

@@ -60,6 +60,16 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).select(F.col("user_id").alias("v"), (i % 32).alias("z"), "n", F.col("event_id").alias("point_id"), n(i * 7 % 900, "cx"), n(i * 13 % 700, "cy"), *[F.lit(x).alias(c) for c, x in (("ox", 100), ("oy", 50), ("vw", 640), ("vh", 512))], (i % 6 == 0).alias("finish"), (i % 29 == 0).alias("cancel"))
 
 
+def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the commands of ``command_log`` do: click adds, purchase deletes and view renames
+    the overlay that the session added last to the slice (``event_id`` % 4)."""
+    kind = F.when(F.col("event_type") == "click", "add").when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "view", "meta")
+    rows = _numbered(spark, sf_dir).select(F.col("user_id").alias("session"), "n", "event_id", (F.col("event_id") % 4).alias("z"), kind.alias("kind"), F.concat(F.lit("L"), (F.col("event_id") % 10).cast("string")).alias("label"))
+    before = Window.partitionBy("session", "z").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    target = F.last(F.when(F.col("kind") == "add", F.col("event_id")), ignorenulls=True).over(before)
+    return rows.withColumn("target", target).where("kind is not null").drop("n")
+
+
 def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     op = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("do")
     return _numbered(spark, sf_dir).select(F.col("user_id").alias("session"), "n", op.alias("op"), "event_id")
