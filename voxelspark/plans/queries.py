@@ -382,6 +382,15 @@ def dense_grid(spark, d):
     return longs(masks.densify_grid(_seed_runs(spark, d), tables.volumes(spark, d)), "v z pixels")
 
 
+@query(f"""with {OVERLAYS}, {_SEEDS}, g as (select v, unnest(generate_series(0, 31)) z from (select distinct v from ov where v % 10 <> 0))
+select v::bigint v, z::bigint z, coalesce(sum(x1 - x0 + 1) filter (y < 64 and x1 < 64), 0)::bigint pixels from g left join u using (v, z) group by v, z""")
+def seed_admission(spark, d):
+    volumes = tables.volumes(spark, d)
+    declared = volumes.withColumn("h", F.when(F.col("v") % 10 == 0, 32).otherwise(F.col("h")))
+    fitting = volumes.join(segment.admitted(declared, volumes).select("v"), "v", "left_semi")
+    return longs(masks.densify_grid(_seed_runs(spark, d), fitting), "v z pixels")
+
+
 _TRIANGLE = """tri as (select v, z, seq, y, x1 x0, x1 + ((x2 - x1) * (y2 - y)) // (y2 - y1) x1 from (select *, unnest(generate_series(y1, y2)) y from ov))"""
 
 

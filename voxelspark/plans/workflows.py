@@ -36,10 +36,13 @@ def mask_polygons(found: DataFrame, gray: DataFrame, min_area: float) -> DataFra
     return segment.contours(whole.join(gray.select("v", "z", "h", "w"), ["v", "z"]), min_area)
 
 
-def seeded_volume_run(gray: DataFrame, overlays: DataFrame, runs: DataFrame, volumes: DataFrame, predictor: models.Predictor, labels: str = "", text_stride: int = 0, min_area: float = 20) -> DataFrame:
+def seeded_volume_run(gray: DataFrame, overlays: DataFrame, runs: DataFrame, volumes: DataFrame, predictor: models.Predictor, labels: str = "", text_stride: int = 0, min_area: float = 20, declared: DataFrame | None = None) -> DataFrame:
     """Polygons of a volume model guided by seeds: committed masks of the labels, with
-    those of every ``text_stride``-th slice if asked, spread over all slices."""
+    those of every ``text_stride``-th slice if asked, spread over all slices. With
+    ``declared`` (v, z_count, h, w of the seeds) only seeds of their volume's shape count."""
     own = propagate.seed_masks(overlays, runs, label_filter(F.lit(labels)))
+    if declared is not None:
+        own = own.join(segment.admitted(declared, volumes).select("v"), "v", "left_semi")
     if text_stride:
         found = models.text_seeds(gray, text_stride, models.PercentilePredictor())
         lit = found.join(gray.select("v", "z", "w"), ["v", "z"]).select("v", "z", "w", F.posexplode("mask").alias("p", "on")).where("`on` > 0")
