@@ -317,3 +317,12 @@ def test_pipeline(spark):
     clean = table("labels").query("quality == 1 and toxic == 0")
     first = clean[clean.doc_id.isin(run(spark, "op6_simhash").query("doc_id == component_id").doc_id)]
     assert first.doc_id.isin(got.doc_id).mean() > 0.7
+
+
+def test_long_logins_and_titled_cues():
+    spans = lambda t: [t[a:b] for k, a, b in pii.Finder().spans(t) if k in ("login", "account")]
+    for n in (10, 255, 256, 257, 5000):
+        login = "u" * n + ":" + "p" * n
+        assert spans(f"see https://{login}@host.org/x") == [login]
+    for cue in ("account number", "Account number", "Account Number", "ACCOUNT NUMBER", "account", "Passport No."):
+        assert spans(f"{cue} 1234567 ends") == ["1234567"], cue

@@ -127,3 +127,11 @@ def test_pipeline_stages(spark, odd, empty, labels, tmp_path):
             before, docs = docs, common.stored(spark, stage(spark, docs, str(tmp_path)), "s")
             assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == before.columns
             assert docs.count() <= before.count()
+
+
+def test_a_repeated_id_teaches_once(spark, odd, labels):
+    s = quality.Settings(buckets=1 << 10, epochs=2)
+    once = odd.where("doc_id in (1, 5, 6, 8)")
+    again = once.unionByName(once.where("doc_id = 5").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("x"))
+    a, b = (quality.train(rows, labels, "quality", s) for rows in (once, again))
+    assert a.bias == b.bias and (a.weights == b.weights).all()
