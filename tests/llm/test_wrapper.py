@@ -58,3 +58,32 @@ def test_closed_images_and_deep_elements():
     sys.setrecursionlimit(20 * html.DEPTH)  # as the operator does
     page = html.parse('<article><p>one</p><svg class="i"/><p>two</p>' + "<div>" * 400 + "<nav>menu</nav>three</article>")
     assert html.Wrapper([page]).text(page) == "one two three"
+
+
+def test_alignment_decides_where_no_name_does():
+    rng = np.random.default_rng(9)
+    story = lambda k: [" ".join(rng.choice(["sea", "hill", "road", "wind", "lamp"], 30)) + f" {k} {j}" for j in range(3)]
+    stories = [story(k) for k in range(12)]
+    box = "".join(f"<li>Link {j} of a long list of links that every page shows</li>" for j in range(9))
+
+    def page(own):
+        return html.parse(f"<body><div class=a1><ul>{box}</ul></div><div class=a2><p>All of our offers</p>" + "".join(f"<p>{t}</p>" for t in own) + "<p>Read us daily</p></div><div class=a3><p>Imprint</p></div></body>")
+
+    trees = [page(s) for s in stories]
+    own = html.Wrapper(trees)
+    for s, t in zip(stories, trees, strict=True):
+        assert own.text(t) == " ".join(s)
+        # Without other pages to align with nothing tells the links from the story.
+        assert html.Wrapper([t]).text(t) != " ".join(s)
+
+
+def test_a_constant_article_is_not_the_content():
+    page = lambda k: html.parse("<body><article><p>" + "About this paper, as on every page. " * 20 + f"</p></article><div class=a2><p>Story {k} of its own</p><p>It ends with {k}</p></div></body>")
+    trees = [page(k) for k in range(12)]
+    assert html.Wrapper(trees).text(trees[4]) == "Story 4 of its own It ends with 4"
+
+
+def test_all_articles_of_a_page():
+    page = lambda k: html.parse(f"<body><div>Top</div><article><p>First part {k}</p></article><div>Between</div><article><p>Second part {k}</p></article></body>")
+    trees = [page(k) for k in range(12)]
+    assert html.Wrapper(trees).text(trees[5]) == "First part 5 Second part 5"

@@ -3,10 +3,11 @@
 Pages of one host are parsed to trees and aligned with a reference page by simple tree
 matching: equal roots, then the best ordered matching of their children, recursively;
 runs of like siblings match as one node, and are judged one by one. Nodes whose text is the same on (nearly) all
-aligned pages are the template, nodes whose text varies are slots. The slot region that
-holds most of the varying text, under ``article``/``main`` or a like container where
-there is one, is the content; page furniture within it (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments: by element or class name) is not.
+aligned pages are the template, nodes whose text varies are slots. The slot region, the
+lowest node with most of the varying text, is the content; where an ``article``, ``main``
+or a container named like one is around it or in it, that settles its bounds. Page
+furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments:
+by element or class name) takes no part.
 
 Pages are dealt by host; a host with many pages is cut by the hash of the page into
 groups of about ``group`` pages and a bound of bytes, each of which induces its own
@@ -274,7 +275,6 @@ class Wrapper:
         # The reference: the largest shape, the first of equals.
         self.reference = max((s for s, _ in shaped), key=_size)
         values: dict[int, dict[str, int]] = {}
-        varied: dict[int, int] = {}
         seen = set()
         for shape, places in shaped:
             texts = [tuple(own_text([n]) for n in nodes) for nodes in places]
@@ -290,53 +290,49 @@ class Wrapper:
         for place, of in values.items():
             if fixed := {t for t, n in of.items() if n >= self.least and n >= self.share * len(seen)}:
                 self.constant[place] = fixed
-            varied[place] = sum(len(t) * n for t, n in of.items() if t not in fixed)
-        self.varied = varied
 
     def text(self, page: Node) -> str:
         shape, places = collapsed(page)
         to = dict(match(shape, self.reference)[1])
-        skip = set()
-        weight: dict[int, int] = {}
-        for mine, nodes in enumerate(places):
-            place = to.get(mine)
-            if place in self.constant:
-                skip |= {id(n) for n in nodes if own_text([n]) in self.constant[place] and not any(isinstance(k, Node) and k.tag not in INLINE for k in n.kids)}
-            for n in nodes:
-                weight[id(n)] = self.varied.get(place, 0) if place is not None else 0
-        content = self.content(page, weight)
-        return joined(blocks(content, skip)) if content else ""
+        template = {id(n): n for mine, nodes in enumerate(places) for n in nodes if own_text([n]) in self.constant.get(to.get(mine), ())}
+        skip = {i for i, n in template.items() if not any(isinstance(k, Node) and k.tag not in INLINE for k in n.kids)}
+        return joined([x for n in self.content(page, template) for x in (*blocks(n, skip), None)])
 
     @staticmethod
-    def content(page: Node, weight: dict[int, int]) -> Node | None:
-        """The container with most varying text; without one, the lowest node that has
-        most of the page's. Furniture doesn't count."""
+    def content(page: Node, template: dict[int, Node]) -> list[Node]:
+        """The slot region: the lowest node with most of the page's varying text (of its
+        text, where none varies). Furniture doesn't count. Tags and names settle the
+        region's bounds alone: it is widened to the container around it, or narrowed to
+        the containers in it if they hold half of what it holds."""
         total: dict[int, tuple[int, int]] = {}
-        containers, order = [], []
+        order: list[tuple[Node, Node | None]] = []
+        last: dict[int, int] = {}
 
-        def walk(node: Node, inside: bool) -> tuple[int, int]:
+        def walk(node: Node, outer: Node | None) -> tuple[int, int]:
             own = len(own_text([node]))
-            varying, length = own * (weight.get(id(node), 0) > 0), own
-            here = node.container and not inside and node is not page
-            if here:
-                containers.append(node)
-            order.append(node)
+            varying, length = own * (id(node) not in template), own
+            if outer is None and node.container and node is not page:
+                outer = node
+            order.append((node, outer))
             for kid in node.kids:
                 if isinstance(kid, Node) and kid.tag not in INLINE and not kid.furniture:
-                    v, n = walk(kid, inside or here)
+                    v, n = walk(kid, outer)
                     varying, length = varying + v, length + n
-            total[id(node)] = varying, length
+            total[id(node)], last[id(node)] = (varying, length), len(order)
             return varying, length
 
-        walk(page, False)
-        if containers:
-            # An article outranks a container that is only named like one.
-            return max(containers, key=lambda n: (n.tag in CONTAINERS, total[id(n)]))
-        whole = total[id(page)]
+        whole = walk(page, None)
         if not whole[1]:
-            return None
+            return []
         rank = 0 if whole[0] else 1
-        return [n for n in order if total[id(n)][rank] >= 0.8 * whole[rank]][-1]
+        at = max(k for k, (n, _) in enumerate(order) if total[id(n)][rank] >= 0.8 * whole[rank])
+        region, outer = order[at]
+        if outer is not None:
+            return [outer]
+        inside = [n for n, o in order[at : last[id(region)]] if o is n]
+        # An article outranks a container that is only named like one.
+        inside = [n for n in inside if n.tag in CONTAINERS] or inside
+        return inside if 2 * sum(total[id(n)][rank] for n in inside) >= total[id(region)][rank] else [region]
 
 
 def host(url):
