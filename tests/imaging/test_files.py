@@ -41,6 +41,23 @@ def test_masks_round_trip(spark, tmp_path):
     assert len(got) == 4 and sum(got["mask_7.nii1"]) == 4 and sum(got["mask_7.nii0"]) == 0 and sum(map(sum, got.values())) == 4
 
 
+def test_a_mask_keeps_its_volumes_header(spark, tmp_path):
+    raw = bytearray(nifti(np.ones((3, 5, 1, 4))))
+    affine = [0.0, -2.0, 0.5, 10.0, 1.5, 0.0, 0.0, -7.0, 0.0, 0.0, 3.0, 4.0]
+    struct.pack_into("<8f", raw, 76, -1.0, 1.5, 2.0, 9.0, 3.0, 1.0, 1.0, 1.0)
+    struct.pack_into("<2h", raw, 252, 1, 2)
+    struct.pack_into("<12f", raw, 280, *affine)
+    (tmp_path / "a.nii").write_bytes(bytes(raw))
+    slices = volumes.read_volumes(spark, str(tmp_path / "a.nii"))
+    vols = slices.where("z = 0").selectExpr("7L v", "z_count", "h", "w", "axis", "header")
+    runs = spark.createDataFrame([(7, 1, 2, 0, 1)], "v long, z long, y int, x0 int, x1 int")
+    made = bytes(volumes.mask_files(runs, vols).first().content)
+    values, head = volumes.decode(made)
+    assert struct.unpack_from("<12f", head, 280) == tuple(affine) and struct.unpack_from("<2h", head, 252) == (1, 2)
+    assert struct.unpack_from("<4f", head, 76) == (-1.0, 1.5, 2.0, 3.0)
+    assert values.shape == (3, 5, 4) and values.sum() == 2
+
+
 def test_images(spark, tmp_path):
     runs = spark.createDataFrame([(7, 1, 2, 0, 1)], "v long, z long, y int, x0 int, x1 int")
     vols = spark.createDataFrame([(7, 2, 3, 4)], "v long, z_count int, h int, w int")

@@ -35,6 +35,16 @@ def commit(existing: DataFrame, polygons: DataFrame, label: str, color: str, lay
     return existing.unionByName(rows, allowMissingColumns=True)
 
 
+def commit_drawn(existing: DataFrame, drafts: DataFrame, label: str = DEFAULT_LABEL, color: str = "", layer: str = DEFAULT_LAYER) -> DataFrame:
+    """Polygons drawn by hand (v, z, draft, points; ordered by draft) committed; the slices
+    they are on lose their previews."""
+    part = F.row_number().over(Window.partitionBy("v", "z").orderBy("draft")) - 1
+    new = drafts.where(F.size("points") >= 3).select("v", "z", part.alias("part"), "points")
+    drawn = new.select("v", "z").distinct()
+    kept = existing.where("status = 'preview'").join(drawn, ["v", "z"], "left_anti").select(*existing.columns)
+    return commit(existing.where("status <> 'preview'").unionByName(kept), new, label, color, layer)
+
+
 def set_preview(existing: DataFrame, new: DataFrame, processed: DataFrame) -> DataFrame:
     """Previews of the processed slices (v, z) replaced by ``new``; those without any lose theirs."""
     kept = existing.where("status = 'preview'").join(processed.select("v", "z").distinct(), ["v", "z"], "left_anti")

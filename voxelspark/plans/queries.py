@@ -651,6 +651,19 @@ def draft_polygons(spark, d):
     return longs(found, "session draft z", text.alias("path"))
 
 
+@query(f"""with {CLICKS}, e as (select *, coalesce(sum((finish or cancel)::int) over (partition by v order by n rows between unbounded preceding and 1 preceding), 0) draft from px),
+a as (select v, draft, count(x) np, bool_or(finish and not cancel) fin, arg_max(z, n) z from e group by v, draft),
+new as (select v, z, row_number() over (partition by v, z order by draft) - 1 part from a where fin and np >= 3),
+kept as (select v, z, seq, "label", status from ov where status <> 'preview' or not exists (select 1 from new where new.v = ov.v and new.z = ov.z)),
+last as (select v, z, max(seq) m from kept group by v, z)
+select v::bigint v, z::bigint z, seq::bigint seq, "label", status from kept
+union all select new.v::bigint, new.z::bigint, (coalesce(m, -1) + 1 + part)::bigint, 'drawn', 'committed' from new left join last using (v, z)""")
+def manual_commit(spark, d):
+    o = tables.overlays(spark, d).select("v", "z", "seq", "points", "label", "color", "layer", "status")
+    drafts = annotate.draft_polygons(_pixels(spark, d).withColumn("session", F.col("v"))).withColumnRenamed("session", "v")
+    return longs(annotate.commit_drawn(o, drafts, "drawn"), "v z seq", "label", "status")
+
+
 @query(f"""with {OVERLAYS}, c as (select * from runs where status = 'committed'), {islands("u", "c")}
 select v::bigint v, z::bigint z, 'mask_' || lpad(z::varchar, 4, '0') || '.png' file, sum(x1 - x0 + 1)::bigint pixels from u group by v, z""")
 def export_manifest(spark, d):

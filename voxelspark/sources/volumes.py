@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 # NIfTI-1 data types.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
-SLICES = "path string, z long, h int, w int, axis int, z_count int, pixels array<float>, error string"
+SLICES = "path string, z long, h int, w int, axis int, z_count int, pixels array<float>, header binary, error string"
 
 
 def decode(data: bytes) -> tuple[np.ndarray, bytes]:
@@ -47,20 +47,21 @@ def oriented(values: np.ndarray) -> tuple[np.ndarray, int]:
 
 
 def read_volumes(spark: SparkSession, path: str) -> DataFrame:
-    """A row a slice; a file that can't be read is one row with its error."""
+    """A row a slice, with its file's header; a file that can't be read is one row with its error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, data in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    volume, axis = oriented(decode(bytes(data))[0])
+                    values, header = decode(bytes(data))
+                    volume, axis = oriented(values)
                     n, h, w = volume.shape
                     for at in range(0, n, 64):
                         part = volume[at : at + 64]
                         k = len(part)
-                        yield pd.DataFrame({"path": [name] * k, "z": range(at, at + k), "h": h, "w": w, "axis": axis, "z_count": n, "pixels": [p.ravel().tolist() for p in part], "error": None})
+                        yield pd.DataFrame({"path": [name] * k, "z": range(at, at + k), "h": h, "w": w, "axis": axis, "z_count": n, "pixels": [p.ravel().tolist() for p in part], "header": [header] * k, "error": None})
                 except (ValueError, struct.error, OSError, EOFError, zlib.error) as e:
-                    yield pd.DataFrame({"path": [name], "z": None, "h": None, "w": None, "axis": None, "z_count": None, "pixels": None, "error": [str(e)]})
+                    yield pd.DataFrame({"path": [name], "z": None, "h": None, "w": None, "axis": None, "z_count": None, "pixels": None, "header": None, "error": [str(e)]})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, SLICES)
@@ -72,21 +73,33 @@ def volume_axis(dims):
     return (F.array_position(kept, F.array_min(kept)) - 1).cast("int")
 
 
-def encode(mask: np.ndarray, axis: int) -> bytes:
-    """A uint8 NIfTI-1 file of a mask (z, h, w), turned back to the file's orientation."""
+def encode(mask: np.ndarray, axis: int, header: bytes | None = None) -> bytes:
+    """A uint8 NIfTI-1 file of a mask (z, h, w), turned back to the file's orientation. Of
+    the volume's ``header``, if given, the affine, voxel sizes, units and texts are kept."""
     values = np.moveaxis(mask.astype(np.uint8), 0, axis)
-    head = bytearray(352)
-    struct.pack_into("<i", head, 0, 348)
-    struct.pack_into("<8h", head, 40, 3, *values.shape, 1, 1, 1, 1)
-    struct.pack_into("<2h", head, 70, 2, 8)
-    struct.pack_into("<8f", head, 76, *[1.0] * 8)
-    struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
+    head, order = bytearray(352), "<"
+    if header is None:
+        struct.pack_into("<8f", head, 76, *[1.0] * 8)
+    else:
+        head[:348] = header
+        order = "<" if struct.unpack_from("<i", header)[0] == 348 else ">"
+        dims, sizes = struct.unpack_from(order + "8h", header, 40), struct.unpack_from(order + "8f", header, 76)
+        # Dimensions of size 1 are gone from the mask.
+        kept = [k for k in range(1, dims[0] + 1) if dims[k] > 1]
+        if len(kept) == 3:
+            struct.pack_into(order + "8f", head, 76, sizes[0], *(sizes[k] for k in kept), *[1.0] * 4)
+    struct.pack_into(order + "i", head, 0, 348)
+    struct.pack_into(order + "8h", head, 40, 3, *values.shape, 1, 1, 1, 1)
+    struct.pack_into(order + "2h", head, 70, 2, 8)
+    struct.pack_into(order + "3f", head, 108, 352.0, 1.0, 0.0)
+    struct.pack_into(order + "2f", head, 124, 0.0, 0.0)  # no display range
     head[344:348] = b"n+1\0"
     return bytes(head) + values.tobytes(order="F")
 
 
 def mask_files(runs: DataFrame, volumes: DataFrame) -> DataFrame:
-    """(v, content): the encoded union mask of each volume (v, z_count, h, w, axis)."""
+    """(v, content): the encoded union mask of each volume (v, z_count, h, w, axis and, if
+    known, its file's header)."""
     from ..operators.masks import union
 
     rows = union(runs).groupBy("v").agg(F.collect_list(F.struct("z", "y", "x0", "x1")).alias("rows"))
@@ -99,10 +112,11 @@ def mask_files(runs: DataFrame, volumes: DataFrame) -> DataFrame:
                 for q in r.rows if r.rows is not None else []:
                     if 0 <= q["z"] < r.z_count and 0 <= q["y"] < r.h:
                         mask[q["z"], q["y"], max(0, q["x0"]) : q["x1"] + 1] = 1
-                out.append(encode(mask, r.axis))
+                out.append(encode(mask, r.axis, getattr(r, "header", None)))
             yield pd.DataFrame({"v": pdf["v"], "content": out})
 
-    return volumes.join(rows, "v", "left").select("v", "z_count", "h", "w", "axis", "rows").mapInPandas(run, "v long, content binary")
+    known = [c for c in ("header",) if c in volumes.columns]
+    return volumes.join(rows, "v", "left").select("v", "z_count", "h", "w", "axis", "rows", *known).mapInPandas(run, "v long, content binary")
 
 
 def png(mask: np.ndarray) -> bytes:
