@@ -2,8 +2,10 @@
 
 import numpy as np
 
+import pytest
+
 import corpus_pipeline
-from voxelspark.llm import near
+from voxelspark.llm import common, near
 
 
 def brute(texts):
@@ -37,3 +39,18 @@ def test_stage_drops_every_pair_at_0_8(spark):
     assert got == want
     kept = corpus_pipeline.near_duplicates(spark, rows, "")
     assert {r.doc_id for r in kept.collect()} == {i for i, r in want.items() if i == r}
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: own)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    own = None
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+    own = "file:///mnt/work/"
+    assert common.shared_dir(Session) == "file:///mnt/work"

@@ -11,8 +11,7 @@ is a set of files in the shared folder, sorted by key and cut by ranges of it:
 
 Tasks count in numpy and hand on packed blocks, one for each range, so a frequent word
 or pair is summed before it is shuffled. Scoring workers map the files and look up whole
-batches of sorted keys; nothing is loaded whole. Longer histories would use the same
-files with hashed contexts; on this text trigrams are nearly all distinct.
+batches of sorted keys; nothing is loaded whole. The order is 2.
 
 Null and empty texts have the end alone. Repeated rows count each time. With nothing to
 learn from, every token has probability 1 / (V + 1) = 1. Learning and scoring take
