@@ -1,6 +1,7 @@
 """Text queries against their SQL in DuckDB, at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from voxelspark.llm.registry import ORACLE_SQL, QUERIES
@@ -9,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def rows(df) -> list:
-    plain = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v == int(v) else v
+    plain = lambda v: None if v is None or v is pd.NA or v != v else int(v) if isinstance(v, float) and v == int(v) else v
     return sorted(tuple(str(plain(v)) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 

@@ -33,3 +33,16 @@ proof as (select doc_id, sha256(string_agg(lo || hi, '' order by s)) p from sib
 select doc_id, leaf, subroot, o.a[1] root, coalesce(p, sha256('')) proof_sha256, h folded_root, h = o.a[1] verified
 from leaves join tops on leaves.source is not distinct from tops.source join (select a from over where len(a) = 1) o on true
 join (select doc_id, arg_max(h, s) h from walk group by doc_id) using (doc_id) left join proof using (doc_id)"""
+
+TRIE = f"""with conv as (select conv_id c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first, role, text) a, {CRC.format(x='conv_id::varchar')} % 6 h
+  from conversations where conv_id is not null group by conv_id),
+path as (select x.c, list_concat(coalesce(b.a[1 : x.h], []), x.a[x.h + 1 :]) p from conv x left join conv b on b.c = x.c - x.c % 100),
+pre as (select c, len(p) own, d, sha256(to_json(p[1 : d])::varchar) k, case when d > 0 then sha256(to_json(p[1 : d - 1])::varchar) end up, case when d > 0 then length(p[d].t) else 0 end chars
+  from (select *, unnest(range(0, len(p) + 1)) d from path)),
+node as (select k, any_value(up) up, any_value(d) d, min(c) conv_id, count(*) n, (count(*) - 1) * any_value(chars) saved, coalesce(string_agg(c, ',' order by c) filter (own = d), '') ends from pre group by k),
+kids as (select up k, count(*) n from node where up is not null group by up),
+under as (select distinct a.k top, b.k from pre a join pre b on a.c = b.c and a.d <= b.d),
+sums as (select top k, count(*) filter (kids.n is null) leaves, sum(node.saved) saved from under join node on node.k = under.k left join kids on kids.k = under.k group by top)
+select node.conv_id::bigint conv_id, node.d::bigint depth, par.conv_id::bigint parent_conv_id, node.n::bigint n_convs, coalesce(kids.n, 0)::bigint n_children,
+  sums.leaves::bigint n_leaves, sums.saved::bigint saved_tokens, sha256(node.ends) ends_sha256
+from node join sums using (k) left join kids using (k) left join node par on par.k = node.up"""
