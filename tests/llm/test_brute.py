@@ -12,8 +12,9 @@ import public_tokenizers as P
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from voxelspark.llm import bpe, html, lm, pii, rules, simhash, tokenbin
+from voxelspark.llm import bpe, common, html, lm, mixing, pii, rules, simhash, tokenbin
 from voxelspark.llm.registry import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -116,6 +117,35 @@ def test_op4(spark):
     assert (abs(got.copies - got.rate) < 1).all()
 
 
+@pytest.mark.parametrize("most", [None, 1.0])
+def test_mixing_is_the_least_squares_optimum(spark, most):
+    """Against plain projected gradient in numpy over all documents of sf0.01."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    found = mixing.mix(docs, mixing.labelled(labels), mixing.WEIGHTS, most=most)
+    rows = found.rows.toPandas()
+    p, tokens, rate = np.array(rows.p.tolist()), rows.n_tokens.to_numpy(float), rows.rate.to_numpy()
+    wanted, reached = (np.array([of[d] for d in mixing.WEIGHTS]) for of in (found.wanted, found.reached))
+    assert np.allclose((rate * tokens) @ p, reached) and abs(reached - wanted).max() < 1e-4 * tokens.sum() and found.residual < 1e-8
+    assert abs(reached / wanted - 1).max() < 1e-3 and (rate >= 0).all() and (most is None or (rate <= most).all())
+    mass, goal = tokens / tokens.sum(), wanted / tokens.sum()
+    r, step = np.ones(len(p)), 1 / np.linalg.norm((p.T * mass) @ p, 2)
+    for _ in range(4000):
+        r = np.clip(r - step * p @ ((r * mass) @ p - goal), 0, most)
+    assert abs(reached / tokens.sum() - goal).max() < abs((r * mass) @ p - goal).max() + 1e-4
+    # Of all rates that reach the totals these are nearest to 1.
+    assert (mass * (rate - 1) ** 2).sum() <= (mass * (r - 1) ** 2).sum() + 1e-3
+
+
+def test_mixing_without_a_way_to_the_targets(spark):
+    rows = [(k, 100, [0.9, 0.1]) for k in range(50)]
+    soft = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
+    got = mixing.fit(soft, [0.1, 0.9])
+    assert got.residual < 1e-8 and got.reached[1] < 0.2 * got.wanted[1]  # the least squares point, not an error
+    rate = got.reached[0] / 4500
+    best = (0.9 * 0.1 + 0.1 * 0.9) / (0.9**2 + 0.1**2)
+    assert abs(rate - best) < 1e-3
+
+
 def test_op5(spark, docs):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     texts = {i: [*t.encode().lower().split(), b""] for i, t in zip(docs.doc_id, docs.text, strict=True)}
@@ -219,6 +249,37 @@ def test_op7(spark, docs):
         assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t) and own.decode(ids) == t.encode()
 
 
+def test_op7_characters():
+    """Every character below U+3000, and letters newer than the reference's tables, in odd places."""
+    import tiktoken
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {t: k for k, t in enumerate(bpe.read_ranks(path))}
+    library, own = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={}), bpe.codec(path, P.PATTERN)
+    signs = [chr(c) for c in (*range(0x3000), *range(0xA7C0, 0xA7F8), *range(0x10940, 0x10960), *range(0x18D00, 0x18D30), *range(0x323B0, 0x323C8))]
+    texts = [t.format(c=c) for c in signs for t in ("field one{c}'s value", "a{c}b {c}1{c}, {c}{c} x'll{c}re", "{c}", "2{c}3 .{c}")]
+    got = own.encode(pa.array(texts))
+    wrong = [t for t, ids in zip(texts, got, strict=True) if np.frombuffer(ids, "<u4").tolist() != library.encode_ordinary(t)]
+    assert not wrong and all(own.decode(ids) == t.encode() for t, ids in zip(texts, got, strict=True))
+
+
+def test_op8_repeated_rows_are_one_trial(spark):
+    """14 good texts repeated 200 times certify no more than 14 texts do."""
+    good, bad = " ".join(f"word{k}" for k in range(40)), " ".join("#" if k % 2 else f"x{k}" for k in range(40))
+    once = [(k, f"{good} {k}", "en") for k in range(30)] + [(100 + k, f"{bad} {k}", "en") for k in range(30)]
+    label = [(i, int(i < 100)) for i, *_ in once]
+    found = []
+    for times in (1, 200):
+        docs = spark.createDataFrame(once * times, "doc_id long, text string, lang string")
+        labels = spark.createDataFrame(label * min(times, 3), "doc_id long, quality int")
+        found.append(sorted(tuple(r) for r in rules.cutoffs(rules.counts(docs), labels).collect()))
+    assert found[0] == found[1] == []
+    many = [(k, f"{good} {k}", "en") for k in range(2000)] + [(5000 + k, f"{bad} {k}", "en") for k in range(500)]
+    docs, labels = spark.createDataFrame(many, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i < 5000)) for i, *_ in many], "doc_id long, quality int")
+    chosen = rules.cutoffs(rules.counts(docs), labels).collect()
+    assert {r.rule for r in chosen} >= {"symbols"} and all(900 < r.n_held < 1100 and r.n_rejected == 0 for r in chosen)
+
+
 def test_op8(spark, docs):
     got = run(spark, "op8_quality_rules").set_index("doc_id")
     for i, t in zip(docs.doc_id, docs.text, strict=True):
@@ -294,6 +355,12 @@ def test_op10():
     assert pii.marked(text, f.spans(text)).startswith("IBAN: <IBAN> ok, http://<LOGIN>/x <MAIL> passport")
 
 
+def test_op10_invalid_bytes(spark):
+    raw = spark.createDataFrame([(bytearray(b"ask \xff\xfe me at a.b@c.de now"),), (None,)], "b binary").select(F.expr("cast(b as string)").alias("t"))
+    rows = raw.select(pii.find(common.as_text(F.col("t"))).alias("s"), pii.redact(F.col("t")).alias("r")).collect()
+    assert [s.kind for s in rows[0].s] == ["email"] and "<EMAIL>" in rows[0].r and rows[1].r is None
+
+
 def test_op10_query(spark, docs):
     got = run(spark, "op10_personal_data").set_index("doc_id")
     f = pii.Finder()

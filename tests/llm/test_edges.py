@@ -112,6 +112,9 @@ def test_shared_folder_is_the_session_s(spark):
         class conf:  # noqa: N801
             get = staticmethod(lambda key, default: default)
 
+        class sparkContext:  # noqa: N801
+            master = "local[2]"
+
     root = spark.conf.get("spark.checkpoint.dir", None)
     assert common.work_dir(spark, "x").startswith(root or "file:///")
     assert common.shared_dir(Unset) == common.shared_dir(Unset) and common.shared_dir(Unset).startswith("file:///")

@@ -87,3 +87,35 @@ def test_all_articles_of_a_page():
     page = lambda k: html.parse(f"<body><div>Top</div><article><p>First part {k}</p></article><div>Between</div><article><p>Second part {k}</p></article></body>")
     trees = [page(k) for k in range(12)]
     assert html.Wrapper(trees).text(trees[5]) == "First part 5 Second part 5"
+
+
+def test_short_blocks_beside_a_long_one_stay():
+    page = lambda k: f"<body><div><h1>Title {k}</h1><p>Lead of {k}</p><p>{'long paragraph ' * 80}{k}</p><p>Closing line {k}</p></div><p>Imprint</p></body>"
+    trees = [html.parse(page(k)) for k in range(12)]
+    text = html.Wrapper(trees).text(trees[5])
+    assert text.startswith("Title 5 Lead of 5 long") and text.endswith("5 Closing line 5")
+
+
+@pytest.mark.parametrize("depth", [100, 505, 510, 600, 3000])
+def test_a_menu_goes_at_any_depth(depth):
+    sys.setrecursionlimit(20 * html.DEPTH)
+    page = html.parse("<article>" + "<div>" * depth + "<nav>menu <div>more</div></nav>story" + "</div>" * depth + "</article>")
+    assert html.Wrapper([page]).text(page) == "story"
+
+
+def test_an_article_outranks_a_named_container():
+    page = lambda k: html.parse(f"<body><div class=content><article><p>Story {k} of its own</p></article><div>See also {k}</div></div></body>")
+    trees = [page(k) for k in range(12)]
+    assert {html.Wrapper(t).text(t[0]) for t in (trees, trees[:1])} == {"Story 0 of its own"}
+    lone = html.parse("<body><div>Top</div><div class=story><p>A page with no other of its host</p></div></body>")
+    assert html.Wrapper([lone]).text(lone) == "A page with no other of its host"
+
+
+def test_given_pages_need_no_article():
+    import duckdb
+
+    rows = duckdb.sql("select lower(regexp_extract(url, '://([^/:]+)', 1)) h, list(html) from '/root/testdata/sf0.1/pages.parquet' group by 1 having count(*) >= 20 order by 1 limit 12").fetchall()
+    for _, pages in rows:
+        trees = [[html.parse(p.replace("article>", f"{tag}>")) for p in pages] for tag in ("article", "div")]
+        with_tag, without = ([own.text(t) for t in ts] for ts in trees for own in [html.Wrapper(ts)])
+        assert with_tag == without and all(with_tag)

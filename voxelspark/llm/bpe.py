@@ -73,6 +73,22 @@ def model(tokens: list[bytes]) -> bytes:
     return b"".join(pieces) + _field(2, trainer) + _field(3, normalizer)
 
 
+def newer_letters(pattern: str) -> list[str]:
+    """Characters that are letters or numbers to the module that splits here and are none to
+    tiktoken, whose tables are older. Which these are is asked, not listed: a letter makes
+    one pre-token with the letter before it, and that pair has a rank in a probe."""
+    import unicodedata
+
+    import regex
+    import tiktoken
+
+    none = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
+    asked = regex.findall(r"[\p{L}\p{N}]", none)
+    pairs = [(x + c).encode() for c in asked for x in "a1"]
+    probe = tiktoken.Encoding("probe", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)} | {p: 256 + k for k, p in enumerate(pairs)}, special_tokens={})
+    return [c for c in asked if all(len(probe.encode_ordinary(x + c)) > 1 for x in "a1")]
+
+
 class Codec:
     """Encodes and decodes with the model of one rank file.
 
@@ -84,7 +100,7 @@ class Codec:
 
     #: Before a part that stands as it is; a part without it follows a space.
     AS_IS = "\x02"
-    SPACES = r" \t-\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+    SPACES = r" \t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
     LETTER, MARK = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]", r"[!-&(-/:-@\[-`{-~]"
 
     def __init__(self, path: str, pattern: str, most: int = 200_000):
@@ -94,7 +110,7 @@ class Codec:
         tokens = read_ranks(path)
         self.sp = sentencepiece.SentencePieceProcessor()
         self.sp.LoadFromSerializedProto(model(tokens))
-        self.split = regex.compile(pattern).findall
+        self.pattern, self.newer = regex.compile(pattern).findall, regex.compile(f"[{''.join(newer_letters(pattern))}\x00]")
         table = [bytes(ord(c) - BASE for c in self.sp.IdToPiece(k)) for k in range(len(tokens))]
         self.lengths = np.fromiter(map(len, table), np.int64, len(table))
         self.starts, self.bytes = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(table), np.uint8)
@@ -103,6 +119,14 @@ class Codec:
         self.whole = {t: k for k, (t, ids) in enumerate(zip(tokens, found, strict=True)) if ids != [k]}
         self.parts = common.Pieces(self._learn, most)
 
+    def split(self, text: str) -> list[str]:
+        """Pre-tokens by the pattern. Letters and numbers of a newer Unicode than the
+        reference's count as other characters, of which one stands in for them here."""
+        if text.isascii() or not self.newer.search(text):
+            return self.pattern(text)
+        ends = np.cumsum([*map(len, self.pattern(self.newer.sub("\ue000", text)))]).tolist()
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         """The ids of pre-tokens."""
         raw = [p.encode() for p in pieces]

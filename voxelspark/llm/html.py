@@ -3,9 +3,9 @@
 Pages of one host are parsed to trees and aligned with a reference page by simple tree
 matching: equal roots, then the best ordered matching of their children, recursively;
 runs of like siblings match as one node, and are judged one by one. Nodes whose text is the same on (nearly) all
-aligned pages are the template, nodes whose text varies are slots. The slot region, the
-lowest node with most of the varying text, is the content; where an ``article``, ``main``
-or a container named like one is around it or in it, that settles its bounds. Page
+aligned pages are the template, nodes whose text varies are slots. The slots are the
+content; an ``article`` or ``main`` with at least half of their text settles its bounds,
+and so does a container named like one on pages without a template. Page
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments:
 by element or class name) takes no part.
 
@@ -120,7 +120,8 @@ def parse(page: str) -> Node:
             node = Node(tag, _words(m[4]))
             stack[-1].kids.append(node)
             if tag not in VOID and not m[4].endswith("/"):
-                if len(stack) < DEPTH:
+                # Furniture is known as such at any depth, and has no use for a depth of its own.
+                if len(stack) < DEPTH or node.furniture and not stack[-1].furniture:
                     stack.append(node)
                 else:
                     deep[tag] = deep.get(tag, 0) + 1
@@ -300,39 +301,44 @@ class Wrapper:
 
     @staticmethod
     def content(page: Node, template: dict[int, Node]) -> list[Node]:
-        """The slot region: the lowest node with most of the page's varying text (of its
-        text, where none varies). Furniture doesn't count. Tags and names settle the
-        region's bounds alone: it is widened to the container around it, or narrowed to
-        the containers in it if they hold half of what it holds."""
-        total: dict[int, tuple[int, int]] = {}
+        """The slot region. Every varying block of the page is in it, so that a title or a
+        closing line beside one long paragraph stays; the template and furniture are not.
+        Articles that hold at least half of the varying text (of the text, where none
+        varies) bound it. Containers that are only named like content do so on pages that
+        have no template to tell."""
+        varying: dict[int, int] = {}
+        lengths: dict[int, int] = {}
+        articles: list[Node] = []
+        named: list[Node] = []
+        todo = [(page, False, False)]
         order: list[tuple[Node, Node | None]] = []
-        last: dict[int, int] = {}
-
-        def walk(node: Node, outer: Node | None) -> tuple[int, int]:
+        above: dict[int, Node] = {}
+        while todo:
+            node, in_article, in_named = todo.pop()
             own = len(own_text([node]))
-            varying, length = own * (id(node) not in template), own
-            if outer is None and node.container and node is not page:
-                outer = node
-            order.append((node, outer))
-            for kid in node.kids:
+            varying[id(node)], lengths[id(node)] = own * (id(node) not in template), own
+            if node.tag in CONTAINERS and not in_article:
+                articles.append(node)
+                in_article = True
+            if node.container and not in_named:
+                named.append(node)
+                in_named = True
+            order.append((node, above.get(id(node))))
+            for kid in reversed(node.kids):
                 if isinstance(kid, Node) and kid.tag not in INLINE and not kid.furniture:
-                    v, n = walk(kid, outer)
-                    varying, length = varying + v, length + n
-            total[id(node)], last[id(node)] = (varying, length), len(order)
-            return varying, length
-
-        whole = walk(page, None)
-        if not whole[1]:
+                    above[id(kid)] = node
+                    todo.append((kid, in_article, in_named))
+        for node, up in reversed(order):
+            if up is not None:
+                varying[id(up)] += varying[id(node)]
+                lengths[id(up)] += lengths[id(node)]
+        if not lengths[id(page)]:
             return []
-        rank = 0 if whole[0] else 1
-        at = max(k for k, (n, _) in enumerate(order) if total[id(n)][rank] >= 0.8 * whole[rank])
-        region, outer = order[at]
-        if outer is not None:
-            return [outer]
-        inside = [n for n, o in order[at : last[id(region)]] if o is n]
-        # An article outranks a container that is only named like one.
-        inside = [n for n in inside if n.tag in CONTAINERS] or inside
-        return inside if 2 * sum(total[id(n)][rank] for n in inside) >= total[id(region)][rank] else [region]
+        held = varying if varying[id(page)] else lengths
+        for bounds in (articles, named if varying[id(page)] in (0, lengths[id(page)]) else []):
+            if bounds and 2 * sum(held[id(n)] for n in bounds) >= held[id(page)]:
+                return bounds
+        return [page]
 
 
 def host(url):

@@ -8,12 +8,10 @@
    membership.
 2. Rates r >= 0 are fitted so that the expected tokens of each domain,
    ``sum(r * tokens * posterior)``, match the targets: projected gradient on the least
-   squares of the totals, in the metric of the domains' Gram matrix, where the step 1 is
-   1 / Lipschitz. A step is one aggregation to as many numbers as there are domains; a
-   document's rate is a fold over the few steps so far, so no state is shuffled. The steps
-   end when the totals are the targets, or stand still: a step moves none by more than
-   ``still`` of all tokens, as where the targets can't be met. If neither is so after
-   ``steps`` of them, that is an error, not a result.
+   squares of the totals, with the summed steps kept in the space of domains and scaled by
+   its curvature. A step is one aggregation to a few numbers; a document's rate is a
+   projection of its posterior times a number a domain, so no state is shuffled. The fit
+   ends where the gradient is zero (see ``fit``), usually after some ten passes.
 3. A rate becomes a number of copies: its whole part, and one more with the odds of the
    rest, by a hash of the id.
 
@@ -100,48 +98,79 @@ def _dot(p: Column, g: Column, n: int) -> Column:
     return out
 
 
-def _rate(steps: list[list[float]], n: int, most: float | None) -> Column:
-    """A document's rate after these steps from rate 1."""
-    if not steps:
-        return F.lit(1.0)
+def _rate(dual: list[float], n: int, most: float | None) -> Column:
+    """A document's rate: 1 moved by the domains' duals and projected on what is allowed."""
+    r = F.greatest(F.lit(1.0) + _dot(F.col("p"), [F.lit(x) for x in dual], n), F.lit(0.0))
+    return r if most is None else F.least(r, F.lit(most))
 
-    def step(r: Column, g: Column) -> Column:
-        r = F.greatest(r - _dot(F.col("p"), g, n), F.lit(0.0))
-        return r if most is None else F.least(r, F.lit(most))
 
-    return F.aggregate(F.array(*[F.array(*map(F.lit, g)) for g in steps]), F.lit(1.0), step)
+@dataclass(frozen=True)
+class Fit:
+    """The domains' duals, the targets (tokens of each domain) and the totals reached, the
+    passes made and what is left of the optimality condition, as a share of all tokens."""
+
+    dual: list[float]
+    wanted: list[float]
+    reached: list[float]
+    passes: int = 0
+    residual: float = 0.0
 
 
-def fit(soft: DataFrame, weights: list[float], budget: float | None = None, most: float | None = None, steps: int = 200, close: float = 1e-6, still: float = 2e-4) -> tuple[list[list[float]], list[float], list[float]]:
-    """The steps that make the rates, the targets (tokens of each domain) and the totals reached.
+def fit(soft: DataFrame, weights: list[float], budget: float | None = None, most: float | None = None, ridge: float = 1e-6, close: float = 1e-9, passes: int = 100) -> Fit:
+    """Rates of at least 0 whose expected domain totals are nearest to the targets.
 
     ``budget`` is the mix's tokens, by default those there are. With ``most`` no rate
     exceeds it, and a domain that has less than its target keeps what it has: the
     budget is then the largest at which the first domain keeps its tokens.
+
+    Minimised is |totals - targets|^2 plus ``ridge`` times the rates' distance from 1, over
+    rates within their bounds. Gradient steps are summed in the space of domains and the
+    sum is projected, so rates depend on a number a domain, whatever the steps. A step is
+    scaled by the curvature of the rates that are not at a bound (Newton) and halved until
+    it gains. The problem is strictly convex: the gradient is zero at the one solution,
+    and that, not a small step, ends the fit. Targets that no rates reach leave a gap
+    between ``wanted`` and ``reached`` with a gradient of zero all the same.
     """
     n = len(weights)
     mass = F.col("n_tokens").cast("double")
-    gram = soft.agg(F.sum(mass), *[F.sum(mass * F.col("p")[i] * F.col("p")[j]) for i in range(n) for j in range(n)]).first()
-    if not gram[0]:
-        return [], [0.0] * n, [0.0] * n
-    metric = np.array(gram[1:], float).reshape(n, n) / gram[0]
-
-    def totals(done: list[list[float]]) -> np.ndarray:
-        r = soft.withColumn("r", _rate(done, n, most))
-        return np.array(r.agg(*[F.sum(mass * F.col("r") * F.col("p")[k]) for k in range(n)]).first(), float) / gram[0]
-
-    share = np.array(weights, float) / sum(weights)
-    start = totals([])
-    goal = share * (1 if budget is None else budget / gram[0]) if most is None else np.minimum(start, share * start[0] / share[0])
-    metric = metric + np.eye(n) * 1e-9
-    done: list[list[float]] = []
-    now, before = start, None
-    while np.abs(now - goal).max() > close and (before is None or np.abs(now - before).max() > still):
-        if len(done) == steps:
-            raise RuntimeError(f"the mix has not settled after {steps} steps: {(now * gram[0]).tolist()} of {(goal * gram[0]).tolist()}")
-        done.append([float(x) for x in np.linalg.solve(metric, now - goal)])
-        before, now = now, totals(done)
-    return done, (goal * gram[0]).tolist(), (now * gram[0]).tolist()
+    base = soft.agg(F.sum(mass), *[F.sum(mass * F.col("p")[k]) for k in range(n)]).first()
+    if not base[0]:
+        return Fit([0.0] * n, [0.0] * n, [0.0] * n)
+    share, start = np.array(weights, float) / sum(weights), np.array(base[1:], float) / base[0]
+    goal = share * (1 if budget is None else budget / base[0]) if most is None else np.minimum(start, share * start[0] / share[0])
+
+    def look(dual: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Dual objective, totals and curvature in one pass."""
+        at = [float(x) for x in dual]
+        free = F.lit(1.0) + _dot(F.col("p"), [F.lit(x) for x in at], n)
+        rated = soft.withColumn("r", _rate(at, n, most)).withColumn("free", free)
+        inside = ((F.col("free") > 0) & (F.lit(most is None) | (F.col("free") < (most or 0.0)))).cast("double")
+        # The conjugate of half the squared distance from 1: its slope is the rate.
+        value = F.col("r") * (F.col("free") - 1) - (F.col("r") - 1) * (F.col("r") - 1) / 2
+        sums = [F.sum(mass * value), *[F.sum(mass * F.col("r") * F.col("p")[k]) for k in range(n)]]
+        sums += [F.sum(mass * inside * F.col("p")[i] * F.col("p")[j]) for i in range(n) for j in range(n)]
+        found = np.array(rated.agg(*sums).first(), float) / base[0]
+        return found[0] + ridge / 2 * dual @ dual - goal @ dual, found[1 : n + 1], found[n + 1 :].reshape(n, n)
+
+    dual, done = np.zeros(n), 1
+    value, totals, curve = look(dual)
+    while done < passes:
+        gradient = totals - goal + ridge * dual
+        if np.abs(gradient).max() <= close:
+            break
+        move = -np.linalg.solve(curve + np.eye(n) * ridge, gradient)
+        length = 1.0
+        while done < passes:
+            new = look(dual + length * move)
+            done += 1
+            if new[0] <= value + 1e-4 * length * float(gradient @ move) or length < 1e-9:
+                break
+            length /= 2
+        if new[0] >= value and length < 1e-9:
+            break  # what is left is rounding
+        dual, (value, totals, curve) = dual + length * move, new
+    residual = float(np.abs(totals - goal + ridge * dual).max())
+    return Fit(dual.tolist(), (goal * base[0]).tolist(), (totals * base[0]).tolist(), done, residual)
 
 
 def copies(rate: Column, key: Column, seed: int = 11) -> Column:
@@ -153,11 +182,12 @@ def copies(rate: Column, key: Column, seed: int = 11) -> Column:
 @dataclass(frozen=True)
 class Mix:
     """doc_id, n_tokens, p (array in the order of the weights), rate and copies of each id,
-    and the expected tokens of each domain: wanted and reached."""
+    the expected tokens of each domain, wanted and reached, and the fit's residual."""
 
     rows: DataFrame
     wanted: dict[str, float]
     reached: dict[str, float]
+    residual: float = 0.0
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most: float | None = None) -> Mix:
@@ -165,9 +195,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], most: f
     texts = docs.select("doc_id", "text")
     model, start = train(texts, labelled, domains)
     soft = common.stored(spark, posteriors(texts, model, start), "posteriors")
-    steps, wanted, reached = fit(soft, [*weights.values()], most=most)
-    rated = soft.withColumn("rate", _rate(steps, len(domains), most))
-    return Mix(rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), dict(zip(domains, wanted, strict=True)), dict(zip(domains, reached, strict=True)))
+    found = fit(soft, [*weights.values()], most=most)
+    rated = soft.withColumn("rate", _rate(found.dual, len(domains), most))
+    return Mix(rated.withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), dict(zip(domains, found.wanted, strict=True)), dict(zip(domains, found.reached, strict=True)), found.residual)
 
 
 def take(docs: DataFrame, mixed: DataFrame) -> DataFrame:
@@ -190,5 +220,6 @@ def labelled(labels: DataFrame) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posterior, rate and copies of every document for the production mix."""
-    mixed = mix(common.table(spark, sf_dir, "documents"), labelled(common.table(spark, sf_dir, "labels")), WEIGHTS).rows
-    return mixed.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(WEIGHTS)], "rate", "copies")
+    mixed = mix(common.table(spark, sf_dir, "documents"), labelled(common.table(spark, sf_dir, "labels")), WEIGHTS)
+    totals = [F.lit(of[d]).alias(f"{name}_{d}") for name, of in (("wanted", mixed.wanted), ("reached", mixed.reached)) for d in WEIGHTS]
+    return mixed.rows.select("doc_id", "n_tokens", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(WEIGHTS)], "rate", "copies", *totals)

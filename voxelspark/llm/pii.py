@@ -195,7 +195,7 @@ def find(text: Column) -> Column:
 
 def redact(text: Column) -> Column:
     """Each text with its spans replaced by their kind, as in ``<EMAIL>``; of spans that
-    overlap, one mark stays, the first's. A null text stays null."""
+    overlap, one mark stays, the first's. A null text stays null; invalid UTF-8 is replaced."""
 
     @F.arrow_udf("string")
     def run(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -203,7 +203,7 @@ def redact(text: Column) -> Column:
         for a in it:
             yield pa.array([x if x is None else marked(x, own.spans(x)) for x in a.to_pylist()], pa.string())
 
-    return run(text)
+    return run(F.make_valid_utf8(text))
 
 
 def marked(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -222,7 +222,7 @@ def _joined(spans: Column) -> Column:
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of every document, their counts and a digest of the base kinds."""
     common.workers_import(spark)
-    found = common.table(spark, sf_dir, "documents").select("doc_id", find(F.coalesce("text", F.lit(""))).alias("found"))
+    found = common.table(spark, sf_dir, "documents").select("doc_id", find(common.as_text(F.col("text"))).alias("found"))
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
     count = [of(k).alias(f"n_{k}") for k in BASE]
     base = F.filter("found", lambda s: s["kind"].isin(*BASE))

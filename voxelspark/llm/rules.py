@@ -18,7 +18,9 @@ the small table of counts is written before labels and cutoffs are joined to it.
 Windows of 8 words are told apart by 64-bit hashes.
 
 Null texts have no words. A null language is a stratum of its own. Ids with
-contradicting labels certify nothing; without labels only the base rules reject.
+contradicting labels certify nothing; an id is one trial, however many rows or labels
+repeat it; without labels only the base rules reject. Very long texts are counted whole in
+their row. Further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -114,6 +116,8 @@ def cutoffs(counted: DataFrame, labels: DataFrame, limit: float = 0.05, doubt: f
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("y"), F.max("quality").alias("y2")).where("y = y2").select("doc_id", "y")
     seen = counted.where(~base_failed()).select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *rates()).join(known, "doc_id")
+    # An id is one trial, however many rows repeat it: a rule rejects it if it rejects one of them.
+    seen = seen.groupBy("stratum", "doc_id", "y").agg(*[F.max(name).alias(name) for name, *_ in RULES])
     each = F.explode(F.array(*[F.struct(F.lit(name).alias("rule"), F.col(name).alias("rate")) for name, *_ in RULES])).alias("r")
     # How many cutoffs a rate exceeds: those from GRID[-level] on.
     level = F.size(F.filter(F.array(*map(F.lit, GRID)), lambda g: g < F.col("r.rate")))
