@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxelspark.functions import scalars
-from voxelspark.operators import annotate, history, imaging, masks, models, pixels, propagate, segment
+from voxelspark.operators import annotate, history, imaging, masks, models, outline, pixels, propagate, rows, segment
 from voxelspark.schema import LevelSet, Watershed
 
 rng = np.random.default_rng(5)
@@ -131,7 +131,7 @@ def test_floods_find_a_bright_square(spark):
         (row,) = found.collect()
         xs, ys = [p.x for p in row.points], [p.y for p in row.points]
         assert 4 <= min(xs) <= 8 and 15 <= max(xs) <= 19 and 4 <= min(ys) <= 8 and 15 <= max(ys) <= 19
-    assert "Exchange" not in segment.watershed(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in segment.watershed_masks(df)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_settings_are_clamped():
@@ -151,7 +151,7 @@ def test_densify_smooths_in_order(spark):
     rows = [(0, z, 0, x, x) for z, s in enumerate(stack) for x, on in enumerate(s) if on]
     runs = spark.createDataFrame(rows, "v long, z long, y int, x0 int, x1 int")
     got = propagate.densify(runs, spark.createDataFrame([(0, 5, 1, 2)], "v long, z_count int, h int, w int"))
-    assert [r["mask"] for r in got.orderBy("z").collect()] == [[1, 1]] * 5
+    assert [[(r.y, r.x0, r.x1) for r in row.rows] for row in got.orderBy("z").collect()] == [[(0, 0, 1)]] * 5
 
 
 def test_undo_redo(spark):
@@ -222,3 +222,41 @@ def test_hit_test_plan_has_no_nested_loop(spark):
     assert {r.point_id: r.idx for r in found.collect()} == {1: 0, 2: -1}
     plan = found._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def filled(m):
+    labels, _ = imaging.label(np.pad(~m, 1, constant_values=True), False)
+    return ~(labels == labels[0, 0])[1:-1, 1:-1]
+
+
+def test_outlines_on_runs_equal_traced_ones(spark):
+    h, w = 9, 11
+    ring = np.zeros((h, w), bool)
+    ring[1:8, 1:9] = True
+    ring[2:7, 2:8] = False
+    ring[4, 4] = True  # an island in the hole
+    images = [rng.random((h, w)) < p for p in np.linspace(0.1, 0.9, 25)] + [ring, np.eye(h, w, dtype=bool), np.zeros((h, w), bool), np.ones((h, w), bool)]
+    df = spark.createDataFrame([(0, z, h, w, [bool(x) for x in m.ravel()]) for z, m in enumerate(images)], "v long, z long, h int, w int, mask array<boolean>")
+    grid, runs = df.select("v", "z", "h", "w"), runs_of(spark, images)
+    found: dict = {}
+    for r in segment.contours(df, 1).collect():
+        found.setdefault(r.z, []).append((r.part, [(p.x, p.y) for p in r.points]))
+    kept = images_of(outline.committed(runs, grid, 1), len(images), h, w)
+    for z, m in enumerate(images):
+        assert sorted(found.get(z, [])) == [*enumerate(imaging.polygons(filled(m), 1))]
+        assert (kept[z] == imaging.committed(m, 1)).all()
+    assert len(found[25]) == 1  # what lies in a hole has no outline of its own
+
+
+def test_runs_within_a_slice_row(spark):
+    images = [rng.random((5, 6)) < p for p in (0.0, 0.3, 0.6, 1.0)]
+    df = spark.createDataFrame([(0, z, 5, 6, [bool(x) for x in m.ravel()], list(range(30))) for z, m in enumerate(images)], "v long, z long, h int, w int, mask array<boolean>, gray array<int>")
+    packed = df.withColumn("rows", rows.of_mask("mask", F.col("h"), F.col("w")))
+    for r in packed.select("z", "rows", rows.size(F.col("rows")).alias("n"), rows.values(F.col("gray"), F.col("w"), F.col("rows")).alias("values"), rows.bounds(F.col("rows")).alias("box")).collect():
+        m = images[r.z]
+        y, x = np.nonzero(m)
+        assert [q.asDict() for q in r.rows] == rows.from_image(m) and (rows.to_image(r.rows, m.shape) == m).all()
+        assert r.n == m.sum() and r["values"] == np.flatnonzero(m).tolist()
+        assert (None if r.box is None else tuple(r.box)) == ((x.min(), y.min(), x.max(), y.max()) if m.any() else None)
+    odd = spark.createDataFrame([(0, 1, 0, -3, 1), (0, 1, 0, 2, 9), (0, 1, 7, 0, 3), (0, 9, 0, 0, 1)], "v long, z long, y int, x0 int, x1 int")
+    assert [(r.z, [tuple(q) for q in r.rows]) for r in rows.gathered(odd, df).collect()] == [(1, [(0, 0, 5)])]

@@ -43,8 +43,55 @@ def test_seeded_volume_and_prompted_slices(spark):
     for stride in (0, 3):
         found = workflows.seeded_volume_run(gray, overlays, runs, volumes, models.RoiPredictor(), "organ", stride)
         assert {r.z for r in found.collect()} >= {0, 1, 3}
-    prompts = masks.bbox(runs.where("seq < 2"))
-    own = {r.z: r.points for r in workflows.prompted_slice_run(gray, prompts, models.RoiPredictor()).collect()}
+    seeds = runs.where("seq < 2")
+    drawn = spark.createDataFrame([], "v long, y int, x0 int, x1 int")
+    polygons, found = workflows.prompted_slice_run(gray, seeds, drawn, models.RoiPredictor(), promptable=True)
+    own = {r.z: r.points for r in polygons.collect()}
     assert {(p.x, p.y) for p in own[0]} == {(6, 6), (17, 6), (17, 17), (6, 17)}
+    assert all(r.ok for r in found.collect())
+    polygons, found = workflows.prompted_slice_run(gray, seeds.limit(0), drawn, models.RoiPredictor(), promptable=True)
+    assert polygons.count() == 0 and {(r.ok, r.message) for r in found.collect()} == {(False, models.NEEDS_PROMPT)}
     files, report = workflows.export_run(overlays, runs)
     assert [(r.z, r.pixels) for r in files.orderBy("z").collect()] == [(0, 144), (1, 16), (3, 144)] and report.first().exportable
+
+
+def test_refused_seeds_leave_the_box(spark):
+    """Seeds of another shape are not used; their volume is run all the same, with its box."""
+    gray = volume(spark)
+    overlays = spark.createDataFrame([(0, 0, 0, square(8, 8, 5), "organ", "", "Layer 1", "committed")], OVERLAY)
+    runs = masks.rasterize(overlays)
+    volumes = spark.createDataFrame([(0, 4, 24, 24)], "v long, z_count int, h int, w int")
+    declared = spark.createDataFrame([(0, 4, 24, 12)], "v long, z_count int, h int, w int")
+    boxes = spark.createDataFrame([(0, 2, 6, 20, 17)], "v long, x1 int, y1 int, x2 int, y2 int")
+    run = lambda **more: {r.z: {(p.x, p.y) for p in r.points} for r in workflows.seeded_volume_run(gray, overlays, runs, volumes, models.RoiPredictor(), "organ", **more).where("z = 0").collect()}
+    assert run()[0] == {(8, 8), (13, 8), (13, 13), (8, 13)}
+    assert run(declared=declared, boxes=boxes)[0] == {(6, 6), (17, 6), (17, 17), (6, 17)}
+    assert run(declared=volumes, boxes=boxes)[0] == run()[0]
+
+
+def test_seed_masks_are_not_their_boxes(spark):
+    g = [10 * x for x in range(8)] * 8
+    df = spark.createDataFrame([(0, 0, 8, 8, g), (0, 1, 8, 8, g)], "v long, z long, h int, w int, gray array<int>")
+    seeds = spark.createDataFrame([(0, 0, y, 0, y) for y in range(5)] + [(0, 0, 9, 0, 3), (0, 1, 0, 20, 30)], "v long, z long, y int, x0 int, x1 int")
+    none = spark.createDataFrame([], "v long, x1 int, y1 int, x2 int, y2 int")
+    got = {r.z: r for r in segment.seeded_predict(df, seeds, none).collect()}
+    inside = [10 * x for y in range(5) for x in range(y + 1)]
+    thr = float(np.percentile(inside, 60))
+    assert got[0].roi == "seed" and got[0].thr == thr and got[1].roi == "none" and got[1].thr == float(np.percentile(g, 70))
+    assert {(r.y, x) for r in got[0].rows for x in range(r.x0, r.x1 + 1)} == {(y, x) for y in range(5) for x in range(y + 1) if 10 * x >= thr}
+
+
+def test_a_prompt_mask_hides_and_cuts(spark):
+    class Seen:
+        supports_volume = False
+
+        def predict(self, image, prompt, request):
+            assert request["bbox"] == [1, 0, 2, 1] and request["seed_mode"] == "2d" and image.tolist() == [[0, 5, 0], [0, 5, 5], [0, 0, 0]]
+            return [np.ones((3, 3)), np.eye(3)]
+
+    df = spark.createDataFrame([(0, 0, 3, 3, [5] * 9)], "v long, z long, h int, w int, gray array<int>")
+    drawn = spark.createDataFrame([(0, 0, 1, 1), (0, 1, 1, 2)], "v long, y int, x0 int, x1 int")
+    asked = models.prompted_request(df, spark.createDataFrame([], "v long, z long, y int, x0 int, x1 int"), drawn, True)
+    (row,) = models.predict_slices(asked, Seen()).collect()
+    flat = lambda m: [(r.y, r.x0, r.x1) for r in m]
+    assert row.message == "" and [flat(m) for m in row.masks] == [[(0, 1, 1), (1, 1, 2)], [(1, 1, 1)]] and flat(row.mask) == [(0, 1, 1), (1, 1, 2)]

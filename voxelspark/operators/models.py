@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import segment
+from . import masks, propagate, rows, segment
 
-RESULT = "v long, z long, ok boolean, message string, masks array<array<int>>"
+#: Masks as runs: each of a model's masks, and all of them together.
+RESULT = f"v long, z long, ok boolean, message string, masks array<{rows.ROWS}>, mask {rows.ROWS}"
 
 
 class Predictor(Protocol):
@@ -71,52 +72,77 @@ class PercentilePredictor:
 
 @dataclass(frozen=True)
 class RoiPredictor:
-    """Each slice of a volume within its own box, else the request's, else as a whole."""
+    """Each slice of a volume within its own seed mask, else the request's box, else as a whole."""
 
     supports_volume: bool = True
 
     @staticmethod
-    def _slice(image: np.ndarray, box) -> np.ndarray:
-        if box is None:
-            return image >= np.percentile(image, 70)
-        roi = np.zeros(image.shape, bool)
-        x1, y1, x2, y2 = (int(b) for b in box)
-        roi[max(0, y1) : y2 + 1, max(0, x1) : x2 + 1] = True
+    def _slice(image: np.ndarray, roi: np.ndarray | None, box) -> np.ndarray:
+        if roi is None or not roi.any():
+            roi = np.zeros(image.shape, bool)
+            if box is not None:
+                x1, y1, x2, y2 = (int(b) for b in box)
+                roi[max(0, y1) : y2 + 1, max(0, x1) : x2 + 1] = True
         if not roi.any():
             return image >= np.percentile(image, 70)
         return (image >= np.percentile(image[roi], 60)) & roi
 
     def predict(self, image: np.ndarray, prompt: str, request: dict) -> object:
-        return self._slice(image, request.get("bbox"))
+        return self._slice(image, None, request.get("bbox"))
 
     def predict_volume(self, volume: np.ndarray, prompt: str, request: dict) -> object:
-        seeds = request.get("seed_boxes") or {}
-        return np.stack([self._slice(s, seeds.get(z, request.get("bbox"))) for z, s in enumerate(volume)])
+        seeds = request.get("seed_masks") or {}
+        return np.stack([self._slice(s, seeds.get(z), request.get("bbox")) for z, s in enumerate(volume)])
+
+
+def _packed(found: list[np.ndarray], shape: tuple[int, int]) -> tuple[list, list]:
+    """Masks as runs, each and together."""
+    lit = [m > 0 for m in found]
+    return [rows.from_image(m) for m in lit], rows.from_image(np.logical_or.reduce(lit, axis=0)) if lit else []
 
 
 def predict_slices(gray: DataFrame, predictor: Predictor) -> DataFrame:
-    """Run a model on every slice row (optional columns: prompt, bbox); no shuffle."""
-    cols = [c for c in ("prompt", "bbox") if c in gray.columns]
+    """Run a model on every slice row; no shuffle. Optional columns: prompt, bbox, seed_mode,
+    refused (a message instead of a run) and prompt_rows (a mask as runs; null: none). What
+    lies outside a prompt mask is shown to the model as 0, the mask's box is part of the
+    request, and what the model finds is cut to the mask."""
+    cols = [c for c in ("prompt", "bbox", "prompt_rows", "seed_mode", "refused") if c in gray.columns]
+
+    def one(r) -> tuple:
+        image = np.asarray(r.gray, np.int64).reshape(r.h, r.w)
+        box, within, mode = (getattr(r, c, None) for c in ("bbox", "prompt_rows", "seed_mode"))
+        request = {} if box is None else {"bbox": list(box)}
+        if mode:
+            request["seed_mode"] = mode
+        roi = None
+        if within is not None:
+            roi = rows.to_image(within, image.shape)
+            image = np.where(roi, image, 0)
+            if roi.any():
+                y, x = np.nonzero(roi)
+                request["bbox"] = [int(x.min()), int(y.min()), int(x.max()), int(y.max())]
+        found = normalize(predictor.predict(image, getattr(r, "prompt", None) or "", request), image.shape)
+        return (r.v, r.z, True, "", *_packed(found if roi is None else [(m > 0) & roi for m in found], image.shape))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
+            out = []
             for r in pdf.itertuples():
-                box = getattr(r, "bbox", None)
                 try:
-                    made = predictor.predict(np.asarray(r.gray, np.int64).reshape(r.h, r.w), getattr(r, "prompt", None) or "", {} if box is None else {"bbox": list(box)})
-                    rows.append((r.v, r.z, True, "", [m.ravel().tolist() for m in normalize(made, (r.h, r.w))]))
+                    if refused := getattr(r, "refused", None):
+                        raise ValueError(refused)
+                    out.append(one(r))
                 except Exception as e:  # noqa: BLE001  a model's failure is data
-                    rows.append((r.v, r.z, False, str(e), []))
-            yield pd.DataFrame(rows, columns=["v", "z", "ok", "message", "masks"])
+                    out.append((r.v, r.z, False, str(e), [], []))
+            yield pd.DataFrame(out, columns=["v", "z", "ok", "message", "masks", "mask"])
 
     return gray.select("v", "z", "h", "w", "gray", *cols).mapInPandas(run, RESULT)
 
 
 def predict_volumes(gray: DataFrame, predictor: Predictor) -> DataFrame:
-    """Run a model on whole volumes: a row a slice, its mask in ``masks``. A volume is one
-    task's work. Optional columns: prompt, bbox (of the volume), seed_box (of the slice)."""
-    cols = [c for c in ("prompt", "bbox", "seed_box") if c in gray.columns]
+    """Run a model on whole volumes: a row a slice, its mask as runs. A volume is one
+    task's work. Optional columns: prompt, bbox (of the volume), seed_rows (of the slice)."""
+    cols = [c for c in ("prompt", "bbox", "seed_rows") if c in gray.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("z", ignore_index=True)
@@ -126,33 +152,49 @@ def predict_volumes(gray: DataFrame, predictor: Predictor) -> DataFrame:
             if not predictor.supports_volume:
                 raise NotImplementedError("volumes are not supported")
             volume = np.stack([np.asarray(g, np.int64).reshape(h, w) for g in pdf["gray"]])
-            seeds = {k: list(b) for k, b in enumerate(pdf["seed_box"]) if b is not None} if "seed_box" in pdf else {}
+            seeds = {k: rows.to_image(r, (h, w)) for k, r in enumerate(pdf["seed_rows"]) if r is not None} if "seed_rows" in pdf else {}
             box = get("bbox")
-            made = normalize(predictor.predict_volume(volume, get("prompt") or "", {"bbox": None if box is None else list(box), "seed_boxes": seeds}), volume.shape)
-            out = [[m[k].ravel().tolist() for m in made[:1]] for k in range(len(pdf))]
-            return pd.DataFrame({"v": pdf["v"], "z": pdf["z"], "ok": True, "message": "", "masks": out})
+            made = normalize(predictor.predict_volume(volume, get("prompt") or "", {"bbox": None if box is None else list(box), "seed_masks": seeds}), volume.shape)
+            out = [_packed([m[k] for m in made[:1]], (h, w)) for k in range(len(pdf))]
+            return pd.DataFrame({"v": pdf["v"], "z": pdf["z"], "ok": True, "message": "", "masks": [m for m, _ in out], "mask": [m for _, m in out]})
         except Exception as e:  # noqa: BLE001
-            return pd.DataFrame({"v": pdf["v"], "z": pdf["z"], "ok": False, "message": str(e), "masks": [[]] * len(pdf)})
+            return pd.DataFrame({"v": pdf["v"], "z": pdf["z"], "ok": False, "message": str(e), "masks": [[]] * len(pdf), "mask": [[]] * len(pdf)})
 
     return gray.select("v", "z", "h", "w", "gray", *cols).groupBy("v").applyInPandas(run, RESULT)
 
 
 def text_seeds(gray: DataFrame, stride: int, predictor: Predictor) -> DataFrame:
-    """Union masks of every ``stride``-th slice; slices are skipped before the model runs."""
+    """(v, z, rows) of every ``stride``-th slice; slices are skipped before the model runs."""
     found = predict_slices(gray.where(F.col("z") % max(1, stride) == 0), predictor)
-    return found.select("v", "z", union_of("masks").alias("mask")).where(F.exists("mask", lambda m: m > 0))
+    return found.where(F.size("mask") > 0).select("v", "z", F.col("mask").alias("rows"))
+
 
+def roi_request(gray: DataFrame, seeds: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Slices with the request columns of a volume run: each slice's seed (runs v, z, y, x0,
+    x1, cut to its image), the volume's box (v, x1, y1, x2, y2)."""
+    own = rows.gathered(seeds, gray).withColumnRenamed("rows", "seed_rows")
+    return gray.join(own, ["v", "z"], "left").join(boxes.select("v", F.array("x1", "y1", "x2", "y2").alias("bbox")), "v", "left")
 
-def union_of(masks: str):
-    """Elementwise maximum of an array of masks; null if there are none."""
-    first = F.get(masks, 0)
-    return F.aggregate(F.slice(masks, 2, F.greatest(F.size(masks) - 1, F.lit(0))), first, lambda acc, m: F.zip_with(acc, m, lambda a, b: F.greatest(a, b)))
 
+NEEDS_PROMPT = "this model needs a prompt mask or seeds"
 
-def roi_request(gray: DataFrame, seeds: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Slices with the request columns of a volume run: each slice's seed box, the volume's box."""
-    box = F.array("x1", "y1", "x2", "y2")
-    return gray.join(seeds.select("v", "z", box.alias("seed_box")), ["v", "z"], "left").join(boxes.select("v", box.alias("bbox")), "v", "left")
+
+def prompted_request(gray: DataFrame, seeds: DataFrame, drawn: DataFrame, promptable: bool) -> DataFrame:
+    """Slices with the request columns of a run slice by slice.
+
+    A volume with seeds (runs) is run in seed mode ``3d``: each slice's prompt is its own
+    seed or the box that its neighbours' seeds give it. Other volumes are run in mode ``2d``
+    with the one mask drawn (runs v, y, x0, x1) on all slices, or without. A promptable model
+    refuses slices that have no prompt.
+    """
+    grid = gray.select("v", "z", "h", "w")
+    exact = rows.gathered(seeds, grid)
+    boxes = propagate.interpolate_seeds(masks.bbox(rows.exploded(exact)), grid.select("v", "z"))
+    seeded = boxes.join(exact, ["v", "z"], "left").select("v", "z", F.coalesce("rows", rows.of_box(F.struct("x1", "y1", "x2", "y2"))).alias("_seed"))
+    shared = rows.gathered(drawn.join(grid.select("v", "z"), "v"), grid).withColumnRenamed("rows", "_drawn")
+    joined = gray.join(seeded, ["v", "z"], "left").join(shared, ["v", "z"], "left")
+    asked = joined.withColumn("prompt_rows", F.coalesce("_seed", "_drawn")).withColumn("seed_mode", F.when(F.col("_seed").isNotNull(), "3d").otherwise("2d"))
+    return asked.withColumn("refused", F.when(F.lit(promptable) & F.col("prompt_rows").isNull(), NEEDS_PROMPT)).drop("_seed", "_drawn")
 
 
-__all__ = ["PercentilePredictor", "Predictor", "RoiPredictor", "normalize", "predict_slices", "predict_volumes", "roi_request", "segment", "text_seeds", "union_of"]
+__all__ = ["PercentilePredictor", "Predictor", "RoiPredictor", "normalize", "predict_slices", "predict_volumes", "prompted_request", "roi_request", "segment", "text_seeds"]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_filter, normalize_label
-from . import masks
+from . import masks, rows
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -43,39 +45,45 @@ def interpolate_seeds(boxes: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def densify(seed_runs: DataFrame, volumes: DataFrame) -> DataFrame:
-    """(v, z, h, w, mask): all slices of the seeded volumes, filled from seeds and then
-    smoothed in order along z: a slice becomes the majority of the smoothed one before,
-    itself and the one after, if that is not empty.
+    """(v, z, h, w, rows): the masks, as runs, of all slices of the seeded volumes, filled from
+    seeds and then smoothed in order along z: a slice becomes the majority of the smoothed
+    one before, itself and the one after, if that is not empty.
 
-    The fold reads what it has just written, so a volume is one task's work; its slices
-    are held as bits.
+    The fold reads what it has just written, so the slices of a volume pass in order
+    through one task. It takes and hands on runs and holds three slices, as bits.
     """
     grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("z_count").cast("long") - 1)).alias("z"))
-    boxes = interpolate_seeds(masks.bbox(seed_runs), grid.select("v", "z"))
-    exact = seed_runs.groupBy("v", "z").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("rows"))
-    full = grid.join(boxes, ["v", "z"]).join(exact, ["v", "z"], "left")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("z", ignore_index=True)
-        h, w = int(pdf["h"][0]), int(pdf["w"][0])
-        stack = []
-        for row in pdf.itertuples():
-            m = np.zeros((h, w), bool)
-            if row.rows is not None:
-                for r in row.rows:
-                    if 0 <= r["y"] < h:
-                        m[r["y"], max(0, r["x0"]) : max(0, r["x1"] + 1)] = True
-            else:
-                m[max(0, row.y1) : max(0, row.y2 + 1), max(0, row.x1) : max(0, row.x2 + 1)] = True
-            stack.append(np.packbits(m))
-        for k in range(1, len(stack) - 1):
-            a, b, c = stack[k - 1 : k + 2]
-            most = a & b | b & c | a & c
-            if most.any():
-                stack[k] = most
-        return pd.DataFrame({"v": pdf["v"], "z": pdf["z"], "h": pdf["h"], "w": pdf["w"], "mask": [np.unpackbits(s, count=h * w).tolist() for s in stack]})
-
-    return full.groupBy("v").applyInPandas(fold, "v long, z long, h int, w int, mask array<int>")
+    exact = rows.gathered(seed_runs, grid)
+    boxes = interpolate_seeds(masks.bbox(rows.exploded(exact)), grid.select("v", "z"))
+    filled = F.coalesce("rows", rows.of_box(F.struct(*[F.col(c).cast("int").alias(c) for c in BOX])))
+    full = grid.join(boxes, ["v", "z"]).join(exact, ["v", "z"], "left").select("v", "z", "h", "w", filled.alias("rows"))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, here = None, None  # (row, bits) of the last slice handed on and of the one that waits
+
+        def smoothed(after) -> dict:
+            nonlocal before
+            row, bits = here
+            if before is not None and before[0].v == row.v and after is not None and after[0].v == row.v:
+                a, c = before[1], after[1]
+                most = a & bits | bits & c | a & c
+                bits = most if most.any() else bits
+            before = (row, bits)
+            return {"v": row.v, "z": row.z, "h": row.h, "w": row.w, "rows": rows.from_image(np.unpackbits(bits, count=row.h * row.w).reshape(row.h, row.w))}
+
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples():
+                new = (row._replace(rows=None), np.packbits(rows.to_image(row.rows, (row.h, row.w))))
+                if here is not None:
+                    out.append(smoothed(new))
+                here = new
+            if out:
+                yield pd.DataFrame(out)
+        if here is not None:
+            yield pd.DataFrame([smoothed(None)])
+
+    return full.repartition("v").sortWithinPartitions("v", "z").mapInPandas(fold, f"v long, z long, h int, w int, rows {rows.ROWS}")
 
 
 def resolve_prompt(overlays: DataFrame, selection: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import percentile
 from ..schema import LevelSet, Watershed
-from . import imaging
-from .masks import ellipse_kernel
+from . import imaging, outline, rows
+from .masks import ellipse_kernel, sanitize_bbox
 from .pixels import histogram
 
 
@@ -86,47 +86,81 @@ def hybrid_predict(gray: DataFrame, seeds: DataFrame, boxes: DataFrame) -> DataF
     return roi_segment(joined, F.coalesce("_seed", "_box")).drop("_seed", "_box")
 
 
-OVERLAYS = "v long, z long, part int, points array<struct<x: int, y: int>>"
+def mask_segment(gray: DataFrame, roi: Column, inside: float = 0.6, fallback: float = 0.7) -> DataFrame:
+    """Adds thr and rows (runs of the mask): within the mask ``roi`` (runs of the slice's
+    image; null or empty: none) against its own percentile, else the whole slice
+    against the fallback's. Values are taken from the slice a run at a time."""
+    own = gray.withColumn("_roi", roi)
+    own = own.withColumn("_values", rows.values(F.col("gray"), F.col("w"), F.coalesce("_roi", rows.none())))
+    own = own.withColumn("_in", percentile(F.col("_values"), inside))
+    own = own.withColumn("thr", F.coalesce("_in", percentile(F.col("gray"), fallback)))
+    region = F.when(F.col("_in").isNotNull(), F.col("_roi")).otherwise(rows.whole(F.col("h"), F.col("w")))
+    mask = rows.lit(region, F.col("w"), lambda p: F.get("gray", p.cast("int")) >= F.col("thr"))
+    return own.withColumn("rows", mask).drop("_roi", "_values", "_in")
 
 
-def _each_slice(gray: DataFrame, to_mask, min_area: float) -> DataFrame:
-    """Polygons of a mask computed from each slice; no shuffle."""
+def seeded_predict(gray: DataFrame, seeds: DataFrame, boxes: DataFrame) -> DataFrame:
+    """Every slice by its seed mask (runs v, z, y, x0, x1), else its volume's box (v, x1, y1,
+    x2, y2: cut to the image; one without width or height counts for nothing), else as a
+    whole: adds thr, rows and roi (``seed``, ``box`` or ``none``)."""
+    own = rows.gathered(seeds, gray).withColumnRenamed("rows", "_seed")
+    box = boxes.select("v", F.array("x1", "y1", "x2", "y2").alias("_box"))
+    joined = gray.join(own, ["v", "z"], "left").join(box, "v", "left")
+    joined = joined.withColumn("_box", sanitize_bbox(F.col("_box"), F.col("h"), F.col("w")))
+    source = F.when(F.col("_seed").isNotNull(), "seed").when(F.col("_box").isNotNull(), "box").otherwise("none")
+    return mask_segment(joined, F.coalesce("_seed", rows.of_box(F.col("_box")))).withColumn("roi", source).drop("_seed", "_box")
+
+
+def _each_slice(gray: DataFrame, to_mask) -> DataFrame:
+    """(v, z, h, w, rows): a mask computed from each slice; no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for v, z, h, w, g in zip(*(pdf[c] for c in ("v", "z", "h", "w", "gray")), strict=True):
-                mask = to_mask(np.asarray(g, np.int64).reshape(h, w))
-                rows += [(v, z, k, [{"x": int(x), "y": int(y)} for x, y in p]) for k, p in enumerate(imaging.polygons(mask, min_area))]
-            yield pd.DataFrame(rows, columns=["v", "z", "part", "points"])
+            found = [rows.from_image(to_mask(np.asarray(g, np.int64).reshape(h, w))) for h, w, g in zip(pdf["h"], pdf["w"], pdf["gray"], strict=True)]
+            yield pdf[["v", "z", "h", "w"]].assign(rows=found)
+
+    return gray.select("v", "z", "h", "w", "gray").mapInPandas(run, f"v long, z long, h int, w int, rows {rows.ROWS}")
+
+
+def watershed_masks(gray: DataFrame, settings: Watershed = Watershed()) -> DataFrame:
+    s = settings
+    return _each_slice(gray, lambda g: imaging.watershed(g, s.fg_ratio, s.open_iterations, s.bg_dilate))
 
-    return gray.select("v", "z", "h", "w", "gray").mapInPandas(run, OVERLAYS)
+
+def level_set_masks(gray: DataFrame, settings: LevelSet = LevelSet()) -> DataFrame:
+    s, kernel = settings, ellipse_kernel(settings.kernel)
+    return _each_slice(gray, lambda g: imaging.level_set(g, s.iterations, kernel))
 
 
 def watershed(gray: DataFrame, settings: Watershed = Watershed()) -> DataFrame:
     """Polygons of the marker watershed of each slice."""
-    s = settings
-    return _each_slice(gray, lambda g: imaging.watershed(g, s.fg_ratio, s.open_iterations, s.bg_dilate), s.min_area)
+    return outline.polygons(rows.exploded(watershed_masks(gray, settings)), gray.select("v", "z", "h", "w"), settings.min_area)
 
 
 def level_set(gray: DataFrame, settings: LevelSet = LevelSet()) -> DataFrame:
     """Polygons of the two-region iteration of each slice."""
-    s, kernel = settings, ellipse_kernel(settings.kernel)
-    return _each_slice(gray, lambda g: imaging.level_set(g, s.iterations, kernel), s.min_area)
+    return outline.polygons(rows.exploded(level_set_masks(gray, settings)), gray.select("v", "z", "h", "w"), settings.min_area)
 
 
 def contours(masks: DataFrame, min_area: float) -> DataFrame:
     """Polygons of masks given as an array of 0 and 1 (or booleans) in ``mask``."""
-    return _each_slice(masks.withColumn("gray", F.transform("mask", lambda m: m.cast("int"))), lambda g: g > 0, min_area)
+    lit = masks.select("v", "z", "h", "w", F.transform("mask", lambda m: m.cast("boolean")).alias("mask"))
+    packed = lit.select("v", "z", "h", "w", rows.of_mask("mask", F.col("h"), F.col("w")).alias("rows"))
+    return outline.polygons(rows.exploded(packed), packed.select("v", "z", "h", "w"), min_area)
+
+
+def above_otsu(gray: DataFrame) -> DataFrame:
+    """(v, z, h, w, rows): the pixels above each slice's Otsu threshold."""
+    joined = gray.join(otsu(gray).select("v", "z", "t"), ["v", "z"])
+    on = lambda p: F.get("gray", p.cast("int")) > F.col("t")
+    return joined.select("v", "z", "h", "w", rows.lit(rows.whole(F.col("h"), F.col("w")), F.col("w"), on).alias("rows"))
 
 
-def per_slice(gray: DataFrame, kernel: str, min_area: float = 1.0) -> DataFrame:
-    """(v, z, values): a slice kernel's result as an array: ``blur``, ``distance`` (of
-    g > Otsu) or ``committed`` (what a commit keeps of g > Otsu)."""
+def per_slice(gray: DataFrame, kernel: str) -> DataFrame:
+    """(v, z, values): a slice kernel's result as an array: ``blur`` or ``distance`` (of g > Otsu)."""
     of = {
         "blur": imaging.blur,
         "distance": lambda g: np.nan_to_num(imaging.chamfer(g > imaging.otsu(g)), posinf=-1.0),
-        "committed": lambda g: imaging.committed(g > imaging.otsu(g), min_area),
     }[kernel]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import annotate, history, masks, models, pixels, propagate, segment
+from ..operators import annotate, history, masks, models, outline, pixels, propagate, rows, segment
 from ..sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -228,7 +228,7 @@ def hybrid_roi_predict(spark, d):
 
 
 def _counted(df: DataFrame) -> DataFrame:
-    return df.select("v", "z", F.size(F.filter(models.union_of("masks"), lambda m: m > 0)).alias("n_fg"))
+    return df.select("v", "z", rows.size(F.col("mask")).alias("n_fg"))
 
 
 @query(f"{_P70} select v::bigint v, z::bigint z, count(*) filter (g >= thr)::bigint n_fg from gray join q using (v, z) group by v, z")
@@ -239,15 +239,77 @@ def predict_percentile(spark, d):
 @query(f"{_P70} select v::bigint v, z::bigint z, count(*) filter (g >= thr)::bigint n_fg from gray join q using (v, z) where z % 5 = 0 group by v, z having n_fg > 0")
 def text_seeds(spark, d):
     found = models.text_seeds(gray(spark, d), 5, models.PercentilePredictor())
-    return longs(found.withColumn("n_fg", F.size(F.filter("mask", lambda m: m > 0))), "v z n_fg")
+    return longs(found.withColumn("n_fg", rows.size(F.col("rows"))), "v z n_fg")
 
 
 @query(_roi_sql(_HYBRID).replace("round(coalesce(p60, p70), 6) thr, ", ""))
 def predict_volume_roi(spark, d):
-    asked = models.roi_request(gray(spark, d), *_seed_boxes(tables.slices(spark, d)))
+    seeds, boxes = _seed_boxes(tables.slices(spark, d))
+    asked = models.roi_request(gray(spark, d), masks.bbox_to_runs(seeds, 8, 8), boxes)
     return longs(_counted(models.predict_volumes(asked, models.RoiPredictor())), "v z n_fg")
 
 
+#: Seeds that are no boxes: stairs on every seventh slice, as wide as they are deep.
+_STAIRS = "stair as (select v, z, unnest(generate_series(0, 4)) y, (v + z) % 4 x0 from slices where z % 7 = 0)"
+
+
+def _stairs(slices: DataFrame) -> DataFrame:
+    x = ((F.col("v") + F.col("z")) % 4).cast("int")
+    line = slices.where("z % 7 = 0").select("v", "z", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("y"), x.alias("x0"))
+    return line.withColumn("x1", F.col("x0") + F.col("y"))
+
+
+@query(f"""with {GRAY}, {_STAIRS}, vbox as (select distinct v from slices where v % 2 = 0),
+m as (select gray.*, gray.z % 7 = 0 and gray.v % 5 <> 0 seeded, vbox.v is not null boxed, x0 from gray left join stair s on s.v = gray.v and s.z = gray.z and s.y = gray.y left join vbox on vbox.v = gray.v),
+i as (select *, case when seeded then coalesce(x between x0 and x0 + y, false) when boxed then x between 1 and 5 and y between 1 and 6 end inn from m),
+q as (select v, z, any_value(case when seeded then 'seed' when boxed then 'box' else 'none' end) roi, quantile_cont(g, 0.6) filter (inn) p60, quantile_cont(g, 0.7) p70 from i group by v, z)
+select i.v::bigint v, i.z::bigint z, y::bigint y, x::bigint x, roi, round(coalesce(p60, p70), 6) thr from i join q on q.v = i.v and q.z = i.z
+where g >= coalesce(p60, p70) and coalesce(inn, true)""")
+def seed_roi_predict(spark, d):
+    """Masks as regions; the seeds of every fifth volume have another shape and are refused."""
+    slices = tables.slices(spark, d)
+    volumes = slices.groupBy("v").agg((F.max("z") + 1).alias("z_count"), F.first("h").alias("h"), F.first("w").alias("w"))
+    declared = volumes.withColumn("w", F.when(F.col("v") % 5 == 0, 16).otherwise(F.col("w")))
+    seeds = _stairs(slices).join(segment.admitted(declared, volumes).select("v"), "v", "left_semi")
+    found = segment.seeded_predict(gray(spark, d), seeds, _seed_boxes(slices)[1])
+    return _as_pixels(rows.exploded(found, "rows", "roi", "thr"), "roi", *rounded("thr"))
+
+
+@query(f"""with {GRAY}, {_STAIRS}, m as (select gray.*, s.v is not null inn, gray.z % 7 = 0 asked from gray left join stair s on s.v = gray.v and s.z = gray.z and s.y = gray.y and x between x0 and x0 + s.y),
+k as (select *, case when asked and not inn then 0 else g end seen from m),
+q as (select v, z, quantile_cont(seen, 0.7) + case when contains(prompt, 'tumor') then -5 when contains(prompt, 'liver') then 5 else 0 end thr from k group by v, z, prompt)
+select k.v::bigint v, k.z::bigint z, y::bigint y, x::bigint x from k join q on q.v = k.v and q.z = k.z where seen >= thr and (inn or not asked)""")
+def prompted_predict(spark, d):
+    """A model that sees 0 outside the prompt's mask, its result cut to the mask."""
+    lit = gray(spark, d)
+    prompts = rows.gathered(_stairs(tables.slices(spark, d)), lit).withColumnRenamed("rows", "prompt_rows")
+    found = models.predict_slices(lit.join(prompts, ["v", "z"], "left"), models.PercentilePredictor())
+    return _as_pixels(rows.exploded(found, "mask"))
+
+
+def _mean_box(c: str) -> str:
+    return f"(case when lo is null then up.{c} when up is null then lo.{c} else round_even(lo.{c} + (up.{c} - lo.{c}) * ((z - lo.z) / greatest(1, up.z - lo.z)), 0) end)::bigint {c}"
+
+
+@query(f"""with {GRAY}, {_STAIRS}, three as (select * from stair where v % 3 = 0), b as (select v, z, min(x0) x1, max(least(x0 + y, 7)) x2 from three group by v, z),
+j as (select s.v, s.z, case when b.v is not null then struct_pack(z := b.z, x1 := b.x1, x2 := b.x2) end s from slices s left join b on b.v = s.v and b.z = s.z where s.v % 3 = 0),
+f as (select v, z, s is not null own, last_value(s ignore nulls) over (partition by v order by z rows between unbounded preceding and current row) lo,
+  first_value(s ignore nulls) over (partition by v order by z rows between current row and unbounded following) up from j),
+n as (select v, z, own, {_mean_box("x1")}, {_mean_box("x2")} from f),
+m as (select gray.*, case when gray.v % 3 = 0 then case when own then three.v is not null else gray.y <= 4 and gray.x between n.x1 and n.x2 end when gray.v % 3 = 1 then gray.y between 2 and 5 and gray.x between 1 and 6 end inn
+  from gray left join n on n.v = gray.v and n.z = gray.z left join three on three.v = gray.v and three.z = gray.z and three.y = gray.y and gray.x between three.x0 and three.x0 + three.y),
+q as (select v, z, quantile_cont(case when inn then g else 0 end, 0.7) + case when contains(prompt, 'tumor') then -5 when contains(prompt, 'liver') then 5 else 0 end thr from m group by v, z, prompt)
+select m.v::bigint v, m.z::bigint z, case when m.v % 3 = 0 then '3d' else '2d' end seed_mode, m.v % 3 <> 2 ok, case when m.v % 3 = 2 then '{models.NEEDS_PROMPT}' else '' end message,
+  count(*) filter (inn and g >= thr)::bigint n_fg from m join q on q.v = m.v and q.z = m.z group by m.v, m.z""")
+def prompted_volume(spark, d):
+    """A promptable model on all slices: by seeds, by one drawn mask, or refused."""
+    slices = tables.slices(spark, d)
+    drawn = slices.where("v % 3 = 1").select("v").distinct().select("v", F.explode(F.sequence(F.lit(2), F.lit(5))).alias("y"), F.lit(1).alias("x0"), F.lit(6).alias("x1"))
+    asked = models.prompted_request(gray(spark, d), _stairs(slices).where("v % 3 = 0"), drawn, True)
+    found = models.predict_slices(asked, models.PercentilePredictor()).join(asked.select("v", "z", "seed_mode"), ["v", "z"])
+    return longs(found.withColumn("n_fg", rows.size(F.col("mask"))), "v z n_fg", "seed_mode", "ok", "message")
+
+
 def _polygon_rows(df: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("points", lambda p: F.concat_ws(",", p["x"], p["y"])), " ")
     return longs(df, "v z part", text.alias("path"), scalars.polygon_area(F.col("points")).alias("area"))
@@ -297,9 +359,34 @@ def distance(spark, d):
     return _arrays(segment.per_slice(gray(spark, d), "distance"))
 
 
-@query()
+#: Masks ``fg`` (v, z, p) with their holes, and what is in them, filled: ``full``; its
+#: parts by their first pixels: ``part``; and the walks round them in pixel steps: ``walk``.
+_FILLED = """bg as (select v, z, p from gray where not exists (select 1 from fg where fg.v = gray.v and fg.z = gray.z and fg.p = gray.p)),
+outer_ as (select v, z, p from bg where p % 8 in (0, 7) or p // 8 in (0, 7)
+  union select b.v, b.z, b.p from outer_ o join bg b on b.v = o.v and b.z = o.z and abs(b.p % 8 - o.p % 8) + abs(b.p // 8 - o.p // 8) = 1),
+full_ as (select v, z, p from gray where not exists (select 1 from outer_ o where o.v = gray.v and o.z = gray.z and o.p = gray.p)),
+near8 as (select a.v, a.z, a.p, b.p q from full_ a join full_ b on a.v = b.v and a.z = b.z and abs(a.p % 8 - b.p % 8) <= 1 and abs(a.p // 8 - b.p // 8) <= 1),
+meet as (select v, z, p, q from near8 union select r.v, r.z, r.p, n.q from meet r join near8 n on r.v = n.v and r.z = n.z and r.q = n.p),
+part as (select v, z, p, min(q) c from meet group by v, z, p),
+dirs as (select unnest(range(8)) d, unnest([1, 1, 0, -1, -1, -1, 0, 1]) dx, unnest([0, 1, 1, 1, 0, -1, -1, -1]) dy),
+step as (select n.v, n.z, n.p, d, n.q from near8 n join dirs on n.q % 8 - n.p % 8 = dx and n.q // 8 - n.p // 8 = dy),
+turn as (select s.v, s.z, s.p, b.d back, arg_min(struct_pack(d := s.d, q := s.q), (s.d - b.d + 7) % 8) t from step s, dirs b group by all),
+walk as (select distinct part.v, part.z, c, 0::bigint n, c p, 4::bigint back, t.d first_d from part left join turn on turn.v = part.v and turn.z = part.z and turn.p = c and back = 4
+  union all select w.v, w.z, w.c, w.n + 1, t.q, (t.d + 4) % 8, first_d from walk w join turn on turn.v = w.v and turn.z = w.z and turn.p = w.p and turn.back = w.back
+  join (select v, z, p, back, t.d d2 from turn) e on e.v = w.v and e.z = w.z and e.p = t.q and e.back = (t.d + 4) % 8 where not (t.q = w.c and e.d2 = first_d)),
+bend as (select *, p % 8 x, p // 8 y, lag(p, 1, last_p) over o b4, lead(p, 1, c) over o af, count(*) over (partition by v, z, c) len from
+  (select *, last_value(p) over (partition by v, z, c order by n rows between unbounded preceding and unbounded following) last_p from walk) window o as (partition by v, z, c order by n)),
+kept as (select * from bend where len < 3 or p - b4 <> af - p or abs(p % 8 - b4 % 8) > 1),
+area as (select v, z, c, abs(sum(x * (af // 8) - (af % 8) * y)) / 2 area from bend group by v, z, c),
+poly as (select v, z, c, count(*) n, string_agg(x || ',' || y, ' ' order by kept.n) path, any_value(area.area)::double area from kept join area using (v, z, c) group by v, z, c),
+large as (select * from poly where n >= 3 and area >= 1)"""
+
+
+@query(f"""with recursive {GRAY}, {_OTSU}, cut as (select v, z, case when score is null then 0 else g end t from t where best = 1), fg as (select v, z, p from gray join cut using (v, z) where g > t), {_FILLED}
+select part.v::bigint v, part.z::bigint z, part.p // 8 y, (part.p % 8)::bigint x from part join large using (v, z, c)""")
 def fill_external(spark, d):
-    return _arrays(segment.per_slice(gray(spark, d), "committed", 1.0))
+    lit = segment.above_otsu(gray(spark, d))
+    return _as_pixels(outline.committed(rows.exploded(lit), lit.select("v", "z", "h", "w"), 1.0))
 
 
 # Masks
@@ -428,8 +515,8 @@ def _grid(spark, d) -> DataFrame:
     return tables.slices(spark, d).select("v", "z", "h", "w")
 
 
-def _as_pixels(runs: DataFrame) -> DataFrame:
-    return longs(runs.select("v", "z", "y", F.explode(F.sequence("x0", "x1")).alias("x")), "v z y x")
+def _as_pixels(runs: DataFrame, *rest) -> DataFrame:
+    return longs(runs.withColumn("x", F.explode(F.sequence("x0", "x1"))), "v z y x", *rest)
 
 
 _ON = "fg as (select v, z, y, x from gray where g > 100)"
@@ -459,7 +546,8 @@ def close3(spark, d):
     return _as_pixels(masks.closed(_threshold_runs(spark, d), _grid(spark, d), masks.box_kernel(1)))
 
 
-@query()
+@query(f"""with recursive {GRAY}, fg as (select v, z, p from gray where g > 100), {_FILLED}
+select v::bigint v, z::bigint z, (row_number() over (partition by v, z order by c) - 1)::bigint part, path, area from large""")
 def contours(spark, d):
     lit = gray(spark, d).withColumn("mask", F.transform("gray", lambda g: g > 100))
     return _polygon_rows(segment.contours(lit, 1))
@@ -493,10 +581,21 @@ def seed_interpolation(spark, d):
     return longs(propagate.interpolate_seeds(masks.bbox(_seed_runs(spark, d, "click")), grid), "v z x1 y1 x2 y2", "is_seed")
 
 
-@query()
+#: A slice is a list of 64 words here, a bit a pixel.
+@query(f"""with recursive {OVERLAYS}, {_GRID}, {_FILL},
+box as (select v, z, seed, {', '.join(map(_between, ('x1', 'y1', 'x2', 'y2')))} from f where lo is not null or up is not null),
+exact as (select v, z, y, bit_or((((1::hugeint << (x1 - x0 + 1)::int) - 1) << x0::int)::ubigint) b from runs where status = 'committed' and "label" = 'click' group by v, z, y),
+line as (select box.v, box.z, r.y, case when seed then coalesce(exact.b, 0::ubigint) when r.y between y1 and y2 then (((1::hugeint << (x2 - x1 + 1)::int) - 1) << x1::int)::ubigint else 0::ubigint end b
+  from box cross join (select unnest(range(64)) y) r left join exact on exact.v = box.v and exact.z = box.z and exact.y = r.y),
+fill as (select v, z, list(b order by y) m from line group by v, z),
+three as (select a.v, a.z, a.m b, c.m c from fill a left join fill c on c.v = a.v and c.z = a.z + 1),
+most as (select v, z, b m from three where z = 0
+  union all select v, z, case when c is null or list_bit_or(k) = 0 then b else k end from (select t.v, t.z, t.b, t.c,
+    list_transform(list_zip(p.m, t.b, t.c), lambda q: (q[1] & q[2]) | (q[2] & q[3]) | (q[1] & q[3])) k from most p join three t on t.v = p.v and t.z = p.z + 1))
+select v::bigint v, z::bigint z, list_sum(list_transform(m, lambda q: bit_count(q)))::bigint pixels from most""")
 def densify(spark, d):
     full = propagate.densify(_seed_runs(spark, d, "click"), tables.volumes(spark, d))
-    return longs(full.withColumn("pixels", F.aggregate("mask", F.lit(0), lambda s, m: s + m)), "v z pixels")
+    return longs(full.withColumn("pixels", rows.size(F.col("rows"))), "v z pixels")
 
 
 @query()

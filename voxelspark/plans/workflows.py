@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label_filter
-from ..operators import annotate, masks, models, propagate, segment
+from ..operators import annotate, masks, models, outline, propagate, rows, segment
 from ..schema import DEFAULT_COLOR, DEFAULT_LABEL, DEFAULT_LAYER
 
 
@@ -31,38 +31,33 @@ def commit_run(existing: DataFrame, polygons: DataFrame, label: str = DEFAULT_LA
 
 
 def mask_polygons(found: DataFrame, gray: DataFrame, min_area: float) -> DataFrame:
-    """Polygons of model results (v, z, masks)."""
-    whole = found.select("v", "z", models.union_of("masks").alias("mask")).where("mask is not null")
-    return segment.contours(whole.join(gray.select("v", "z", "h", "w"), ["v", "z"]), min_area)
+    """Polygons of model results (v, z, mask)."""
+    return outline.polygons(rows.exploded(found, "mask"), gray.select("v", "z", "h", "w"), min_area)
 
 
-def seeded_volume_run(gray: DataFrame, overlays: DataFrame, runs: DataFrame, volumes: DataFrame, predictor: models.Predictor, labels: str = "", text_stride: int = 0, min_area: float = 20, declared: DataFrame | None = None) -> DataFrame:
+def seeded_volume_run(gray: DataFrame, overlays: DataFrame, runs: DataFrame, volumes: DataFrame, predictor: models.Predictor, labels: str = "", text_stride: int = 0, min_area: float = 20, declared: DataFrame | None = None, boxes: DataFrame | None = None) -> DataFrame:
     """Polygons of a volume model guided by seeds: committed masks of the labels, with
-    those of every ``text_stride``-th slice if asked, spread over all slices. With
-    ``declared`` (v, z_count, h, w of the seeds) only seeds of their volume's shape count."""
+    those of every ``text_stride``-th slice if asked, spread over all slices, each the
+    region its slice is looked at in. Volumes without seeds are not run. With ``declared``
+    (v, z_count, h, w of the seeds) seeds of another shape than their volume's are
+    refused, and the volume goes on with its box (``boxes``: v, x1, y1, x2, y2) or as a whole."""
     own = propagate.seed_masks(overlays, runs, label_filter(F.lit(labels)))
+    if text_stride:
+        own = propagate.merge_seeds(own, rows.exploded(models.text_seeds(gray, text_stride, models.PercentilePredictor())))
+    asked = gray.join(own.select("v").distinct(), "v", "left_semi")
     if declared is not None:
         own = own.join(segment.admitted(declared, volumes).select("v"), "v", "left_semi")
-    if text_stride:
-        found = models.text_seeds(gray, text_stride, models.PercentilePredictor())
-        lit = found.join(gray.select("v", "z", "w"), ["v", "z"]).select("v", "z", "w", F.posexplode("mask").alias("p", "on")).where("`on` > 0")
-        pixel = lit.select("v", "z", F.floor(F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).cast("int").alias("x0")).withColumn("x1", F.col("x0"))
-        own = propagate.merge_seeds(own, pixel)
-    dense = propagate.densify(own, volumes)
-    lit = dense.select("v", "z", "w", F.posexplode("mask").alias("p", "on")).where("`on` > 0")
-    y, x = F.floor(F.col("p") / F.col("w")).cast("int"), (F.col("p") % F.col("w")).cast("int")
-    boxes = lit.groupBy("v", "z").agg(F.min(x).alias("x1"), F.min(y).alias("y1"), F.max(x).alias("x2"), F.max(y).alias("y2"))
-    anchor = boxes.groupBy("v").agg(*[F.min_by(c, "z").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    asked = models.roi_request(gray.join(boxes.select("v").distinct(), "v", "left_semi"), boxes, anchor)
-    return mask_polygons(models.predict_volumes(asked, predictor), gray, min_area)
-
-
-def prompted_slice_run(gray: DataFrame, prompts: DataFrame, predictor: models.Predictor, min_area: float = 20) -> DataFrame:
-    """Polygons of a slice model: each slice with its prompt's box (v, z, x1, y1, x2, y2),
-    slices without one as they are."""
-    box = F.array("x1", "y1", "x2", "y2")
-    asked = gray.join(prompts.select("v", "z", box.alias("bbox")), ["v", "z"], "left")
-    return mask_polygons(models.predict_slices(asked, predictor), gray, min_area)
+    if boxes is None:
+        boxes = gray.sparkSession.createDataFrame([], "v long, x1 int, y1 int, x2 int, y2 int")
+    dense = rows.exploded(propagate.densify(own, volumes))
+    return mask_polygons(models.predict_volumes(models.roi_request(asked, dense, boxes), predictor), gray, min_area)
+
+
+def prompted_slice_run(gray: DataFrame, seeds: DataFrame, drawn: DataFrame, predictor: models.Predictor, promptable: bool = False, min_area: float = 20) -> tuple[DataFrame, DataFrame]:
+    """Polygons of a slice model run with prompts (see ``models.prompted_request``), and
+    the result rows with their messages."""
+    found = models.predict_slices(models.prompted_request(gray, seeds, drawn, promptable), predictor)
+    return mask_polygons(found, gray, min_area), found
 
 
 def export_run(overlays: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame]:
