@@ -136,6 +136,16 @@ def test_mixing_is_the_least_squares_optimum(spark, most):
     assert (mass * (rate - 1) ** 2).sum() <= (mass * (r - 1) ** 2).sum() + 1e-3
 
 
+def test_two_domains_left_are_still_told_apart(spark):
+    """Without the third domain, words that one of two uses more often still mark it."""
+    docs = spark.createDataFrame([(k, f"plain text number {k} " + ("nasty word " if k % 2 or k % 40 == 0 else "kind word ")) for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, "toxic" if k % 2 else "clean") for k in range(400)], "doc_id long, domain string")
+    found = mixing.mix(docs, labels, mixing.WEIGHTS, most=1.0)
+    p = {r.doc_id: r.p for r in found.rows.collect()}
+    assert all(p[k][1] > 0.8 for k in range(1, 400, 2)) and all(p[k][0] > 0.8 for k in range(2, 400, 2) if k % 40)
+    assert found.residual < 1e-8 and abs(found.reached["toxic"] / found.wanted["toxic"] - 1) < 1e-2
+
+
 def test_mixing_without_a_way_to_the_targets(spark):
     rows = [(k, 100, [0.9, 0.1]) for k in range(50)]
     soft = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
@@ -144,6 +154,10 @@ def test_mixing_without_a_way_to_the_targets(spark):
     rate = got.reached[0] / 4500
     best = (0.9 * 0.1 + 0.1 * 0.9) / (0.9**2 + 0.1**2)
     assert abs(rate - best) < 1e-3
+    # One domain nearly gone, all memberships equal, rates at their bound from the start.
+    same = spark.createDataFrame([(k, 100, [0.88, 0.119988, 0.000012]) for k in range(50)], "doc_id long, n_tokens long, p array<double>")
+    got = mixing.fit(same, [0.9, 0.04, 0.06], most=1.0)
+    assert got.residual < 1e-8 and got.reached[0] > 0.95 * got.wanted[0]
 
 
 def test_op5(spark, docs):

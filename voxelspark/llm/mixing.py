@@ -67,8 +67,11 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], per_domain:
     every = sum(F.col(f"c{k}") for k in range(len(domains)))
     clearly = F.lit(False)
     for k, own in enumerate(n):
+        rest = sum(n) - own
         expected = every * (own / max(sum(n), 1))
-        clearly = clearly | ((F.col(f"c{k}") >= 2 * expected) & (F.col(f"c{k}") - expected >= clear * F.sqrt(expected + 0.5)))
+        # At least four times as frequent as in the other domains together, and not by chance.
+        often = F.col(f"c{k}") * float(rest) >= 4.0 * own * (every - F.col(f"c{k}"))
+        clearly = clearly | (often & F.lit(own > 0 and rest > 0) & (F.col(f"c{k}") - expected >= clear * F.sqrt(expected + 0.5)))
     share = lambda k, own: F.least(F.col(f"c{k}") + 0.5, F.lit(own + 0.5)) / (own + 1)
     odds = [F.log(share(k, own) / (1 - share(k, own))).alias(f"e{k}") for k, own in enumerate(n)]
     absent = [F.log(1 - share(k, own)).alias(f"a{k}") for k, own in enumerate(n)]
@@ -126,8 +129,8 @@ def fit(soft: DataFrame, weights: list[float], budget: float | None = None, most
     Minimised is |totals - targets|^2 plus ``ridge`` times the rates' distance from 1, over
     rates within their bounds. Gradient steps are summed in the space of domains and the
     sum is projected, so rates depend on a number a domain, whatever the steps. A step is
-    scaled by the curvature of the rates that are not at a bound (Newton) and halved until
-    it gains. The problem is strictly convex: the gradient is zero at the one solution,
+    scaled by the curvature of the rates that are not beyond a bound (Newton) and damped
+    until it gains; one that doesn't is not taken. The problem is strictly convex: the gradient is zero at the one solution,
     and that, not a small step, ends the fit. Targets that no rates reach leave a gap
     between ``wanted`` and ``reached`` with a gradient of zero all the same.
     """
@@ -144,7 +147,7 @@ def fit(soft: DataFrame, weights: list[float], budget: float | None = None, most
         at = [float(x) for x in dual]
         free = F.lit(1.0) + _dot(F.col("p"), [F.lit(x) for x in at], n)
         rated = soft.withColumn("r", _rate(at, n, most)).withColumn("free", free)
-        inside = ((F.col("free") > 0) & (F.lit(most is None) | (F.col("free") < (most or 0.0)))).cast("double")
+        inside = ((F.col("free") >= 0) & (F.lit(most is None) | (F.col("free") <= (most or 0.0)))).cast("double")
         # The conjugate of half the squared distance from 1: its slope is the rate.
         value = F.col("r") * (F.col("free") - 1) - (F.col("r") - 1) * (F.col("r") - 1) / 2
         sums = [F.sum(mass * value), *[F.sum(mass * F.col("r") * F.col("p")[k]) for k in range(n)]]
@@ -152,23 +155,22 @@ def fit(soft: DataFrame, weights: list[float], budget: float | None = None, most
         found = np.array(rated.agg(*sums).first(), float) / base[0]
         return found[0] + ridge / 2 * dual @ dual - goal @ dual, found[1 : n + 1], found[n + 1 :].reshape(n, n)
 
-    dual, done = np.zeros(n), 1
+    dual, done, damping = np.zeros(n), 1, ridge
     value, totals, curve = look(dual)
     while done < passes:
         gradient = totals - goal + ridge * dual
         if np.abs(gradient).max() <= close:
             break
-        move = -np.linalg.solve(curve + np.eye(n) * ridge, gradient)
-        length = 1.0
-        while done < passes:
-            new = look(dual + length * move)
-            done += 1
-            if new[0] <= value + 1e-4 * length * float(gradient @ move) or length < 1e-9:
-                break
-            length /= 2
-        if new[0] >= value and length < 1e-9:
+        move = -np.linalg.solve(curve + np.eye(n) * (ridge + damping), gradient)
+        new = look(dual + move)
+        done += 1
+        if new[0] <= value + 1e-4 * float(gradient @ move):
+            dual, (value, totals, curve) = dual + move, new
+            damping = damping / 8 if damping > 1e-6 else 0.0
+        elif np.abs(move).max() <= 1e-12 * max(1.0, np.abs(dual).max()):
             break  # what is left is rounding
-        dual, (value, totals, curve) = dual + length * move, new
+        else:
+            damping = max(damping * 8, 1e-5)
     residual = float(np.abs(totals - goal + ridge * dual).max())
     return Fit(dual.tolist(), (goal * base[0]).tolist(), (totals * base[0]).tolist(), done, residual)
 
