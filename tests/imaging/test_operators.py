@@ -260,3 +260,25 @@ def test_runs_within_a_slice_row(spark):
         assert (None if r.box is None else tuple(r.box)) == ((x.min(), y.min(), x.max(), y.max()) if m.any() else None)
     odd = spark.createDataFrame([(0, 1, 0, -3, 1), (0, 1, 0, 2, 9), (0, 1, 7, 0, 3), (0, 9, 0, 0, 1)], "v long, z long, y int, x0 int, x1 int")
     assert [(r.z, [tuple(q) for q in r.rows]) for r in rows.gathered(odd, df).collect()] == [(1, [(0, 0, 5)])]
+
+
+def test_blur_and_distance_in_the_row_equal_their_twins(spark):
+    for h, w in ((1, 1), (2, 2), (1, 7), (5, 3), (13, 17)):
+        images = [rng.integers(0, 256, (h, w)) for _ in range(3)]
+        gray = spark.createDataFrame([(0, z, h, w, [int(x) for x in g.ravel()]) for z, g in enumerate(images)], "v long, z long, h int, w int, gray array<int>")
+        assert {r.z: r["values"] for r in segment.blur(gray).collect()} == {z: imaging.blur(g).ravel().tolist() for z, g in enumerate(images)}
+        lit = [rng.random((h, w)) < p for p in (0.5, 0.97)] + [np.ones((h, w), bool), np.zeros((h, w), bool)]
+        df = spark.createDataFrame([(0, z, h, w, [bool(x) for x in m.ravel()]) for z, m in enumerate(lit)], "v long, z long, h int, w int, mask array<boolean>")
+        packed = df.select("v", "z", "h", "w", rows.of_mask("mask", F.col("h"), F.col("w")).alias("rows"))
+        for r in segment.distance(packed).collect():
+            assert np.allclose(r["values"], np.nan_to_num(imaging.chamfer(lit[r.z]), posinf=-1.0).ravel())
+
+
+def test_a_large_slice_has_its_distance_soon(spark):
+    import time
+
+    n = 512
+    df = spark.createDataFrame([(0, 0, n, n, [{"y": y, "x0": 2, "x1": n - 3} for y in range(2, n - 2)])], f"v long, z long, h int, w int, rows {rows.ROWS}")
+    began = time.perf_counter()
+    top = segment.distance(df).select(F.array_max("values")).first()[0]
+    assert top == n / 2 - 2 and time.perf_counter() - began < 30

@@ -210,13 +210,15 @@ def watershed(gray: np.ndarray, fg_ratio: float, open_iterations: int, bg_dilate
 
 def level_set(gray: np.ndarray, iterations: int, kernel: list[tuple[int, int]]) -> np.ndarray:
     """Two-region iteration on the blurred slice; a mask that repeats has settled."""
-    f = blur(gray) / 255
-    mask = f > f.mean()
+    f = blur(gray)
+    mask = f * f.size > f.sum()
     for _ in range(iterations):
         if mask.all() or not mask.any():
             break
-        c1, c0 = f[mask].mean(), f[~mask].mean()
-        new = (f - c1) ** 2 < (f - c0) ** 2
+        # Nearer to the inner mean than to the outer one, in whole numbers.
+        n1, n0, s1, s0 = int(mask.sum()), int((~mask).sum()), int(f[mask].sum()), int(f[~mask].sum())
+        twice, both = 2 * f * n1 * n0, s1 * n0 + s0 * n1
+        new = twice > both if s1 * n0 > s0 * n1 else (twice < both) & (s1 * n0 != s0 * n1)
         new = dilate(erode(new, kernel), kernel)
         new = erode(dilate(new, kernel), kernel)
         if (new == mask).all():

@@ -179,6 +179,15 @@ def hit_test(points: DataFrame, overlays: DataFrame, layer: str = ALL_LAYERS) ->
     return points.join(top, ["v", "z", "point_id"], "left").select("v", "z", "point_id", F.coalesce("hit.idx", F.lit(-1)).cast("long").alias("idx"), "hit.label", "hit.color", "hit.layer")
 
 
+def dense_volume(runs: DataFrame, volumes: DataFrame) -> DataFrame:
+    """(v, z, h, w, rows): the mask, as runs, of every slice of every volume; slices without
+    one are empty, runs of other slices and outside their image are left out."""
+    from .rows import ROWS, gathered
+
+    grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("z_count").cast("long") - 1)).alias("z"))
+    return grid.join(gathered(runs, grid), ["v", "z"], "left").select("v", "z", "h", "w", F.coalesce("rows", F.array().cast(ROWS)).alias("rows"))
+
+
 def densify_grid(runs: DataFrame, volumes: DataFrame) -> DataFrame:
     """Pixel counts of every slice of every volume; slices without a mask have 0, runs
     outside their volume are ignored."""

@@ -12,13 +12,12 @@ of a part take as many rounds as their number has bits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import polygon_area
 from . import masks
+from .rows import let
 
 POINTS = "array<struct<x: int, y: int>>"
 
@@ -88,11 +87,6 @@ def _ends(runs: Column) -> Column:
     return F.flatten(F.transform(runs, of_run))
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def _in_order(ends: Column) -> Column:
     """The corners of ends (node, next, points; by node) from node 0 on, by pointer doubling."""
     # The chain is cut before node 0: its last end follows itself.
@@ -108,7 +102,7 @@ def _open(path: Column) -> Column:
     """A closed path without points that repeat the one before, the last before the first."""
     apart = F.filter(path, lambda q, i: (i == 0) | (q != F.get(path, F.greatest(i - 1, F.lit(0)))))
     last = lambda p: (F.size(p) > 1) & (F.get(p, F.size(p) - 1) == F.get(p, F.lit(0)))
-    return _let(apart, lambda p: F.slice(p, F.lit(1), F.size(p) - last(p).cast("int")))
+    return let(apart, lambda p: F.slice(p, F.lit(1), F.size(p) - last(p).cast("int")))
 
 
 def _corners(path: Column) -> Column:
@@ -124,11 +118,11 @@ def outlines(own: DataFrame, min_points: int = 1, min_area: float = 0) -> DataFr
     """(v, z, component, points, area, lines): the outline of each part (v, z, component, y,
     x0, x1) that has no holes, through the centres of its pixels, clockwise from its first
     pixel; those with too few points or too small an area are left out."""
-    path = _let(_ends(_with_near("lines")), lambda e: _let(_in_order(e), lambda p: _let(_open(p), _corners)))
-    found = _let(path, lambda p: F.struct(p.alias("points"), polygon_area(p).alias("area")))
+    path = let(_ends(_with_near("lines")), lambda e: let(_in_order(e), lambda p: let(_open(p), _corners)))
+    found = let(path, lambda p: F.struct(p.alias("points"), polygon_area(p).alias("area")))
     kept = F.filter(F.array(found), lambda x: (F.size(x["points"]) >= min_points) & (x["area"] >= min_area))
     # An explode of one element: what has been worked out is not worked out again to filter.
-    return _lines(own).select("v", "z", "component", F.explode(kept).alias("x"), "lines").select("v", "z", "component", "x.points", "x.area", "lines")
+    return _lines(own).select("v", "z", "component", F.explode_outer(kept).alias("x"), "lines").where("x is not null").select("v", "z", "component", "x.points", "x.area", "lines")
 
 
 def polygons(runs: DataFrame, grid: DataFrame, min_area: float) -> DataFrame:

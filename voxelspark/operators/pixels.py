@@ -66,7 +66,9 @@ def threshold_dim(gray: DataFrame, threshold: float) -> DataFrame:
 
 def voxels(gray: DataFrame, values: str = "gray") -> DataFrame:
     """(v, z, y, x, g): the exploded view."""
-    rows = gray.select("v", "z", "w", F.posexplode(values).alias("p", "g"))
+    # From an inner explode the optimizer infers a filter on the array, which it works out
+    # again below, where it may be once an element.
+    rows = gray.select("v", "z", "w", F.posexplode_outer(values).alias("p", "g")).where("p is not null")
     return rows.select("v", "z", F.floor(F.col("p") / F.col("w")).cast("long").alias("y"), (F.col("p") % F.col("w")).cast("long").alias("x"), "g")
 
 

@@ -18,6 +18,12 @@ from . import masks
 ROWS = "array<struct<y: int, x0: int, x1: int>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: the optimizer puts a column's expression
+    where it is used, which within a lambda would be once an element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def run(y: Column, x0: Column, x1: Column) -> Column:
     return F.struct(y.cast("int").alias("y"), x0.cast("int").alias("x0"), x1.cast("int").alias("x1"))
 
@@ -81,7 +87,8 @@ def gathered(runs: DataFrame, grid: DataFrame) -> DataFrame:
 
 def exploded(df: DataFrame, rows: str = "rows", *keep: str) -> DataFrame:
     """A table of runs (v, z, keep, y, x0, x1)."""
-    return df.select("v", "z", *keep, F.explode(rows).alias("_r")).select("v", "z", *keep, "_r.y", "_r.x0", "_r.x1")
+    # Outer, as in ``pixels.voxels``: no filter is inferred on the array.
+    return df.select("v", "z", *keep, F.explode_outer(rows).alias("_r")).where("_r is not null").select("v", "z", *keep, "_r.y", "_r.x0", "_r.x1")
 
 
 def to_image(rows: Iterable | None, shape: tuple[int, int]) -> np.ndarray:

@@ -156,16 +156,56 @@ def above_otsu(gray: DataFrame) -> DataFrame:
     return joined.select("v", "z", "h", "w", rows.lit(rows.whole(F.col("h"), F.col("w")), F.col("w"), on).alias("rows"))
 
 
-def per_slice(gray: DataFrame, kernel: str) -> DataFrame:
-    """(v, z, values): a slice kernel's result as an array: ``blur`` or ``distance`` (of g > Otsu)."""
-    of = {
-        "blur": imaging.blur,
-        "distance": lambda g: np.nan_to_num(imaging.chamfer(g > imaging.otsu(g)), posinf=-1.0),
-    }[kernel]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            values = [of(np.asarray(g, np.int64).reshape(h, w)).ravel().astype(float).tolist() for h, w, g in zip(pdf["h"], pdf["w"], pdf["gray"], strict=True)]
-            yield pd.DataFrame({"v": pdf["v"], "z": pdf["z"], "values": values})
-
-    return gray.select("v", "z", "h", "w", "gray").mapInPandas(run, "v long, z long, values array<double>")
+def blur(gray: DataFrame) -> DataFrame:
+    """(v, z, h, w, values): a 5 x 5 binomial blur, mirrored at the border, rounded half up:
+    two weighted shifts within the slice row."""
+
+    def mirrored(i: Column, n: Column) -> Column:
+        at = F.abs(i) % F.greatest(2 * n - 2, F.lit(1))
+        return F.when(at >= n, 2 * n - 2 - at).otherwise(at).cast("int")
+
+    weights = ((-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1))
+    h, w = F.col("h"), F.col("w")
+    y, x = (lambda p: F.floor(p / w).cast("int")), (lambda p: p % w)
+    total = lambda of: of(*weights[0]) + of(*weights[1]) + of(*weights[2]) + of(*weights[3]) + of(*weights[4])
+    across = gray.select("v", "z", "h", "w", F.transform("gray", lambda _, p: total(lambda d, k: F.get("gray", y(p) * w + mirrored(x(p) + d, w)).cast("long") * k)).alias("_a"))
+    down = F.transform("_a", lambda _, p: F.floor((total(lambda d, k: F.get("_a", mirrored(y(p) + d, h) * w + x(p)) * k) + 128) / 256).cast("int"))
+    return across.select("v", "z", "h", "w", down.alias("values"))
+
+
+_LINES = "struct<out: array<array<double>>, one: array<double>, two: array<double>>"
+#: Further than any pixel of an image.
+FAR = 1e12
+
+
+def _scan(values: str) -> Column:
+    """One pass of a 5 x 5 chamfer over a row-major array, downwards: a fold over lines that
+    takes least sums with the two lines before, and along a line by doubling strides."""
+    # Weights of straight, diagonal and knight's steps.
+    straight, diagonal, knight = 1.0, 1.4, 2.1969
+    before = [("one", 0, straight), ("one", -1, diagonal), ("one", 1, diagonal), ("one", -2, knight), ("one", 2, knight), ("two", -1, knight), ("two", 1, knight)]
+    lines = rows.let(F.col(values), lambda d: F.transform(F.sequence(F.lit(0), F.col("h") - 1), lambda y: F.slice(d, y * F.col("w") + 1, F.col("w"))))
+    strides = F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.col("w").cast("double"))).cast("int")), lambda k: F.pow(F.lit(2), k).cast("int"))
+
+    def step(s: Column, line: Column) -> Column:
+        reached = F.transform(line, lambda d, x: F.least(d, *[F.get(s[of], x + dx) + cost for of, dx, cost in before]))
+        along = F.aggregate(strides, reached, lambda c, k: F.transform(c, lambda d, x: F.least(d, F.get(c, x - k) + k * straight)))
+        return rows.let(along, lambda c: F.struct(F.concat(s["out"], F.array(c)).alias("out"), c.alias("one"), s["one"].alias("two"))).cast(_LINES)
+
+    empty = F.array().cast("array<double>")
+    start = F.struct(F.array().cast("array<array<double>>").alias("out"), empty.alias("one"), empty.alias("two")).cast(_LINES)
+    return F.flatten(F.aggregate(lines, start, step, lambda s: s["out"]))
+
+
+def distance(masks: DataFrame) -> DataFrame:
+    """(v, z, h, w, values): each pixel's distance to the background of the mask (rows: runs)
+    by a 5 x 5 chamfer, -1 everywhere if there is none. Two scans of the slice row."""
+    n = F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)
+    on = F.transform("rows", lambda r: F.struct((r["y"] * F.col("w") + r["x0"]).alias("a"), (r["y"] * F.col("w") + r["x1"]).alias("b")))
+    # Stretches of background and of mask in turn.
+    parts = F.aggregate(on, F.struct(F.array().cast("array<double>").alias("v"), F.lit(0).alias("at")).cast("struct<v: array<double>, at: int>"), lambda s, r: F.struct(F.concat(s["v"], F.array_repeat(F.lit(0.0), r["a"] - s["at"]), F.array_repeat(F.lit(FAR), r["b"] - r["a"] + 1)).alias("v"), (r["b"] + 1).alias("at")).cast("struct<v: array<double>, at: int>"))
+    start = masks.select("v", "z", "h", "w", F.size(n).alias("_n"), parts.alias("_p"))
+    start = start.select("v", "z", "h", "w", F.concat("_p.v", F.array_repeat(F.lit(0.0), F.col("_n") - F.col("_p.at"))).alias("_d"))
+    down = start.select("v", "z", "h", "w", F.reverse(_scan("_d")).alias("_d"))
+    up = down.select("v", "z", "h", "w", F.reverse(_scan("_d")).alias("_d"))
+    return up.select("v", "z", "h", "w", F.transform("_d", lambda d: F.when(d >= FAR, -1.0).otherwise(d)).alias("values"))

@@ -107,6 +107,17 @@ def threshold_dim(spark, d):
     return longs(pixels.voxels(pixels.threshold_dim(gray(spark, d), 0.5)), "v z y x g")
 
 
+@query(f"""with {SLICES}, odd as (select v, z, p, case when (v * 50 + z + p) % 17 = 0 then 'nan'::double when (v * 50 + z + p) % 19 = 0 then 'inf'::double when (v * 50 + z + p) % 23 = 0 then '-inf'::double else i end i
+  from (select v, z, unnest(pixels)::double i, generate_subscripts(pixels, 1) - 1 p from slices)),
+r as (select v, min(i) lo, max(i) hi from odd where isfinite(i) group by v)
+select v::bigint v, z::bigint z, (p // 8)::bigint y, (p % 8)::bigint x, trunc((case when isnan(i) or i = '-inf'::double then lo when i = 'inf'::double then hi else i end - lo) / greatest(1e-6, hi - lo) * 255)::bigint g from odd join r using (v)""")
+def non_finite_levels(spark, d):
+    """Grey levels of slices with NaN and infinities in them."""
+    at = lambda p: F.col("v") * 50 + F.col("z") + p
+    odd = lambda x, p: F.when(at(p) % 17 == 0, float("nan")).when(at(p) % 19 == 0, float("inf")).when(at(p) % 23 == 0, float("-inf")).otherwise(x)
+    return longs(pixels.voxels(pixels.full_window(tables.slices(spark, d).withColumn("pixels", F.transform("pixels", odd)))), "v z y x g")
+
+
 @query(f"with {GRAY} select v::bigint v, z::bigint z, g::bigint g, count(*)::bigint n from gray group by all")
 def gray_histogram(spark, d):
     return longs(pixels.histogram(gray(spark, d)), "v z g n")
@@ -322,13 +333,6 @@ def watershed_all(spark, d):
     return _polygon_rows(segment.watershed(gray(spark, d), Watershed(min_area=1)))
 
 
-@query()
-def levelset_all(spark, d):
-    from ..schema import LevelSet
-
-    return _polygon_rows(segment.level_set(gray(spark, d), LevelSet(min_area=1)))
-
-
 @query(f"""with {SLICES}, {_BOXES}, c as (select v, z, bx1, by1, least(bx2, 7) bx2, least(by2, 7) by2 from box)
 select v::bigint v, z::bigint z, 0::bigint part, 4::bigint n_points, ((bx2 - bx1) * (by2 - by1))::double area from c where (bx2 - bx1) * (by2 - by1) >= 4""")
 def commit_from_masks(spark, d):
@@ -339,24 +343,26 @@ def commit_from_masks(spark, d):
     return longs(found.withColumn("n_points", F.size("points")), "v z part n_points", scalars.polygon_area(F.col("points")).alias("area"))
 
 
-def _arrays(df: DataFrame) -> DataFrame:
-    return longs(df, "v z", F.round(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.array_max("values"), 6).alias("top"))
+_MIRROR = "case when {c} < 0 then -({c}) when {c} > 7 then 14 - ({c}) else {c} end"
 
 
-_MIRROR = "case when {c} < 0 then -({c}) when {c} > 7 then 14 - ({c}) else {c} end"
+_BLUR = f"""k as (select unnest([-2, -1, 0, 1, 2]) o, unnest([1, 4, 6, 4, 1]) wt),
+b as (select a.v, a.z, a.y, a.x, a.p, (sum(g2.g * ky.wt * kx.wt) + 128) // 256 g from gray a, k ky, k kx, gray g2
+  where g2.v = a.v and g2.z = a.z and g2.y = {_MIRROR.format(c="a.y + ky.o")} and g2.x = {_MIRROR.format(c="a.x + kx.o")} group by all)"""
 
 
-@query(f"""with {GRAY}, k as (select unnest([-2, -1, 0, 1, 2]) o, unnest([1, 4, 6, 4, 1]) wt),
-b as (select a.v, a.z, a.y, a.x, (sum(g2.g * ky.wt * kx.wt) + 128) // 256 bl from gray a, k ky, k kx, gray g2
-  where g2.v = a.v and g2.z = a.z and g2.y = {_MIRROR.format(c="a.y + ky.o")} and g2.x = {_MIRROR.format(c="a.x + kx.o")} group by all)
-select v::bigint v, z::bigint z, sum(bl)::double total, max(bl)::double top from b group by v, z""")
+@query(f"""with {GRAY}, {_BLUR}
+select v::bigint v, z::bigint z, y::bigint y, x::bigint x, g::bigint g from b""")
 def blur(spark, d):
-    return _arrays(segment.per_slice(gray(spark, d), "blur"))
+    return longs(pixels.voxels(segment.blur(gray(spark, d)), "values"), "v z y x g")
 
 
-@query()
+@query(f"""with {GRAY}, {_OTSU}, cut as (select v, z, case when score is null then 0 else g end t from t where best = 1), m as (select gray.*, g > t lit from gray join cut using (v, z)),
+sd as (select a.v, a.z, a.y, a.x, greatest(abs(a.y - b.y), abs(a.x - b.x)) hi, least(abs(a.y - b.y), abs(a.x - b.x)) lo from m a join m b on b.v = a.v and b.z = a.z and not b.lit)
+select v::bigint v, z::bigint z, y::bigint y, x::bigint x, round(min(case when hi >= 2 * lo then hi - 2 * lo + lo * 2.1969::double else (2 * lo - hi) * 1.4::double + (hi - lo) * 2.1969::double end), 6) g from sd group by v, z, y, x""")
 def distance(spark, d):
-    return _arrays(segment.per_slice(gray(spark, d), "distance"))
+    """Of what is above Otsu's threshold; that always leaves background."""
+    return longs(pixels.voxels(segment.distance(segment.above_otsu(gray(spark, d))), "values"), "v z y x", *rounded("g"))
 
 
 #: Masks ``fg`` (v, z, p) with their holes, and what is in them, filled: ``full``; its
@@ -389,6 +395,75 @@ def fill_external(spark, d):
     return _as_pixels(outline.committed(rows.exploded(lit), lit.select("v", "z", "h", "w"), 1.0))
 
 
+def _neighbours(op: str, m: str) -> str:
+    """A list of 64 pixels eroded (and) or dilated (or) by a cross; the outside doesn't matter."""
+    at = lambda edge, p: f"{edge} or {m}[{p}]" if op == "and" else f"not ({edge}) and {m}[{p}]"
+    sides = " ".join(f"{op} ({at(edge, p)})" for edge, p in (("p % 8 = 0", "p"), ("p % 8 = 7", "p + 2"), ("p < 8", "p - 7"), ("p > 55", "p + 9")))
+    return f"list_transform(range(64), lambda p: {m}[p + 1] {sides})"
+
+
+_LEVELS = f"""{_BLUR}, bl as (select v, z, list(g::bigint order by p) b, sum(g) s from b group by v, z),
+ls as (select v, z, b, 0::bigint i, list_transform(b, lambda g: g * 64 > s) m from bl
+  union all select v, z, b, i + 1, m6 from (select *, {_neighbours("and", "m5")} m6 from (select *, {_neighbours("or", "m4")} m5 from (select *, {_neighbours("or", "m3")} m4 from (select *, {_neighbours("and", "m2")} m3
+  from (select v, z, b, i, list_transform(b, lambda g: case when s1 * n0 > s0 * n1 then 2 * g * n1 * n0 > s1 * n0 + s0 * n1 else s1 * n0 < s0 * n1 and 2 * g * n1 * n0 < s1 * n0 + s0 * n1 end) m2
+  from (select *, list_sum(list_transform(m, lambda q: q::bigint))::bigint n1, list_sum(list_transform(m, lambda q: (not q)::bigint))::bigint n0,
+    list_sum(list_transform(list_zip(b, m), lambda q: case when q[2] then q[1] else 0 end))::bigint s1, list_sum(list_transform(list_zip(b, m), lambda q: case when q[2] then 0 else q[1] end))::bigint s0 from ls where i < 20) where n1 > 0 and n0 > 0)))))),
+settled as (select v, z, arg_max(m, i) m from ls group by v, z), fg as (select v, z, p from (select v, z, unnest(m) lit, generate_subscripts(m, 1)::bigint - 1 p from settled) where lit)"""
+
+
+@query(f"""with recursive {GRAY}, {_LEVELS}, {_FILLED}
+select v::bigint v, z::bigint z, (row_number() over (partition by v, z order by c) - 1)::bigint part, path, area from large""")
+def levelset_all(spark, d):
+    from ..schema import LevelSet
+
+    return _polygon_rows(segment.level_set(gray(spark, d), LevelSet(min_area=1)))
+
+
+def _one_preview(spark, d) -> DataFrame:
+    """A preview on each slice, and a committed overlay on every third."""
+    at = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (3, 0), (3, 3))])
+    rows_ = tables.slices(spark, d).select("v", "z", at.alias("points"), F.lit("Default").alias("label"), F.lit("").alias("color"), F.lit("Layer 1").alias("layer"))
+    return rows_.select("v", "z", F.lit(7).cast("long").alias("seq"), "points", "label", "color", "layer", F.lit("preview").alias("status")).unionByName(rows_.where("z % 3 = 0").select("v", "z", F.lit(4).cast("long").alias("seq"), "points", "label", "color", "layer", F.lit("committed").alias("status")))
+
+
+@query(f"""with recursive {GRAY}, {_LEVELS}, {_FILLED}, new as (select v, z, row_number() over (partition by v, z order by c) - 1 part from large where z % 2 = 0)
+select v::bigint v, z::bigint z, (part + 8)::bigint seq, 'preview' status from new union all select v::bigint, z::bigint, 7, 'preview' from slices where z % 2 = 1 union all select v::bigint, z::bigint, 4, 'committed' from slices where z % 3 = 0""")
+def levelset_preview(spark, d):
+    """Previews of every second slice replaced, or lost where nothing is found."""
+    from ..schema import LevelSet
+    from . import workflows
+
+    lit = gray(spark, d)
+    found = segment.level_set(lit, LevelSet(min_area=1))
+    return longs(workflows.preview_run(_one_preview(spark, d), lit, found, F.col("z") % 2 == 0), "v z seq", "status")
+
+
+@query(f"""with recursive {GRAY}, {_LEVELS}, {_FILLED} select v::bigint v, count(distinct z)::bigint slices, count(*)::bigint added from large group by v""")
+def levelset_commit(spark, d):
+    """Polygons of all slices committed: how many, and on how many slices."""
+    from ..schema import LevelSet
+    from . import workflows
+
+    before = _one_preview(spark, d)
+    after, slices = workflows.commit_run(before, segment.level_set(gray(spark, d), LevelSet(min_area=1)))
+    done = after.where("status = 'committed'").groupBy("v").agg(F.count("*").alias("n")).join(before.where("status = 'committed'").groupBy("v").agg(F.count("*").alias("n0")), "v")
+    return longs(done.join(slices, "v").withColumn("added", F.col("n") - F.col("n0")), "v slices added")
+
+
+@query(f"""with recursive {GRAY}, {_HYBRID}, m0 as (select gray.v, gray.z, gray.p, g, bx1 is not null and x between bx1 and bx2 and y between by1 and by2 inn from gray left join box using (v, z)),
+q as (select v, z, quantile_cont(g, 0.6) filter (inn) p60, quantile_cont(g, 0.7) p70 from m0 group by v, z), fg as (select v, z, p from m0 join q using (v, z) where g >= coalesce(p60, p70) and (p60 is null or inn)), {_FILLED},
+new as (select v, z, row_number() over (partition by v, z order by c) - 1 part from large)
+select v::bigint v, z::bigint z, (part + 8)::bigint seq, 'preview' status from new union all select v::bigint, z::bigint, 4, 'committed' from slices where z % 3 = 0""")
+def volume_preview(spark, d):
+    """The previews of a volume model's masks: every slice's own are replaced."""
+    from . import workflows
+
+    lit = gray(spark, d)
+    seeds, boxes = _seed_boxes(tables.slices(spark, d))
+    found = models.predict_volumes(models.roi_request(lit, masks.bbox_to_runs(seeds, 8, 8), boxes), models.RoiPredictor())
+    return longs(workflows.preview_run(_one_preview(spark, d), lit, workflows.mask_polygons(found, lit, 1)), "v z seq", "status")
+
+
 # Masks
 
 
@@ -469,6 +544,16 @@ def dense_grid(spark, d):
     return longs(masks.densify_grid(_seed_runs(spark, d), tables.volumes(spark, d)), "v z pixels")
 
 
+@query(f"""with {OVERLAYS}, {_SEEDS}, g as (select v, unnest(generate_series(0, 31)) z from (select distinct v from ov)), c as (select v, z, y, greatest(x0, 5) x0, least(x1, 47) x1 from u where y < 40 and x1 >= 5 and x0 <= 47)
+select g.v::bigint v, g.z::bigint z, coalesce(string_agg(y || ':' || x0 - 5 || '-' || x1 - 5, ' ' order by y, x0), '') rows from g left join c on c.v = g.v and c.z = g.z group by g.v, g.z""")
+def dense_volume(spark, d):
+    """Every slice's mask, cut to an image that is smaller than some masks."""
+    runs = _seed_runs(spark, d).select("v", "z", "y", (F.col("x0") - 5).alias("x0"), (F.col("x1") - 5).alias("x1"))
+    full = masks.dense_volume(runs, tables.volumes(spark, d).select("v", "z_count", F.lit(40).alias("h"), F.lit(43).alias("w")))
+    text = F.array_join(F.transform("rows", lambda r: F.concat(r["y"].cast("string"), F.lit(":"), r["x0"].cast("string"), F.lit("-"), r["x1"].cast("string"))), " ")
+    return longs(full, "v z", text.alias("rows"))
+
+
 @query(f"""with {OVERLAYS}, {_SEEDS}, g as (select v, unnest(generate_series(0, 31)) z from (select distinct v from ov where v % 10 <> 0))
 select v::bigint v, z::bigint z, coalesce(sum(x1 - x0 + 1) filter (y < 64 and x1 < 64), 0)::bigint pixels from g left join u using (v, z) group by v, z""")
 def seed_admission(spark, d):
