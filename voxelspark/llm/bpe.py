@@ -110,7 +110,8 @@ class Codec:
         tokens = read_ranks(path)
         self.sp = sentencepiece.SentencePieceProcessor()
         self.sp.LoadFromSerializedProto(model(tokens))
-        self.pattern, self.newer = regex.compile(pattern).findall, regex.compile(f"[{''.join(newer_letters(pattern))}\x00]")
+        self.pattern, self.newer = regex.compile(pattern).findall, frozenset(newer_letters(pattern))
+        self.mask = str.maketrans(dict.fromkeys(self.newer, "\ue000"))
         table = [bytes(ord(c) - BASE for c in self.sp.IdToPiece(k)) for k in range(len(tokens))]
         self.lengths = np.fromiter(map(len, table), np.int64, len(table))
         self.starts, self.bytes = np.cumsum(self.lengths) - self.lengths, np.frombuffer(b"".join(table), np.uint8)
@@ -122,9 +123,9 @@ class Codec:
     def split(self, text: str) -> list[str]:
         """Pre-tokens by the pattern. Letters and numbers of a newer Unicode than the
         reference's count as other characters, of which one stands in for them here."""
-        if text.isascii() or not self.newer.search(text):
+        if text.isascii() or self.newer.isdisjoint(text):
             return self.pattern(text)
-        ends = np.cumsum([*map(len, self.pattern(self.newer.sub("\ue000", text)))]).tolist()
+        ends = np.cumsum([*map(len, self.pattern(text.translate(self.mask)))]).tolist()
         return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
