@@ -5,8 +5,9 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 
-from voxelspark.sources import volumes
+from voxelspark.sources import files, volumes
 
 
 def nifti(values: np.ndarray, slope: float = 2.0, inter: float = -1.0) -> bytes:
@@ -67,3 +68,42 @@ def test_images(spark, tmp_path):
     at = data.index(b"IDAT")
     raw = zlib.decompress(data[at + 4 : at + 4 + struct.unpack(">I", data[at - 4 : at])[0]])
     assert raw == b"\0" + bytes(4) + b"\0" + bytes(4) + b"\0" + b"\xff\xff\0\0"
+
+
+def _volume(axis: int) -> np.ndarray:
+    shape = [9, 7]
+    shape.insert(axis, 5)
+    return np.random.default_rng(axis).standard_normal(shape).astype("<f4")
+
+
+@pytest.mark.parametrize("axis", [0, 1, 2])
+@pytest.mark.parametrize("packed", [False, True])
+def test_data_source_reads_as_the_decoder(spark, tmp_path, axis, packed):
+    x = _volume(axis)
+    data = volumes.head(list(x.shape), x.dtype) + x.tobytes(order="F")
+    (tmp_path / ("a.nii.gz" if packed else "a.nii")).write_bytes(gzip.compress(data) if packed else data)
+    (tmp_path / "b.nii").write_bytes(b"no volume")
+    (tmp_path / "c.nii").write_bytes(data[:-30])
+    files.register(spark)
+    got = spark.read.format("volume_slices").option("bytes", 400).load(str(tmp_path))
+    whole = np.moveaxis(x, axis, 0)
+    mine = {r.z: r for r in got.where("error is null and path not like '%c.nii'").collect()}
+    assert sorted(mine) == [*range(5)] and all(r.axis == axis and r.z_count == 5 for r in mine.values())
+    assert all(np.array_equal(np.array(r.pixels, "f4").reshape(r.h, r.w), whole[z]) for z, r in mine.items())
+    assert got.where("error is not null and path like '%b.nii'").count() == 1
+    some = got.where("z >= 1 and z < 4 and z in (0, 1, 3) and path like '%a.nii%'")
+    assert sorted(r.z for r in some.collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("axis", [0, 1, 2])
+def test_data_source_writes_whole_files(spark, tmp_path, axis):
+    x = np.moveaxis(_volume(axis), axis, 0)
+    # Slice 3 is missing.
+    rows = [("d/one.nii", z, 9, 7, axis, 5, x[z].ravel().tolist()) for z in (4, 0, 2, 1)]
+    df = spark.createDataFrame(rows, "file string, z int, h int, w int, axis int, z_count int, pixels array<float>")
+    files.write(df, str(tmp_path / "out"))
+    got = {r.z: np.array(r.pixels, "f4").reshape(9, 7) for r in files.read(spark, str(tmp_path / "out")).collect()}
+    assert sorted(got) == [*range(5)] and not got[3].any() and all(np.array_equal(got[z], x[z]) for z in (0, 1, 2, 4))
+    with pytest.raises(Exception, match="slice 0 after 0"):
+        files.write(df.union(df), str(tmp_path / "bad"))
+    assert not [p for p in (tmp_path / "bad").rglob("*") if p.is_file()]

@@ -1,5 +1,7 @@
 """Operators on small inputs worked by hand or against slow twins."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -160,26 +162,79 @@ def test_undo_redo(spark):
     assert sorted(map(tuple, history.replay(log).collect())) == [(1, 1, 101)]
 
 
-def test_stream_equals_batch(spark, tmp_path):
+LOG = "session long, n int, op string, event_id long"
+
+
+def _streamed(spark, folder, idle=None, until=None) -> dict:
+    """What the rows of all batches leave a session: (live, late, closed)."""
     from voxelspark.streaming.history import replay_stream
 
+    def left() -> dict:
+        rows = spark.read.schema("session long, live array<long>, late long, closed boolean, batch long").parquet(str(folder / "out")).orderBy("batch").collect()
+        return {r.session: (list(r.live), r.late, r.closed) for r in rows}
+
+    (folder / "out").mkdir(exist_ok=True)
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(folder / "log"))
+    keep = lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(str(folder / "out"))
+    q = replay_stream(stream, idle).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(folder / "state")).start()
+    if until is None:
+        q.processAllAvailable()
+    end = time.monotonic() + 60
+    while until and not until(left()) and q.isActive and time.monotonic() < end:
+        time.sleep(1)
+    q.stop()
+    return left()
+
+
+def test_stream_equals_batch_over_a_restart(spark, tmp_path):
     ops = rng.choice(["do", "do", "undo", "redo"], 60).tolist()
-    schema = "session long, n int, op string, event_id long"
     rows = [(k % 3, k, op, k) for k, op in enumerate(ops)]
-    for part in range(3):
-        spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(str(tmp_path / "log"))
-    q = replay_stream(stream).writeStream.format("memory").queryName("undo_state").outputMode("update").option("checkpointLocation", str(tmp_path / "state")).start()
-    q.processAllAvailable()
-    q.stop()
-    last: dict = {}
-    for r in spark.table("undo_state").collect():
-        if r.session not in last or len(r.live) or True:
-            last[r.session] = list(r.live)
+    got: dict = {}
+    for part in range(3):  # a new query from the checkpoint each time
+        spark.createDataFrame(rows[part * 20 : part * 20 + 20], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+        got = _streamed(spark, tmp_path)
     batch: dict = {s: [] for s in range(3)}
-    for s, _, e in sorted(map(tuple, history.replay(spark.createDataFrame(rows, schema)).collect())):
+    for s, _, e in sorted(map(tuple, history.replay(spark.createDataFrame(rows, LOG)).collect())):
         batch[s].append(e)
-    assert last == batch
+    assert {s: live for s, (live, *_) in got.items()} == batch
+    spark.createDataFrame([(0, 5, "do", 999)], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    assert _streamed(spark, tmp_path)[0] == (batch[0], 1, False)
+
+
+def test_stream_drops_idle_sessions(spark, tmp_path):
+    spark.createDataFrame([(7, 1, "do", 1), (7, 2, "do", 2)], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    assert _streamed(spark, tmp_path, 500, lambda got: got.get(7, (0, 0, 0))[2])[7] == ([], 0, True)
+    spark.createDataFrame([(7, 1, "do", 3)], LOG).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    assert _streamed(spark, tmp_path, 60_000, lambda got: not got[7][2])[7] == ([3], 0, False)
+
+
+def _session(spark, *lines):
+    """The end of one session: z -> (selected, ids, labels, previews)."""
+    box = [{"x": 0, "y": 0}, {"x": 10, "y": 0}, {"x": 10, "y": 10}, {"x": 0, "y": 10}]
+    rows = [(1, n, kind, z, [{"id": i, "points": box} for i in ids], x, 5, f"L{n}", "red", None) for n, (kind, z, ids, x) in enumerate(lines)]
+    schema = "session long, n int, kind string, z long, items array<struct<id: long, points: array<struct<x: int, y: int>>>>, x int, y int, label string, color string, layer string"
+    return {r.z: (r.selected, [o.id for o in r.overlays], [o.label for o in r.overlays], r.previews) for r in history.sessions(spark.createDataFrame(rows, schema)).collect()}
+
+
+def test_sessions(spark):
+    add, undo, redo = (lambda i, z=0: ("add", z, [i], 0)), ("undo", 0, [], 0), ("redo", 0, [], 0)
+    at = lambda kind, x=5: (kind, 0, [], x)
+    show = lambda *ids, z=0: ("preview", z, [*ids], 0)
+    # A hit takes the topmost or none; a delete clamps; undo puts back place and selection.
+    assert _session(spark, add(1), add(2), at("hit"))[0] == (1, [1, 2], ["L0", "L1"], [])
+    assert _session(spark, add(1), add(2), at("hit", 50), at("delete"))[0] == (0, [1], ["L0"], [])
+    assert _session(spark, add(1), at("delete"))[0] == (-1, [], [], [])
+    assert _session(spark, add(1), add(2), at("hit", 50), at("delete"), undo)[0] == (-1, [1, 2], ["L0", "L1"], [])
+    # An undone accept loses its preview, one of all accepts brings it back; redo clears even a new one.
+    assert _session(spark, show(1, 2), at("accept"), undo)[0] == (-1, [], [], [])
+    assert _session(spark, show(1, 2), show(3, z=1), at("accept_all"), undo) == {0: (-1, [], [], [1, 2]), 1: (-1, [], [], [3])}
+    assert _session(spark, show(1), at("accept_all"), undo, show(4, z=2), redo) == {0: (0, [1], ["L0"], [])}
+    # What finds nothing to do is no command: redo still works after it. A new command ends it.
+    assert _session(spark, add(1), undo, at("delete"), at("meta"), at("accept"), redo)[0] == (0, [1], ["L0"], [])
+    assert _session(spark, add(1), undo, add(2), redo)[0] == (0, [2], ["L2"], [])
+    assert _session(spark, add(1), at("meta"), add(2), undo, undo)[0] == (0, [1], ["L0"], [])
+    assert _session(spark, add(1), at("meta"), at("reject"), at("unknown"))[0] == (0, [1], ["L1"], [])
+    assert _session(spark, undo, redo) == {}
 
 
 def test_selection_rules(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import annotate, history, masks, models, outline, pixels, propagate, rows, segment
-from ..sources import tables
+from ..sources import files, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -812,18 +812,59 @@ def undo_redo_state(spark, d):
     return history.replay(tables.command_log(spark, d))
 
 
-@query(f"""{LIVE},
-live as (select session, position, s.h[position] event_id from pos),
-cmd as (select user_id session, n, event_id, event_id % 4 z, case event_type when 'click' then 'add' when 'purchase' then 'delete' when 'view' then 'meta' end kind, 'L' || (event_id % 10) "label" from ev),
-aimed as (select *, last_value(case when kind = 'add' then event_id end ignore nulls) over (partition by session, z order by n rows between unbounded preceding and 1 preceding) target from cmd),
-done as (select live.session, position, live.event_id, z, kind, "label", target from live join aimed using (session, event_id)),
-changes as (select session, target, bool_or(kind = 'delete') gone, arg_max("label", position) filter (where kind = 'meta') renamed from done where kind <> 'add' group by session, target),
-kept as (select done.session, z, position, event_id, coalesce(renamed, "label") "label" from done left join changes on changes.session = done.session and changes.target = done.event_id where kind = 'add' and not coalesce(gone, false))
-select session::bigint session, z::bigint z, (row_number() over (partition by session, z order by position) - 1)::bigint idx, event_id::bigint event_id, "label",
-  position = max(position) over (partition by session, z) selected from kept""")
+#: The fold of ``history.sessions`` with slices 0 to 3 as places 1 to 4 of lists, up to the table ``ended``.
+#: A command is (kind k, place p, idx i, item before a and after b, items by place, selection before).
+_ITEM = "struct(i bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint, l varchar, y varchar)"
+_COMMAND = f"struct(k varchar, p bigint, i bigint, a {_ITEM}, b {_ITEM}, items {_ITEM}[][], before bigint[])"
+ACTIONS = f"""with recursive {OVERLAYS}, log as (select user_id session, n, event_id % 4 + 1 p, event_id * 7 % 64 x, event_id * 13 % 64 y, event_id % 2 = 0 twice,
+  case event_type when 'error' then 'undo' when 'signup' then 'redo' when 'click' then case when event_id % 3 = 0 then 'preview' else 'add' end
+    when 'purchase' then case event_id % 3 when 0 then 'delete' when 1 then 'accept' else 'accept_all' end
+    else case when event_id % 3 = 0 then 'meta' when event_id % 3 = 2 and event_id % 5 = 0 then 'reject' else 'hit' end end kind,
+  {{'i': event_id * 2, 'x1': k % 40, 'y1': event_id % 37, 'x2': k % 40 + 20 + event_id % 17, 'y2': event_id % 37 + 20 + cast(floor(value) as int) % 20,
+    'l': 'L' || (event_id % 10), 'y': 'Layer ' || (1 + event_id % 3)}}::{_ITEM} item from ev),
+made as (select *, case when kind = 'preview' and twice then [item, struct_update(item, i := item.i + 1)] else [item] end items from log),
+fold as (select session, 0::bigint n, [[], [], [], []]::{_ITEM}[][] ov, [[], [], [], []]::{_ITEM}[][] pv, [-1, -1, -1, -1]::bigint[] sel, []::{_COMMAND}[] hist, 0::bigint depth
+    from (select distinct session from log)
+  union all select session, n, ov, case kind when 'preview' then list_transform(pv, lambda q, j: case when j = p then items else q end)
+      when 'reject' then list_transform(pv, lambda q, j: case when j = p then [] else q end) else pv end,
+    case when kind = 'hit' then list_transform(sel, lambda q, j: case when j = p then coalesce(list_max(list_transform(ov[p], lambda o, m:
+      case when (twice or o.y = item.y) and o.x1 <= x and x < o.x2 and o.y1 <= y and y < o.y2 then m - 1 else -1 end)), -1) else q end) else sel end, hist, depth
+  from (select session, n, kind, p, x, y, twice, item, items, hist, depth, ov2 ov,
+      case when dir = 1 and act.k = 'accept' then list_transform(pv, lambda q, j: case when j = act.p then [] else q end)
+        when dir = 1 and act.k = 'accept_all' then [[], [], [], []]
+        when dir = -1 and act.k = 'accept_all' then list_transform(pv, lambda q, j: case when len(act.items[j]) > 0 then act.items[j] else q end) else pv end pv,
+      case when dir = 0 or act.k = 'meta' then sel when act.k = 'delete' then list_transform(sel, lambda q, j: case when j <> act.p then q when dir = 1 then least(act.i, len(ov2[j]) - 1) else act.before[j] end)
+        else list_transform(sel, lambda q, j: case when len(act.items[j]) = 0 then q when dir = 1 then len(ov2[j]) - 1 else act.before[j] end) end sel
+    from (select *, case when dir = 0 then ov
+        when act.k = 'meta' then list_transform(ov, lambda q, j: case when j = act.p then list_transform(q, lambda o, m: case when m = act.i + 1 then case dir when 1 then act.b else act.a end else o end) else q end)
+        when act.k = 'delete' then list_transform(ov, lambda q, j: case when j <> act.p then q when dir = 1 then q[1:act.i] || q[act.i + 2:] else q[1:act.i] || [act.a] || q[act.i + 1:] end)
+        when dir = 1 then list_transform(ov, lambda q, j: q || act.items[j]) else list_transform(ov, lambda q, j: q[1:len(q) - len(act.items[j])]) end ov2
+      from (select * exclude (hist, depth), case when kind = 'undo' and depth > 0 then hist[depth] when kind = 'redo' and depth < len(hist) then hist[depth + 1] else cmd end act,
+          case when kind = 'undo' and depth > 0 then -1 when (kind = 'redo' and depth < len(hist)) or cmd is not null then 1 else 0 end dir,
+          case when cmd is not null then list_append(hist[1:depth], cmd) else hist end hist,
+          case when kind = 'undo' then greatest(0, depth - 1) when kind = 'redo' then least(len(hist), depth + 1) when cmd is not null then depth + 1 else depth end depth
+        from (select f.session, l.n, f.ov, f.pv, f.sel, f.hist, f.depth, l.kind, l.p, l.x, l.y, l.twice, l.item, l.items,
+            case when kind = 'add' then {{'k': kind, 'p': p, 'i': null, 'a': null, 'b': null, 'items': list_transform([1, 2, 3, 4], lambda j: case when j = p then l.items else [] end), 'before': sel}}::{_COMMAND}
+              when kind = 'accept' and len(pv[p]) > 0 then {{'k': kind, 'p': p, 'i': null, 'a': null, 'b': null, 'items': list_transform(pv, lambda q, j: case when j = p then q else [] end), 'before': sel}}::{_COMMAND}
+              when kind = 'accept_all' and len(flatten(pv)) > 0 then {{'k': kind, 'p': p, 'i': null, 'a': null, 'b': null, 'items': pv, 'before': sel}}::{_COMMAND}
+              when kind = 'delete' and len(ov[p]) > 0 then {{'k': kind, 'p': p, 'i': case when sel[p] between 0 and len(ov[p]) - 1 then sel[p] else len(ov[p]) - 1 end,
+                'a': ov[p][case when sel[p] between 0 and len(ov[p]) - 1 then sel[p] + 1 else len(ov[p]) end], 'b': null, 'items': null, 'before': sel}}::{_COMMAND}
+              when kind = 'meta' and sel[p] between 0 and len(ov[p]) - 1 then {{'k': kind, 'p': p, 'i': sel[p], 'a': ov[p][sel[p] + 1], 'b': struct_update(ov[p][sel[p] + 1], l := item.l, y := item.y), 'items': null, 'before': sel}}::{_COMMAND} end cmd
+          from fold f join made l on l.session = f.session and l.n = f.n + 1))))),
+ended as (select session, arg_max(struct_pack(ov := ov, pv := pv, sel := sel), n) s from fold group by session)"""
+
+
+@query(f"""{ACTIONS}, each as (select session, s, p, unnest(generate_series(1, len(s.ov[p]))) m from ended, (select unnest([1, 2, 3, 4]) p))
+select session::bigint session, (p - 1)::bigint z, (m - 1)::bigint idx, s.ov[p][m].i id, s.ov[p][m].l "label", s.ov[p][m].y layer, s.sel[p] = m - 1 selected from each""")
 def overlay_state(spark, d):
-    found = history.overlay_state(history.replay(tables.command_log(spark, d)), tables.commands(spark, d))
-    return longs(found, "session z idx event_id", "label", "selected")
+    return longs(history.overlay_state(tables.actions(spark, d)), "session z idx id", "label", "layer", "selected")
+
+
+@query(f"""{ACTIONS} select session::bigint session, (p - 1)::bigint z, len(s.ov[p])::bigint overlays, s.sel[p] selected, coalesce(array_to_string(list_transform(s.pv[p], lambda o: o.i), ','), '') previews
+  from ended, (select unnest([1, 2, 3, 4]) p) where len(s.ov[p]) > 0 or len(s.pv[p]) > 0""")
+def session_state(spark, d):
+    left = history.sessions(tables.actions(spark, d)).where("size(overlays) > 0 or size(previews) > 0")
+    return longs(left.withColumn("overlays", F.size("overlays")), "session z overlays selected", F.array_join(F.col("previews").cast("array<string>"), ",").alias("previews"))
 
 
 @query(f"""with {CLICKS}, e as (select *, coalesce(sum((finish or cancel)::int) over (partition by v order by n rows between unbounded preceding and 1 preceding), 0) draft from px),
@@ -858,3 +899,16 @@ def export_manifest(spark, d):
   count(*) filter (status = 'committed') > 0 exportable, count(*) filter (status = 'preview') > 0 warn_preview from ov group by v""")
 def export_summary(spark, d):
     return longs(annotate.export_summary(tables.overlays(spark, d)), "v committed preview", "exportable", "warn_preview")
+
+
+@query("""with px as (select vec_id, unnest(embedding)::double i, generate_subscripts(embedding, 1) - 1 p from embeddings)
+select (vec_id // 5)::bigint v, (vec_id % 5)::bigint z, 5::bigint z_count, (p // 8)::bigint y, (p % 8)::bigint x, round(i, 6) i from px""")
+def volume_files(spark, d):
+    """The slices as volume files of five, and what is read back."""
+    at = tables.work_dir(spark, "volumes")
+    five = tables.slices(spark, d).withColumn("id", F.col("v") * 50 + F.col("z"))
+    name = F.concat(F.lit("volume_"), F.floor(F.col("id") / 5).cast("string"), F.lit(".nii"))
+    files.write(five.select(name.alias("file"), (F.col("id") % 5).alias("z"), "h", "w", F.lit(2).alias("axis"), F.lit(5).alias("z_count"), "pixels"), at)
+    back = files.read(spark, at).where("error is null").withColumn("v", F.regexp_extract("path", r"volume_(\d+)\.nii$", 1).cast("long"))
+    each = back.select("v", "z", "z_count", "w", F.posexplode("pixels").alias("p", "i"))
+    return longs(each.withColumns({"y": F.floor(F.col("p") / F.col("w")), "x": F.col("p") % F.col("w")}), "v z z_count y x", *rounded("i"))

@@ -6,6 +6,10 @@ overlay, one click and one command. See FIXTURES.md.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,28 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, deleted when the driver ends; where the
+    session names none, a local one if everything runs on this machine."""
+    from pyarrow import fs
+
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    path = f"{(root or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    store, inner = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    store.create_dir(inner, recursive=True)
+    atexit.register(_delete, store, inner)
+    return path
+
+
+def _delete(store, path: str) -> None:
+    try:
+        store.delete_dir(path)
+    except OSError:
+        pass  # the store is gone with the session
+
+
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _read(spark, sf_dir, "embeddings")
     prompt = F.when(F.col("label") == 0, "tumor").when(F.col("label") == 1, "liver").otherwise("")
@@ -60,14 +86,25 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _numbered(spark, sf_dir).select(F.col("user_id").alias("v"), (i % 32).alias("z"), "n", F.col("event_id").alias("point_id"), n(i * 7 % 900, "cx"), n(i * 13 % 700, "cy"), *[F.lit(x).alias(c) for c, x in (("ox", 100), ("oy", 50), ("vw", 640), ("vh", 512))], (i % 6 == 0).alias("finish"), (i % 29 == 0).alias("cancel"))
 
 
-def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the commands of ``command_log`` do: click adds, purchase deletes and view renames
-    the overlay that the session added last to the slice (``event_id`` % 4)."""
-    kind = F.when(F.col("event_type") == "click", "add").when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "view", "meta")
-    rows = _numbered(spark, sf_dir).select(F.col("user_id").alias("session"), "n", "event_id", (F.col("event_id") % 4).alias("z"), kind.alias("kind"), F.concat(F.lit("L"), (F.col("event_id") % 10).cast("string")).alias("label"))
-    before = Window.partitionBy("session", "z").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    target = F.last(F.when(F.col("kind") == "add", F.col("event_id")), ignorenulls=True).over(before)
-    return rows.withColumn("target", target).where("kind is not null").drop("n")
+def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of ``history.sessions``: what an event does goes by its type and ``event_id`` % 3,
+    its slice by ``event_id`` % 4; an item's box is that of the event's overlay."""
+    i, third = F.col("event_id"), F.col("event_id") % 3
+    kind = (
+        F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo")
+        .when(F.col("event_type") == "click", F.when(third == 0, "preview").otherwise("add"))
+        .when(F.col("event_type") == "purchase", F.when(third == 0, "delete").when(third == 1, "accept").otherwise("accept_all"))
+        .otherwise(F.when(third == 0, "meta").when(third == 1, "hit").when(i % 5 == 0, "reject").otherwise("hit"))
+    )
+    e = _numbered(spark, sf_dir).withColumns({"kind": kind, "x1": (F.col("k") % 40).cast("int"), "y1": (i % 37).cast("int")})
+    e = e.withColumns({"x2": (F.col("x1") + 20 + i % 17).cast("int"), "y2": (F.col("y1") + 20 + F.floor("value").cast("int") % 20).cast("int")})
+    at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    points = F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2"))
+    item = lambda part: F.struct((i * 2 + part).alias("id"), points.alias("points"))
+    # Every other preview has two items.
+    items = F.when((F.col("kind") == "preview") & (i % 2 == 0), F.array(item(0), item(1))).when(F.col("kind").isin("add", "preview"), F.array(item(0)))
+    layer = F.when((F.col("kind") == "hit") & (i % 2 == 0), F.lit(None)).otherwise(F.concat(F.lit("Layer "), (1 + i % 3).cast("string")))
+    return e.select(F.col("user_id").alias("session"), "n", "kind", (i % 4).alias("z"), items.alias("items"), (i * 7 % 64).cast("int").alias("x"), (i * 13 % 64).cast("int").alias("y"), F.concat(F.lit("L"), (i % 10).cast("string")).alias("label"), F.lit("#ff0000").alias("color"), layer.alias("layer"))
 
 
 def command_log(spark: SparkSession, sf_dir: str) -> DataFrame:

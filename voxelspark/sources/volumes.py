@@ -21,19 +21,24 @@ TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 76
 SLICES = "path string, z long, h int, w int, axis int, z_count int, pixels array<float>, header binary, error string"
 
 
-def decode(data: bytes) -> tuple[np.ndarray, bytes]:
-    """Scaled float32 values in file orientation, and the header."""
-    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-    order = next((o for o in "<>" if len(data) >= 348 and struct.unpack_from(o + "i", data)[0] == 348), None)
+def layout(head: bytes) -> tuple[str, np.dtype, tuple[int, ...], int, float, float]:
+    """Byte order, type, dimensions, where the values begin, slope and intercept."""
+    order = next((o for o in "<>" if len(head) >= 348 and struct.unpack_from(o + "i", head)[0] == 348), None)
     if order is None:
         raise ValueError("not a NIfTI-1 file")
-    dims = struct.unpack_from(order + "8h", data, 40)
-    kind = struct.unpack_from(order + "h", data, 70)[0]
-    offset, slope, inter = struct.unpack_from(order + "3f", data, 108)
+    dims = struct.unpack_from(order + "8h", head, 40)
+    kind = struct.unpack_from(order + "h", head, 70)[0]
+    offset, slope, inter = struct.unpack_from(order + "3f", head, 108)
     if kind not in TYPES:
         raise ValueError(f"data type {kind}")
-    shape = dims[1 : 1 + dims[0]]
-    values = np.frombuffer(data, order + TYPES[kind], int(np.prod(shape)), int(offset)).reshape(shape, order="F").astype(np.float32)
+    return order, np.dtype(order + TYPES[kind]), dims[1 : 1 + dims[0]], int(offset), slope, inter
+
+
+def decode(data: bytes) -> tuple[np.ndarray, bytes]:
+    """Scaled float32 values in file orientation, and the header."""
+    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+    _, dtype, shape, offset, slope, inter = layout(data)
+    values = np.frombuffer(data, dtype, int(np.prod(shape)), offset).reshape(shape, order="F").astype(np.float32)
     return (values * slope + inter if slope else values).astype(np.float32), data[:348]
 
 
@@ -73,10 +78,9 @@ def volume_axis(dims):
     return (F.array_position(kept, F.array_min(kept)) - 1).cast("int")
 
 
-def encode(mask: np.ndarray, axis: int, header: bytes | None = None) -> bytes:
-    """A uint8 NIfTI-1 file of a mask (z, h, w), turned back to the file's orientation. Of
-    the volume's ``header``, if given, the affine, voxel sizes, units and texts are kept."""
-    values = np.moveaxis(mask.astype(np.uint8), 0, axis)
+def head(shape: list[int], dtype: np.dtype, header: bytes | None = None) -> bytes:
+    """The 352 bytes before the values. Of the volume's ``header``, if given, the affine,
+    voxel sizes, units and texts are kept."""
     head, order = bytearray(352), "<"
     if header is None:
         struct.pack_into("<8f", head, 76, *[1.0] * 8)
@@ -88,13 +92,22 @@ def encode(mask: np.ndarray, axis: int, header: bytes | None = None) -> bytes:
         kept = [k for k in range(1, dims[0] + 1) if dims[k] > 1]
         if len(kept) == 3:
             struct.pack_into(order + "8f", head, 76, sizes[0], *(sizes[k] for k in kept), *[1.0] * 4)
+        if order == ">" and dtype.itemsize > 1:
+            raise ValueError("a header of the other byte order needs values of one byte")
+    kind = next(k for k, t in TYPES.items() if t == dtype.str[1:])
     struct.pack_into(order + "i", head, 0, 348)
-    struct.pack_into(order + "8h", head, 40, 3, *values.shape, 1, 1, 1, 1)
-    struct.pack_into(order + "2h", head, 70, 2, 8)
+    struct.pack_into(order + "8h", head, 40, 3, *shape, 1, 1, 1, 1)
+    struct.pack_into(order + "2h", head, 70, kind, 8 * dtype.itemsize)
     struct.pack_into(order + "3f", head, 108, 352.0, 1.0, 0.0)
     struct.pack_into(order + "2f", head, 124, 0.0, 0.0)  # no display range
     head[344:348] = b"n+1\0"
-    return bytes(head) + values.tobytes(order="F")
+    return bytes(head)
+
+
+def encode(mask: np.ndarray, axis: int, header: bytes | None = None) -> bytes:
+    """A uint8 NIfTI-1 file of a mask (z, h, w), turned back to the file's orientation."""
+    values = np.moveaxis(mask.astype(np.uint8), 0, axis)
+    return head(list(values.shape), values.dtype, header) + values.tobytes(order="F")
 
 
 def mask_files(runs: DataFrame, volumes: DataFrame) -> DataFrame:
