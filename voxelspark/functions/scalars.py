@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULT_LABEL, DEFAULT_LAYER
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: the optimizer puts a column's expression
+    where it is used, which within a lambda would be once an element."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def hex_to_rgb(color: Column) -> Column:
     """A struct r, g, b of ``#rrggbb``; anything else is red."""
     part = lambda at: F.conv(F.substring(color, at, 2), 16, 10).cast("int")
@@ -69,8 +77,8 @@ def _edges(points: Column, start: Column, step) -> Column:
 
 def polygon_area(points: Column) -> Column:
     """Shoelace area; 0 for fewer than 3 points."""
-    twice = _edges(points, F.lit(0.0), lambda acc, p, q: acc + (q["x"] * p["y"] - p["x"] * q["y"]).cast("double"))
-    return F.when(F.size(points) >= 3, F.abs(twice) / 2).otherwise(F.lit(0.0))
+    twice = lambda own: _edges(own, F.lit(0.0), lambda acc, p, q: acc + (q["x"] * p["y"] - p["x"] * q["y"]).cast("double"))
+    return let(points, lambda own: F.when(F.size(own) >= 3, F.abs(twice(own)) / 2).otherwise(F.lit(0.0)))
 
 
 def point_in_polygon(x: Column, y: Column, points: Column) -> Column:
@@ -81,4 +89,4 @@ def point_in_polygon(x: Column, y: Column, points: Column) -> Column:
         at = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0)) + p["x"]
         return F.when(crosses & (x < at), ~acc).otherwise(acc)
 
-    return F.coalesce((F.size(points) >= 3) & _edges(points, F.lit(False), step), F.lit(False))
+    return F.coalesce(let(points, lambda own: (F.size(own) >= 3) & _edges(own, F.lit(False), step)), F.lit(False))

@@ -6,12 +6,18 @@ are not exploded. ``shape`` arguments are columns or numbers of a slice's height
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import normalize_layer, point_in_polygon, polygon_area
 from ..schema import ALL_LAYERS
+from . import imaging
 
 KEYS = ("v", "z")
 
@@ -56,9 +62,20 @@ def union(runs: DataFrame, *keys: str) -> DataFrame:
 def intersect(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
     """Pixels in both masks."""
     keys = keys or KEYS
-    other = b.select(*keys, "y", F.col("x0").alias("_x0"), F.col("x1").alias("_x1"))
-    both = a.join(other, [*keys, "y"]).where("x0 <= _x1 and _x0 <= x1")
-    return union(both.select(*keys, "y", F.greatest("x0", "_x0").alias("x0"), F.least("x1", "_x1").alias("x1")), *keys)
+    sides = [m.select(*keys, "y", "x0", "x1", F.lit(k).alias("side")) for k, m in enumerate((a, b))]
+    return common(sides[0].unionByName(sides[1]), *keys)
+
+
+def common(runs: DataFrame, *keys: str) -> DataFrame:
+    """Pixels in the masks of both sides (``side``: 0 or 1). Merged runs of a side are apart,
+    so of two that overlap the later one finds the other as the last before it: a window, no
+    join. What is found are ends of merged runs and apart as well."""
+    keys = keys or KEYS
+    before = Window.partitionBy(*keys, "y").orderBy("x0", "side").rowsBetween(Window.unboundedPreceding, -1)
+    reach = [F.last(F.when(F.col("side") == k, F.col("x1")), ignorenulls=True).over(before) for k in (0, 1)]
+    other = F.when(F.col("side") == 0, reach[1]).otherwise(reach[0])
+    met = union(runs, *keys, "side").withColumn("_reach", other).where("_reach >= x0")
+    return met.select(*keys, "y", "x0", F.least("x1", "_reach").alias("x1"))
 
 
 def complement(runs: DataFrame, grid: DataFrame) -> DataFrame:
@@ -140,25 +157,28 @@ def components(runs: DataFrame, diagonal: bool = True) -> DataFrame:
     return merged.select("v", "z", "y", "x0", "x1").groupBy("v", "z").applyInPandas(join_runs, schema)
 
 
+#: Rows of pixels, counted an edge, that a task draws at once.
+DRAWN = 1_000_000
+
+
 def rasterize(overlays: DataFrame) -> DataFrame:
     """Runs of each polygon (keys and seq kept): pixels whose centre is inside by the
-    even-odd rule or lies on an edge. Fewer than 3 points make none."""
-    p = F.col("points")
-    n = F.size("points")
-    edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.get(p, i).alias("a"), F.get(p, F.pmod(i + 1, n)).alias("b")))
-    each = overlays.where(n >= 3).select("v", "z", "seq", F.explode(edges).alias("e")).select("v", "z", "seq", *[F.col(f"e.{k}.{c}").alias(k + c) for k in "ab" for c in "xy"])
-    # An edge has the rows of its own span only, one crossing in each.
-    rows = each.withColumn("y", F.explode(F.sequence(F.least("ay", "by"), F.greatest("ay", "by"))))
-    y = F.col("y")
-    at = F.col("ax") + (y - F.col("ay")) * (F.col("bx") - F.col("ax")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0))
-    run = lambda x0, x1: F.struct(x0.cast("long").alias("x0"), x1.cast("long").alias("x1"))
-    on = F.when(F.col("ay") == F.col("by"), run(F.least("ax", "bx"), F.greatest("ax", "bx"))).when(F.ceil("at") <= F.floor("at"), run(F.ceil("at"), F.floor("at")))
-    crosses = (F.col("ay") <= y) != (F.col("by") <= y)
-    grouped = rows.withColumn("at", at).groupBy("v", "z", "seq", "y").agg(F.sort_array(F.collect_list(F.when(crosses, F.col("at")))).alias("cross"), F.collect_list(on).alias("on"))  # an element an edge
-    pairs = F.transform(F.sequence(F.lit(1), F.size("cross") - 1, F.lit(2)), lambda i: run(F.ceil(F.get("cross", i - 1)), F.floor(F.get("cross", i))))
-    inside = F.when(F.size("cross") > 1, pairs).otherwise(F.array().cast("array<struct<x0:bigint,x1:bigint>>"))
-    found = grouped.select("v", "z", "seq", "y", F.explode(F.filter(F.concat(inside, "on"), lambda r: r["x0"] <= r["x1"])).alias("r"))
-    return union(found.select("v", "z", "seq", "y", "r.x0", "r.x1"), "v", "z", "seq")
+    even-odd rule or lies on an edge. Fewer than 3 points make none. A polygon is one row
+    and is drawn in its task: no shuffle."""
+    drawn = overlays.where(F.size("points") >= 3).select("v", "z", "seq", F.transform("points", lambda q: q["x"]).alias("xs"), F.transform("points", lambda q: q["y"]).alias("ys"))
+    schema = ", ".join(f"{c} {kind}" for c, kind in drawn.dtypes[:3]) + ", y int, x0 bigint, x1 bigint"
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, (xs, ys) = batch.select(["v", "z", "seq"]), (batch.column(c) for c in ("xs", "ys"))
+            sizes = pc.list_value_length(xs).to_numpy()
+            whole = lambda c: pc.fill_null(c.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            known = pc.and_(xs.flatten().is_valid(), ys.flatten().is_valid()).to_numpy(zero_copy_only=False)
+            for of, y, x0, x1 in imaging.polygon_runs(sizes, whole(xs), whole(ys), known, DRAWN):
+                own = keys.take(pa.array(of))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(y, pa.int32()), pa.array(x0), pa.array(x1)], ["v", "z", "seq", "y", "x0", "x1"])
+
+    return drawn.mapInArrow(draw, schema)
 
 
 def keep_large(overlays: DataFrame, min_area: float) -> DataFrame:
@@ -185,7 +205,7 @@ def dense_volume(runs: DataFrame, volumes: DataFrame) -> DataFrame:
     from .rows import ROWS, gathered
 
     grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("z_count").cast("long") - 1)).alias("z"))
-    return grid.join(gathered(runs, grid), ["v", "z"], "left").select("v", "z", "h", "w", F.coalesce("rows", F.array().cast(ROWS)).alias("rows"))
+    return grid.join(gathered(runs, grid).hint("merge"), ["v", "z"], "left").select("v", "z", "h", "w", F.coalesce("rows", F.array().cast(ROWS)).alias("rows"))
 
 
 def densify_grid(runs: DataFrame, volumes: DataFrame) -> DataFrame:
@@ -193,6 +213,6 @@ def densify_grid(runs: DataFrame, volumes: DataFrame) -> DataFrame:
     outside their volume are ignored."""
     grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("z_count").cast("long") - 1)).alias("z"))
     fits = union(runs).withColumn("z", F.col("z").cast("long"))
-    joined = grid.join(fits, ["v", "z"], "left")
+    joined = grid.join(fits.hint("merge"), ["v", "z"], "left")
     ok = (F.col("y") >= 0) & (F.col("y") < F.col("h")) & (F.col("x0") >= 0) & (F.col("x1") < F.col("w"))
     return joined.groupBy("v", "z").agg(F.sum(F.when(ok, F.col("x1") - F.col("x0") + 1).otherwise(0)).cast("long").alias("pixels"))

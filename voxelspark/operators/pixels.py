@@ -96,17 +96,29 @@ def apply_prompt_mask(gray: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def composite(gray: DataFrame, overlays: DataFrame, runs: DataFrame, opacity: float, layer: str = ALL_LAYERS) -> DataFrame:
-    """(v, z, y, x, r, g, b): overlays drawn over grey in order, the last one on a pixel
+    """(v, z, y, x, c_r, c_g, c_b): overlays drawn over grey in order, the last one on a pixel
     wins; previews come last in their own colour. Committed ones are filtered by layer."""
-    shown = (F.col("status") == "preview") | F.lit(layer == ALL_LAYERS) | (normalize_layer(F.col("layer")) == layer)
-    drawn = overlays.where((F.size("points") >= 3) & shown)
+    # Explodes count for nothing where sizes are estimated: runs are not to be broadcast.
+    return draw(gray, runs.join(shown(overlays, layer).hint("merge"), ["v", "z", "seq"]), opacity)
+
+
+def shown(overlays: DataFrame, layer: str = ALL_LAYERS) -> DataFrame:
+    """The overlays that are drawn, with their turn and colour."""
+    listed = (F.col("status") == "preview") | F.lit(layer == ALL_LAYERS) | (normalize_layer(F.col("layer")) == layer)
+    drawn = overlays.where((F.size("points") >= 3) & listed)
     preview = F.col("status") == "preview"
     rgb = hex_to_rgb(F.col("color"))
     color = F.struct(*[F.when(preview, F.lit(PREVIEW_RGB[k])).otherwise(rgb[c]).alias(c) for k, c in enumerate("rgb")])
-    ranked = drawn.select("v", "z", "seq", F.struct(preview.cast("int").alias("late"), "seq").alias("turn"), color.alias("color"))
-    painted = runs.select("v", "z", "seq", "y", F.explode(F.sequence("x0", "x1")).alias("x")).join(ranked, ["v", "z", "seq"])
-    top = painted.groupBy("v", "z", "y", "x").agg(F.max_by("color", "turn").alias("color"))
+    return drawn.withColumns({"turn": F.struct(preview.cast("int").alias("late"), "seq"), "color": color})
+
+
+def draw(gray: DataFrame, runs: DataFrame, opacity: float) -> DataFrame:
+    """(v, z, y, x, c_r, c_g, c_b): runs with turn and colour over grey, the last on a pixel
+    wins. Runs are cut to their slice's image before they become pixels."""
+    inside = runs.join(gray.select("v", "z", "h", "w").hint("merge"), ["v", "z"]).where("y >= 0 and y < h and x1 >= 0 and x0 < w")
+    x = F.explode(F.sequence(F.greatest("x0", F.lit(0)), F.least("x1", F.col("w") - 1))).alias("x")
+    top = inside.select("v", "z", "y", "turn", "color", x).groupBy("v", "z", "y", "x").agg(F.max_by("color", "turn").alias("color"))
     alpha = int(255 * opacity)
-    base = voxels(gray).join(top, ["v", "z", "y", "x"], "left")
+    base = voxels(gray).join(top.hint("merge"), ["v", "z", "y", "x"], "left")
     blend = lambda c: F.when(F.col("color").isNull(), F.col("g")).otherwise(F.floor((F.col(f"color.{c}") * alpha + F.col("g") * (255 - alpha) + 127) / 255).cast("int"))
     return base.select("v", "z", "y", "x", *[blend(c).alias(f"c_{c}") for c in "rgb"])

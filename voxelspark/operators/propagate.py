@@ -15,9 +15,15 @@ from . import masks, rows
 BOX = ("x1", "y1", "x2", "y2")
 
 
+def seed_overlays(overlays: DataFrame, names: Column) -> DataFrame:
+    """The committed overlays whose label passes the filter."""
+    return overlays.where((F.col("status") == "committed") & in_filter(normalize_label(F.col("label")), names))
+
+
 def seed_masks(overlays: DataFrame, runs: DataFrame, names: Column) -> DataFrame:
-    """Union runs of the committed overlays whose label passes the filter, per slice."""
-    chosen = overlays.where((F.col("status") == "committed") & in_filter(normalize_label(F.col("label")), names))
+    """Union runs of the seed overlays, per slice. Whoever draws the runs anyway draws those of
+    ``seed_overlays`` only and needs no join."""
+    chosen = seed_overlays(overlays, names)
     return masks.union(runs.join(chosen.select("v", "z", "seq"), ["v", "z", "seq"], "left_semi"))
 
 
@@ -33,7 +39,7 @@ def interpolate_seeds(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     """A box for every slice of ``grid`` (v, z) of a volume with seeds: its own, the one
     of the only side that has a seed, or both sides' mean by distance, rounded half to even."""
     own = F.struct(*BOX, F.col("z"))
-    joined = grid.join(boxes.select("v", "z", own.alias("s")), ["v", "z"], "left")
+    joined = grid.join(boxes.select("v", "z", own.alias("s")).hint("merge"), ["v", "z"], "left")
     order = Window.partitionBy("v").orderBy("z")
     low = F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     high = F.first("s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
@@ -56,7 +62,7 @@ def densify(seed_runs: DataFrame, volumes: DataFrame) -> DataFrame:
     exact = rows.gathered(seed_runs, grid)
     boxes = interpolate_seeds(masks.bbox(rows.exploded(exact)), grid.select("v", "z"))
     filled = F.coalesce("rows", rows.of_box(F.struct(*[F.col(c).cast("int").alias(c) for c in BOX])))
-    full = grid.join(boxes, ["v", "z"]).join(exact, ["v", "z"], "left").select("v", "z", "h", "w", filled.alias("rows"))
+    full = grid.join(boxes.hint("merge"), ["v", "z"]).join(exact.hint("merge"), ["v", "z"], "left").select("v", "z", "h", "w", filled.alias("rows"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, here = None, None  # (row, bits) of the last slice handed on and of the one that waits
@@ -89,13 +95,13 @@ def densify(seed_runs: DataFrame, volumes: DataFrame) -> DataFrame:
 def resolve_prompt(overlays: DataFrame, selection: DataFrame, drafts: DataFrame) -> DataFrame:
     """(v, z, points) of each slice's prompt: a draft of 3 points or more, else the
     selected overlay, else the last one (also if the selection is out of range)."""
-    place = Window.partitionBy("v", "z").orderBy("seq")
-    listed = overlays.select("v", "z", "points", (F.row_number().over(place) - 1).alias("idx"))
-    last = listed.groupBy("v", "z").agg(F.max_by("points", "idx").alias("last"))
-    chosen = listed.join(selection.withColumnRenamed("selected_idx", "idx"), ["v", "z", "idx"]).select("v", "z", F.col("points").alias("chosen"))
+    slice_ = Window.partitionBy("v", "z")
+    listed = overlays.select("v", "z", "points", (F.row_number().over(slice_.orderBy("seq")) - 1).alias("idx"), F.count("*").over(slice_).alias("n"))
+    asked = F.when(F.col("selected_idx").between(0, F.col("n") - 1), F.col("selected_idx")).otherwise(F.col("n") - 1)
+    chosen = listed.join(selection.select("v", "z", "selected_idx").hint("merge"), ["v", "z"], "left").where(F.col("idx") == asked).select("v", "z", F.col("points").alias("chosen"))
     draft = drafts.where(F.size("points") >= 3).select("v", "z", F.col("points").alias("draft"))
-    every = last.join(chosen, ["v", "z"], "left").join(draft, ["v", "z"], "full")
-    points = F.coalesce("draft", "chosen", "last")
+    every = chosen.join(draft.hint("merge"), ["v", "z"], "full")
+    points = F.coalesce("draft", "chosen")
     return every.select("v", "z", points.alias("points")).where(F.size("points") >= 3)
 
 

@@ -13,17 +13,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
 from . import masks
 
 ROWS = "array<struct<y: int, x0: int, x1: int>>"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once: the optimizer puts a column's expression
-    where it is used, which within a lambda would be once an element."""
-    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
-
-
 def run(y: Column, x0: Column, x1: Column) -> Column:
     return F.struct(y.cast("int").alias("y"), x0.cast("int").alias("x0"), x1.cast("int").alias("x1"))
 
@@ -79,7 +74,8 @@ def bounds(rows: Column) -> Column:
 def gathered(runs: DataFrame, grid: DataFrame) -> DataFrame:
     """(v, z, rows) of a table of runs: merged and cut to the images of ``grid`` (v, z, h, w).
     An empty mask has no row."""
-    inside = runs.join(grid.select("v", "z", "h", "w"), ["v", "z"]).where("y >= 0 and y < h and x1 >= 0 and x0 < w")
+    # An estimate of sizes takes no account of explodes, so what has been exploded is not broadcast.
+    inside = runs.join(grid.select("v", "z", "h", "w").hint("merge"), ["v", "z"]).where("y >= 0 and y < h and x1 >= 0 and x0 < w")
     cut = inside.select("v", "z", "y", F.greatest("x0", F.lit(0)).alias("x0"), F.least("x1", F.col("w") - 1).alias("x1"))
     merged = masks.union(cut)
     return merged.groupBy("v", "z").agg(F.array_sort(F.collect_list(run(F.col("y"), F.col("x0"), F.col("x1")))).alias("rows"))

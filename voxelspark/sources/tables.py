@@ -50,7 +50,19 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
-def overlays(spark: SparkSession, sf_dir: str, triangles: bool = False) -> DataFrame:
+#: Overlays that a task takes where slices are dealt out. Each makes some 14 runs.
+SHARE = 25_000
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows of events by slice, a slice in one partition: partitions are as many as the events
+    need, so that what a task sorts doesn't grow with the table. Windows, groups and joins by
+    (v, z) then move nothing, and runs are made from overlays that have been moved."""
+    needed = -(-_read(spark, sf_dir, "events").count() // SHARE)
+    return rows.repartition(max(needed, int(spark.conf.get("spark.sql.shuffle.partitions"))), "v", "z")
+
+
+def overlays(spark: SparkSession, sf_dir: str, triangles: bool = False, by_slice: bool = False) -> DataFrame:
     """(v, z, seq, x1, y1, x2, y2, points, label, color, layer, status); layer is raw."""
     e = _events(spark, sf_dir)
     i = F.col("event_id")
@@ -61,14 +73,15 @@ def overlays(spark: SparkSession, sf_dir: str, triangles: bool = False) -> DataF
         F.when(i % 5 == 0, "preview").otherwise("committed").alias("status"),
     )
     boxed = base.withColumn("x2", (F.col("x1") + 3 + F.col("seq") % 17).cast("int")).withColumn("y2", (F.col("y1") + 3 + F.floor("value").cast("int") % 20).cast("int"))
+    boxed = dealt(spark, sf_dir, boxed.drop("value")) if by_slice else boxed
     at = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     points = [at("x1", "y1"), at("x2", "y1"), *([] if triangles else [at("x2", "y2")]), at("x1", "y2")]
     return boxed.select("v", "z", "seq", "x1", "y1", "x2", "y2", F.array(*points).alias("points"), "label", "color", "layer", "status")
 
 
-def rectangle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = overlays(spark, sf_dir)
-    return o.select("v", "z", "seq", F.explode(F.sequence("y1", "y2")).alias("y"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
+def rectangle_runs(overlays: DataFrame, *keep: str) -> DataFrame:
+    """(v, z, seq, keep, y, x0, x1): what is to be left out is left out of ``overlays``."""
+    return overlays.select("v", "z", "seq", *keep, F.explode(F.sequence("y1", "y2")).alias("y"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
 
 
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
