@@ -98,3 +98,8 @@ def test_an_edge_to_an_unknown_point_is_none(spark):
 def test_points_are_worked_out_once_for_an_area(spark, capsys):
     (filter_,) = [line for line in plan(QUERIES["min_area_filter"](spark, DATA), capsys) if " Filter " in line]
     assert filter_.count("get_json_object") <= 6
+
+
+def test_previews_take_what_they_replace_once(spark, capsys):
+    lines = plan(QUERIES["watershed_preview"](spark, DATA), capsys)
+    assert len([line for line in lines if " MapInPandas " in line]) == 2  # a watershed and a level set

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import label_filter
@@ -17,11 +17,14 @@ def as_overlays(polygons: DataFrame, label: str = DEFAULT_LABEL, color: str = DE
 
 def preview_run(existing: DataFrame, gray: DataFrame, polygons: DataFrame, scope: Column | None = None) -> DataFrame:
     """Previews of the slices in scope replaced by these polygons; slices without any lose theirs."""
-    processed = gray.select("v", "z") if scope is None else gray.where(scope).select("v", "z")
-    new = as_overlays(polygons).join(processed.distinct(), ["v", "z"], "left_semi")
-    last = existing.groupBy("v", "z").agg(F.max("seq").alias("_last"))
-    placed = new.join(last, ["v", "z"], "left").withColumn("seq", F.col("seq") + F.coalesce("_last", F.lit(-1)) + 1)
-    return annotate.set_preview(existing, placed.select(*existing.columns), processed)
+    processed = (gray if scope is None else gray.where(scope)).select("v", "z").distinct().withColumn("_done", F.lit(True))
+    new = as_overlays(polygons).select(*existing.columns).withColumn("_new", F.lit(True))
+    # Each table is used once: what it takes to make it is done once.
+    both = existing.withColumn("_new", F.lit(False)).unionByName(new).join(processed, ["v", "z"], "left")
+    last = F.max(F.when(~F.col("_new"), F.col("seq"))).over(Window.partitionBy("v", "z"))
+    stays = F.when(F.col("_new"), F.col("_done").isNotNull()).otherwise((F.col("status") != "preview") | F.col("_done").isNull())
+    seq = F.when(F.col("_new"), F.col("seq") + F.coalesce("_last", F.lit(-1)) + 1).otherwise(F.col("seq"))
+    return both.withColumn("_last", last).where(stays).withColumn("seq", seq).select(*existing.columns)
 
 
 def commit_run(existing: DataFrame, polygons: DataFrame, label: str = DEFAULT_LABEL, color: str = "", layer: str = DEFAULT_LAYER) -> tuple[DataFrame, DataFrame]:
