@@ -1,9 +1,10 @@
 """What a task holds doesn't grow with the table, and what is exploded is not broadcast."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from voxelspark.operators import imaging, masks, pixels, propagate
+from voxelspark.operators import imaging, masks, pixels, propagate, rows
 from voxelspark.plans.queries import QUERIES
 from voxelspark.sources import tables
 
@@ -103,3 +104,34 @@ def test_points_are_worked_out_once_for_an_area(spark, capsys):
 def test_previews_take_what_they_replace_once(spark, capsys):
     lines = plan(QUERIES["watershed_preview"](spark, DATA), capsys)
     assert len([line for line in lines if " MapInPandas " in line]) == 2  # a watershed and a level set
+
+
+def test_smoothing_takes_the_slices_of_a_piece_together(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    kind = pa.list_(pa.struct([(c, pa.int32()) for c in ("y", "x0", "x1")]))
+    shapes = [(3, 5), (1, 2), (1, 2), (4, 4), (3, 5), (3, 5), (3, 5)]
+    volumes = [rng.random((n, *s)) < share for s, n, share in zip(shapes, (6, 1, 5, 2, 9, 3, 12), (0.5, 1, 0.3, 0.6, 0.6, 0, 0.4), strict=True)]
+    slices = [(v, z, *m.shape, m) for v, stack in enumerate(volumes) for z, m in enumerate(stack)]
+    expected = []
+    for stack in volumes:
+        out = stack.copy()
+        for z in range(1, len(stack) - 1):
+            most = out[z - 1].astype(int) + stack[z] + stack[z + 1] > 1
+            out[z] = most if most.any() else stack[z]
+        expected += list(out)
+    for at_once, batch in ((1, 1), (1, 7), (31, 4), (70, 50), (1000, 3), (1000, 50)):
+        monkeypatch.setattr(propagate, "SMOOTHED", at_once)
+        given = []
+        for k in range(0, len(slices), batch):
+            *keys, images = zip(*slices[k : k + batch], strict=True)
+            lists = pa.array([rows.from_image(m) if m.any() else None for m in images], kind)
+            given.append(pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in keys], lists], ["v", "z", "h", "w", "rows"]))
+        got = [r for b in propagate._smooth(iter(given)) for r in b.to_pylist()]
+        assert [(r["v"], r["z"], r["h"], r["w"], r["rows"]) for r in got] == [(*s[:4], rows.from_image(m)) for s, m in zip(slices, expected, strict=True)]
+
+
+def test_densify_merges_once_and_deals_volumes(spark, monkeypatch, capsys):
+    lines = plan(QUERIES["densify"](spark, DATA), capsys)
+    assert len([line for line in lines if " Window " in line]) == 3 and not [line for line in lines if " MapInPandas " in line]
+    monkeypatch.setattr(tables, "SHARE", 50)
+    assert QUERIES["densify"](spark, DATA).rdd.getNumPartitions() >= 20

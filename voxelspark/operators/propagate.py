@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_filter, normalize_label
-from . import masks, rows
+from . import imaging, masks, rows
 
 BOX = ("x1", "y1", "x2", "y2")
 
@@ -40,56 +40,79 @@ def interpolate_seeds(boxes: DataFrame, grid: DataFrame) -> DataFrame:
     of the only side that has a seed, or both sides' mean by distance, rounded half to even."""
     own = F.struct(*BOX, F.col("z"))
     joined = grid.join(boxes.select("v", "z", own.alias("s")).hint("merge"), ["v", "z"], "left")
+    return _interpolated(joined)
+
+
+def _interpolated(slices: DataFrame, *keep: str) -> DataFrame:
+    """Slices (v, z, keep, s: the own box with its z, or null) with the box that holds for each."""
     order = Window.partitionBy("v").orderBy("z")
     low = F.last("s", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     high = F.first("s", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    near = joined.select("v", "z", F.col("s").isNotNull().alias("is_seed"), low.alias("lo"), high.alias("up"))
+    near = slices.select("v", "z", *keep, F.col("s").isNotNull().alias("is_seed"), low.alias("lo"), high.alias("up"))
     t = (F.col("z") - F.col("lo.z")) / F.greatest(F.lit(1), F.col("up.z") - F.col("lo.z"))
     between = lambda c: F.bround(F.col(f"lo.{c}") + (F.col(f"up.{c}") - F.col(f"lo.{c}")) * t).cast("long")
     pick = lambda c: F.when(F.col("lo").isNull(), F.col(f"up.{c}").cast("long")).when(F.col("up").isNull(), F.col(f"lo.{c}").cast("long")).otherwise(between(c))
-    return near.where("lo is not null or up is not null").select("v", "z", "is_seed", *[pick(c).alias(c) for c in BOX])
+    return near.where("lo is not null or up is not null").select("v", "z", *keep, "is_seed", *[pick(c).alias(c) for c in BOX])
+
+
+#: Pixels of the slices that a task smooths at once.
+SMOOTHED = 2_000_000
 
 
-def densify(seed_runs: DataFrame, volumes: DataFrame) -> DataFrame:
+def densify(seed_runs: DataFrame, volumes: DataFrame, parts: int | None = None) -> DataFrame:
     """(v, z, h, w, rows): the masks, as runs, of all slices of the seeded volumes, filled from
     seeds and then smoothed in order along z: a slice becomes the majority of the smoothed
     one before, itself and the one after, if that is not empty.
 
     The fold reads what it has just written, so the slices of a volume pass in order
-    through one task. It takes and hands on runs and holds three slices, as bits.
+    through one task. It takes and hands on runs and holds a piece of ``SMOOTHED`` pixels,
+    whose volumes take each step along z together. ``parts`` is the number of partitions
+    that volumes are dealt into, the session's if it is not given.
     """
     grid = volumes.select("v", "h", "w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("z_count").cast("long") - 1)).alias("z"))
-    exact = rows.gathered(seed_runs, grid)
-    boxes = interpolate_seeds(masks.bbox(rows.exploded(exact)), grid.select("v", "z"))
+    every = grid.join(rows.gathered(seed_runs, grid).hint("merge"), ["v", "z"], "left")
+    dealt = every.repartition(parts, "v") if parts else every.repartition("v")
+    boxes = _interpolated(dealt.withColumn("_box", rows.bounds(F.col("rows"))).withColumn("s", F.when(F.col("_box").isNotNull(), F.struct("_box.*", "z"))), "h", "w", "rows")
     filled = F.coalesce("rows", rows.of_box(F.struct(*[F.col(c).cast("int").alias(c) for c in BOX])))
-    full = grid.join(boxes.hint("merge"), ["v", "z"]).join(exact.hint("merge"), ["v", "z"], "left").select("v", "z", "h", "w", filled.alias("rows"))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before, here = None, None  # (row, bits) of the last slice handed on and of the one that waits
-
-        def smoothed(after) -> dict:
-            nonlocal before
-            row, bits = here
-            if before is not None and before[0].v == row.v and after is not None and after[0].v == row.v:
-                a, c = before[1], after[1]
-                most = a & bits | bits & c | a & c
-                bits = most if most.any() else bits
-            before = (row, bits)
-            return {"v": row.v, "z": row.z, "h": row.h, "w": row.w, "rows": rows.from_image(np.unpackbits(bits, count=row.h * row.w).reshape(row.h, row.w))}
-
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples():
-                new = (row._replace(rows=None), np.packbits(rows.to_image(row.rows, (row.h, row.w))))
-                if here is not None:
-                    out.append(smoothed(new))
-                here = new
-            if out:
-                yield pd.DataFrame(out)
-        if here is not None:
-            yield pd.DataFrame([smoothed(None)])
-
-    return full.repartition("v").sortWithinPartitions("v", "z").mapInPandas(fold, f"v long, z long, h int, w int, rows {rows.ROWS}")
+    full = boxes.select(F.col("v").cast("long").alias("v"), "z", F.col("h").cast("int").alias("h"), F.col("w").cast("int").alias("w"), filled.alias("rows"))
+    return full.sortWithinPartitions("v", "z").mapInArrow(_smooth, f"v long, z long, h int, w int, rows {rows.ROWS}")
+
+
+def _smooth(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """In a task: slices in order of v and z, smoothed. Of what has gone by it holds two slices:
+    the last one that was handed on, if the one that waits is of its volume, and that one."""
+    before, waits = None, None  # an image; (keys of a slice, its image as a stack of one)
+    kind: list[pa.DataType] = []
+
+    def out(keys: np.ndarray, images: np.ndarray) -> pa.RecordBatch:
+        sizes, *runs = rows.from_images(images)
+        lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.StructArray.from_arrays([pa.array(c.astype(np.int32)) for c in runs], fields=list(kind[0].value_type)), type=kind[0])
+        return pa.RecordBatch.from_arrays([*[pa.array(keys[:, k].astype(t)) for k, t in enumerate((np.int64, np.int64, np.int32, np.int32))], lists], ["v", "z", "h", "w", "rows"])
+
+    for batch in batches:
+        kind[:] = [batch.schema.field("rows").type]
+        table = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("v", "z", "h", "w")], axis=1)
+        at = 0
+        while at < len(table):
+            # A piece: slices of one shape.
+            h, w = table[at, 2:].tolist()
+            piece = table[at : at + max(1, SMOOTHED // max(1, h * w))]
+            other = np.flatnonzero((piece[:, 2:] != (h, w)).any(axis=1))
+            piece = piece[: other[0]] if other.size else piece
+            keys, images = piece, rows.to_images(batch.column("rows").slice(at, len(piece)), (h, w))
+            at += len(piece)
+            if waits is not None and (waits[0][0, [0, 2, 3]] == piece[0, [0, 2, 3]]).all():
+                keys, images = np.concatenate([waits[0], piece]), np.concatenate([waits[1], images])
+            elif waits is not None:
+                yield out(*waits)
+                before = None
+            done = imaging.smoothed(images, keys[:, 0], before)
+            if len(keys) > 1:
+                yield out(keys[:-1], done[:-1])
+                before = done[-2].copy() if keys[-2, 0] == keys[-1, 0] else None
+            waits = (keys[-1:].copy(), images[-1:].copy())
+    if waits is not None:
+        yield out(*waits)
 
 
 def resolve_prompt(overlays: DataFrame, selection: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,3 +104,26 @@ def from_image(mask: np.ndarray) -> list[dict]:
     y, x0 = np.nonzero(steps == 1)
     x1 = np.nonzero(steps == -1)[1] - 1
     return [{"y": a, "x0": b, "x1": c} for a, b, c in zip(y.tolist(), x0.tolist(), x1.tolist(), strict=True)]
+
+
+def to_images(rows: pa.ListArray, shape: tuple[int, int]) -> np.ndarray:
+    """In a task: the masks of slices of one shape as a stack of arrays, as ``to_image`` does."""
+    h, w = shape
+    of = np.repeat(np.arange(len(rows)), pc.fill_null(pc.list_value_length(rows), 0).to_numpy())
+    y, x0, x1 = (c.to_numpy().astype(np.int64) for c in rows.flatten().flatten())
+    x0, x1 = np.maximum(x0, 0), np.minimum(x1, w - 1)
+    own = (y >= 0) & (y < h) & (x0 <= x1)
+    first, length = ((of * h + y) * w + x0)[own], (x1 - x0 + 1)[own]
+    out = np.zeros(len(rows) * h * w, bool)
+    out[np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())] = True
+    return out.reshape(len(rows), h, w)
+
+
+def from_images(masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """In a task: the number of runs of each mask of a stack, and their y, x0 and x1."""
+    n, h, w = masks.shape
+    wide = np.zeros((n * h, w + 2), bool)
+    wide[:, 1:-1] = masks.reshape(n * h, w)
+    row, x = np.divmod(np.flatnonzero(wide[:, 1:] != wide[:, :-1]), w + 1)
+    of, y = np.divmod(row[::2], h) if h else (row, row)
+    return np.bincount(of, minlength=n), y, x[::2], x[1::2] - 1

@@ -54,12 +54,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARE = 25_000
 
 
-def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Rows of events by slice, a slice in one partition: partitions are as many as the events
-    need, so that what a task sorts doesn't grow with the table. Windows, groups and joins by
-    (v, z) then move nothing, and runs are made from overlays that have been moved."""
+def parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions that the events need, so that what a task sorts doesn't grow with the table."""
     needed = -(-_read(spark, sf_dir, "events").count() // SHARE)
-    return rows.repartition(max(needed, int(spark.conf.get("spark.sql.shuffle.partitions"))), "v", "z")
+    return max(needed, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Rows of events by slice, a slice in one of ``parts`` partitions. Windows, groups and joins
+    by (v, z) then move nothing, and runs are made from overlays that have been moved."""
+    return rows.repartition(parts(spark, sf_dir), "v", "z")
 
 
 def overlays(spark: SparkSession, sf_dir: str, triangles: bool = False, by_slice: bool = False) -> DataFrame:
