@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from voxelspark.operators import imaging, masks, pixels, propagate, rows
 from voxelspark.plans.queries import QUERIES
@@ -140,3 +141,22 @@ def test_densify_merges_once_and_deals_volumes(spark, monkeypatch, capsys):
 @pytest.mark.parametrize("name", ["dense_grid", "seed_admission", "dense_volume", "seed_merge"])
 def test_seeds_are_merged_once(spark, capsys, name):
     assert len([line for line in plan(QUERIES[name](spark, DATA), capsys) if " Window " in line]) == 2
+
+
+def test_the_box_of_a_prompt_is_that_of_its_drawing(spark, capsys):
+    rng = np.random.default_rng(6)
+    point = lambda: None if rng.random() < 0.05 else tuple(None if rng.random() < 0.15 else int(c) for c in rng.integers(-9, 30, 2))
+    shapes = [[point() for _ in range(n)] for n in rng.integers(0, 9, 300)] + [None, [(4, 4)] * 3, [(1, 2), (None, 3), (7, 9)]]
+    prompts = spark.createDataFrame([(0, k, s) for k, s in enumerate(shapes)], "v long, z long, points array<struct<x: int, y: int>>")
+    drawn = masks.bbox(masks.rasterize(prompts.withColumn("seq", F.lit(0).cast("long"))))
+    got = propagate.build_requests(prompts, "3d")
+    assert {r.z: r.bbox for r in got.collect()} == {r.z: [r.x1, r.y1, r.x2, r.y2] for r in drawn.collect()}
+    assert not [line for line in plan(got, capsys) if "Exchange" in line or "Arrow" in line]
+
+
+def test_prompts_stay_where_slices_are_dealt(spark, monkeypatch):
+    whole = sorted(map(str, QUERIES["prompt_bbox"](spark, DATA).collect()))
+    monkeypatch.setattr(tables, "SHARE", 50)
+    df = QUERIES["prompt_bbox"](spark, DATA)
+    assert df.rdd.getNumPartitions() >= 20
+    assert sorted(map(str, df.collect())) == whole

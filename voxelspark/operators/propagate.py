@@ -129,7 +129,16 @@ def resolve_prompt(overlays: DataFrame, selection: DataFrame, drafts: DataFrame)
 
 
 def build_requests(prompts: DataFrame, seed_mode: str) -> DataFrame:
-    """Model requests of prompts (v, z, points): the prompt's box, its slice and the seed mode."""
-    runs = masks.rasterize(prompts.withColumn("seq", F.lit(0).cast("long")))
-    box = masks.bbox(runs)
-    return box.select("v", "z", F.array(*BOX).alias("bbox"), F.col("z").alias("bbox_slice_index"), F.lit(seed_mode).alias("seed_mode"))
+    """Model requests of prompts (v, z, points): the prompt's box, its slice and the seed mode.
+
+    The box is that of ``masks.rasterize`` without a pixel drawn: an edge is drawn with its
+    ends if both are known, and what is filled lies between edges. It is made in the
+    prompt's row: no shuffle.
+    """
+    known = lambda p: p["x"].isNotNull() & p["y"].isNotNull()
+    near = lambda i: known(F.get("points", (i % F.size("points")).cast("int")))
+    ends = F.filter("points", lambda p, i: known(p) & (near(i + 1) | near(i + F.size("points") - 1)))
+    of = lambda c: F.transform("_ends", lambda p: p[c].cast("long"))
+    asked = prompts.where(F.size("points") >= 3).select("v", "z", ends.alias("_ends")).where(F.size("_ends") > 0)
+    box = F.array(F.array_min(of("x")), F.array_min(of("y")), F.array_max(of("x")), F.array_max(of("y")))
+    return asked.select("v", "z", box.alias("bbox"), F.col("z").alias("bbox_slice_index"), F.lit(seed_mode).alias("seed_mode"))
