@@ -160,3 +160,15 @@ def test_prompts_stay_where_slices_are_dealt(spark, monkeypatch):
     df = QUERIES["prompt_bbox"](spark, DATA)
     assert df.rdd.getNumPartitions() >= 20
     assert sorted(map(str, df.collect())) == whole
+
+
+@pytest.mark.parametrize("name", ["mask_union", "mask_intersection", "seed_merge", "dense_grid", "prompt_bbox", "export_manifest"])
+def test_no_scan_is_sorted_for_a_shuffle(spark, monkeypatch, capsys, name):
+    whole = sorted(map(str, QUERIES[name](spark, DATA).collect()))
+    monkeypatch.setattr(tables, "SHARE", 50)
+    monkeypatch.setattr(tables, "DIRECT", 5, raising=False)
+    df = QUERIES[name](spark, DATA)
+    shuffles = [line for line in plan(df, capsys) if "Exchange hashpartitioning" in line and "REPARTITION_BY_NUM" in line]
+    dealt = [k for k, line in enumerate(shuffles) if "(v#" in line and ", 20)" in line]
+    assert dealt and all("(_heap#" in shuffles[k + 1] and ", 5)" in shuffles[k + 1] for k in dealt)  # a heap before each
+    assert sorted(map(str, df.collect())) == whole

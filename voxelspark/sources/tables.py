@@ -52,6 +52,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Overlays that a task takes where slices are dealt out. Each makes some 14 runs.
 SHARE = 25_000
+#: Partitions up to which a shuffle writes rows to its files as they come; into more, a task holds
+#: its rows to sort them (the default of spark.shuffle.sort.bypassMergeThreshold).
+DIRECT = 200
 
 
 def parts(spark: SparkSession, sf_dir: str) -> int:
@@ -62,8 +65,14 @@ def parts(spark: SparkSession, sf_dir: str) -> int:
 
 def dealt(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
     """Rows of events by slice, a slice in one of ``parts`` partitions. Windows, groups and joins
-    by (v, z) then move nothing, and runs are made from overlays that have been moved."""
-    return rows.repartition(parts(spark, sf_dir), "v", "z")
+    by (v, z) then move nothing, and runs are made from overlays that have been moved.
+
+    A scan's task may have any share of the table, as a row group isn't split. So more than
+    ``DIRECT`` partitions are dealt from as many heaps, which no task holds whole."""
+    n = parts(spark, sf_dir)
+    if n > DIRECT:
+        rows = rows.withColumn("_heap", F.hash("v", "z")).repartition(DIRECT, "_heap").drop("_heap")
+    return rows.repartition(n, "v", "z")
 
 
 def overlays(spark: SparkSession, sf_dir: str, triangles: bool = False, by_slice: bool = False) -> DataFrame:
